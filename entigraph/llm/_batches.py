@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 #: Rows of one Arrow batch: a batch of very long texts stays small.
 BATCH_ROWS = 512
+BATCH_BYTES = "8m"
 #: Bytes of text handled at once in a task.
 CHUNK_BYTES = 4 << 20
 
@@ -29,6 +30,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
