@@ -35,6 +35,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -46,8 +52,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS digest FROM p),
+r AS (SELECT digest, max(page_id) AS response FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN d.n >= 1000 AND d.page_id <> r.response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.n >= 1000 AND d.page_id <> r.response THEN r.response END AS refers_to
+FROM d LEFT JOIN r ON d.digest = r.digest AND d.n >= 1000
+""",
+}
