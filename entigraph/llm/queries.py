@@ -11,6 +11,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Times of the captures and list events below, which the tables lack: seconds from the start of 2024, by fixed rules.
+YEAR, DAY = 1704067200, 86400
+
+
+def _dated_lists(pages: DataFrame) -> DataFrame:
+    """Dated list events over the hosts of the pages, chosen and timed by the digits of their MD5, and two bad domains."""
+    from pyspark.sql import functions as F
+
+    from .url_filters import url_host
+
+    hosts = pages.select(url_host(F.col("url")).alias("host")).where("host <> ''").groupBy("host").agg(F.md5("host").alias("m"))
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring("m", i, 1)) - 1
+    event = lambda name, policy, pattern, action, day, when: F.when(
+        when, F.struct(F.lit(name).alias("list_name"), F.lit(policy).alias("policy"), pattern.alias("pattern"), F.lit(action).alias("action"), (F.lit(YEAR) + day * DAY).cast("long").alias("at"))
+    )
+    host, since = F.col("host"), 20 * digit(3)
+    events = F.array(
+        event("hosts", "block", host, "add", since, digit(1) < 4),
+        event("hosts", "block", host, "remove", since + 60, digit(1) < 2),
+        event("hosts", "block", host, "add", since + 120, digit(1) < 1),
+        event("trusted", "allow", host, "add", 100 + 10 * digit(4), digit(2) < 2),
+        event("folders", "block", F.concat(host, F.lit("/en/")), "add", F.lit(50), digit(4) == 15),
+        event("folders", "block", F.concat(host, F.lit("/en/")), "remove", F.lit(200), digit(4) == 15),
+    )
+    fixed = pages.sparkSession.sql(
+        f"SELECT 'domains' AS list_name, 'block' AS policy, pattern, 'add' AS action, CAST({YEAR} AS BIGINT) AS at FROM VALUES ('spam-farm.example.org'), ('cheap-pills.example.com') AS t(pattern)"
+    )
+    return hosts.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*").unionByName(fixed)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .url_filters import filter_urls
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.lit(YEAR) + F.pmod(F.col("page_id") * 7919, F.lit(366)) * DAY + F.pmod("page_id", F.lit(DAY))
+    return filter_urls(pages.withColumn("fetched_at", fetched.cast("long")), _dated_lists(pages))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -63,6 +103,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
@@ -75,6 +116,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
+    "op1_url_filters": """
+WITH u AS (
+  SELECT page_id, row_number() OVER () AS r, url,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\\.+$', '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+(/[^?#]*)', 1) AS path,
+         1704067200 + ((page_id * 7919) % 366) * 86400 + page_id % 86400 AS fetched_at
+  FROM pages),
+h AS (SELECT DISTINCT host, md5(host) AS m FROM u WHERE host <> ''),
+g AS (SELECT host, instr('0123456789abcdef', m[1]) - 1 AS d1, instr('0123456789abcdef', m[2]) - 1 AS d2,
+             instr('0123456789abcdef', m[3]) - 1 AS d3, instr('0123456789abcdef', m[4]) - 1 AS d4 FROM h),
+i AS (
+  SELECT 'hosts' AS list_name, false AS allow, host AS pattern, 20 * d3 AS since,
+         CASE WHEN d1 < 2 THEN 20 * d3 + 60 END AS until FROM g WHERE d1 < 4
+  UNION ALL SELECT 'hosts', false, host, 20 * d3 + 120, NULL FROM g WHERE d1 < 1
+  UNION ALL SELECT 'trusted', true, host, 100 + 10 * d4, NULL FROM g WHERE d2 < 2
+  UNION ALL SELECT 'folders', false, host || '/en/', 50, 200 FROM g WHERE d4 = 15
+  UNION ALL SELECT 'domains', false, unnest(['spam-farm.example.org', 'cheap-pills.example.com']), 0, NULL),
+k AS (
+  SELECT r, unnest(list_distinct(list_concat(
+           list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda j: array_to_string(string_split(host, '.')[j:], '.')),
+           CASE WHEN len(string_split(path, '/')) > 2 THEN [host || '/' || string_split(path, '/')[2] || '/'] ELSE [] END))) AS pattern
+  FROM u WHERE host <> ''),
+e AS (
+  SELECT u.r, i.pattern, i.list_name, i.allow,
+         row_number() OVER (PARTITION BY u.r ORDER BY length(i.pattern) DESC, i.allow DESC, i.list_name DESC, i.pattern DESC) AS n
+  FROM u JOIN k ON u.r = k.r JOIN i ON k.pattern = i.pattern
+  WHERE u.fetched_at >= 1704067200 + i.since * 86400 AND (i.until IS NULL OR u.fetched_at < 1704067200 + i.until * 86400)),
+c AS (SELECT r, count(*) AS n_entries FROM e GROUP BY r)
+SELECT u.page_id, coalesce(u.host, '') AS host, CAST(u.fetched_at AS BIGINT) AS fetched_at, CAST(coalesce(c.n_entries, 0) AS BIGINT) AS n_entries,
+       coalesce(NOT e.allow, false) AS blocked, e.list_name, e.pattern
+FROM u LEFT JOIN c ON u.r = c.r LEFT JOIN e ON u.r = e.r AND e.n = 1
+""",
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS digest FROM p),
