@@ -75,6 +75,20 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    secrets = F.filter("findings", lambda f: f["secret"])
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"),
+        F.transform(secrets, lambda f: f["begin"]).alias("begins"), F.sha2(F.array_join(F.transform(secrets, lambda f: f["candidate"]), ","), 256).alias("secrets_sha256"),
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -108,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_secret_scans": op6_secret_scans,
     "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
