@@ -92,11 +92,11 @@ def _domain(host: Column) -> Column:
 def normalize_email(column: Column, wide: bool = True) -> Column:
     """Local part as it is, domain normalized; one ``@``, at most 64 and 320 characters."""
     text = normalize_text(column, wide)
-    return _email(text, normalize_domain(F.split(text, "@")[1], wide))
+    return _email(text, normalize_domain(F.get(F.split(text, "@"), F.lit(1)), wide))
 
 
 def _email(text: Column, domain: Column) -> Column:
-    local = F.split(text, "@")[0]
+    local = F.get(F.split(text, "@"), F.lit(0))
     fits = (F.size(F.split(text, "@")) == 2) & (F.length(local) <= 64) & local.rlike(r"^[A-Za-z0-9!#$%&'*+\-/=?^_{|}~]+(?:\.[A-Za-z0-9!#$%&'*+\-/=?^_{|}~]+)*$")
     email = F.concat(local, F.lit("@"), domain)
     return F.when(fits & (F.length(email) <= 320), email)
@@ -168,7 +168,7 @@ def normalize_records(records: DataFrame, wide: bool = True) -> DataFrame:
     }
     rows = records.withColumns(clean)
     rows = rows.withColumns({
-        "_host": _host(F.col("_domain"), wide), "_mail_host": _host(F.lower(F.split("_email", "@")[1]), wide), "_company": _company(F.lower("_company")),
+        "_host": _host(F.col("_domain"), wide), "_mail_host": _host(F.lower(F.get(F.split("_email", "@"), F.lit(1))), wide), "_company": _company(F.lower("_company")),
         "_country": F.when(F.upper("_country").rlike("^[A-Z]{2}$"), F.upper("_country")), "_place": F.upper(strip(data["address"]["country"])),
     })
     parts = [*[F.lower(f"_{k}").alias(k) for k in ("line1", "line2", "city", "region")], F.upper("_postal_code").alias("postal_code"), F.col("_country").alias("country")]
