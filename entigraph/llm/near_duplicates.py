@@ -1,9 +1,9 @@
 """Near-duplicate documents: HyperMinHash candidates, confirmed on full shingle sets, and their connected components.
 
 Exact copies of a shingle set are one class from the start. Classes meet in buckets (equal bands of registers, or equal
-prefix hashes of small sets). Instead of all pairs of a bucket, first each member is tried with its likeliest bucket
-centre; from then on only members of different components are compared, block by block on their registers. So a large
-group of copies costs as many comparisons as it has members, and yet no bucket is capped.
+prefix hashes of small sets). Instead of all pairs of a bucket, first each member is tried with the centre of each of
+its buckets; from then on only members of different components are compared, block by block. So a large group of copies
+makes as many pairs as it has members, and yet no bucket is capped.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as H
@@ -25,8 +25,6 @@ PERCENT = 80
 SLACK = 0.13
 #: Members of a bucket that are compared with others in one block.
 BLOCK = 256
-#: Each document's candidates that are confirmed first, before components are formed anew.
-FIRST = 2
 #: Ids that are broadcast at most, to pick texts; with more, texts are dealt by id.
 BROADCAST_IDS = 1_000_000
 
@@ -53,7 +51,7 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, cls binary, regs binary, keys array<long>")
 
 
-def _registers(column: pa.Array) -> np.ndarray:
+def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, H.REGISTERS)
 
 
@@ -70,6 +68,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return map_arrow(both.select("x", "y", "n_x", "n_y", "regs_x", "regs_y"), run, "x long, y long, est double")
 
 
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (x, y) whose full shingle sets are similar enough."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
@@ -80,17 +83,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             one, two = b.column("text_x").to_pylist(), b.column("text_y").to_pylist()
             own = list(dict.fromkeys([*one, *two]))
             sets = dict(zip(own, H.shingle_sets(own, width)))
-            keep = []
-            for s, t in zip(map(sets.get, one), map(sets.get, two)):
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
+            keep = [_similar(s, t, percent) for s, t in zip(map(sets.get, one), map(sets.get, two))]
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both, run, "x long, y long")
 
 
-def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
-    """Likely pairs (x, y, est) of a bucket's members in different components, found block by block.
+def _open_units(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that span several components, dealt into units (u) of two blocks that are to be compared.
 
     A bucket's largest component is dealt into blocks, and so are its other members; the blocks of the others are
     compared with each other and with those of the largest, which are never compared among themselves.
@@ -113,34 +113,22 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, least: flo
         F.concat(count("mains", lambda j: unit(1, F.col("b"), j)), count("others", lambda j: unit(0, F.least(F.col("b"), j), F.greatest(F.col("b"), j))))
     )
     rows = rows.withColumn("b", b).select("key", "node", "root", "is_main", "b", F.explode(units).alias("unit"))
-    rows = rows.select(F.xxhash64("key", "unit").alias("u"), "node", "root", "is_main", "b", F.col("unit.kind").alias("kind"))
-    rows = rows.join(classes.select("node", "n", "regs"), "node")
-    rows = rows.repartition("u").sortWithinPartitions("u")
-
-    def compare(t: pa.Table):
-        kind = t.column("kind")[0].as_py()
-        root, n, node = (t.column(c).to_numpy() for c in ("root", "n", "node"))
-        regs = _registers(t.column("regs").combine_chunks() if isinstance(t.column("regs"), pa.ChunkedArray) else t.column("regs"))
-        main, b = t.column("is_main").to_numpy(zero_copy_only=False), t.column("b").to_numpy()
-        left = np.flatnonzero(~main) if kind else np.flatnonzero(b == b.min())
-        right = np.flatnonzero(main) if kind else np.flatnonzero(b == b.max())
-        for a in left:
-            r = right[(root[right] != root[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))]
-            if len(r):
-                est = H.estimate(regs[a][None, :], regs[r], np.full(len(r), n[a]), n[r])
-                for j, e in zip(r[est >= least].tolist(), est[est >= least].tolist()):
-                    yield (max(int(node[a]), int(node[j])), min(int(node[a]), int(node[j])), e)
+    return rows.select(F.xxhash64("key", "unit").alias("u"), "node", "root", "is_main", "b", F.col("unit.kind").alias("kind"))
+
+
+def _by_unit(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` each unit's rows, which are one Arrow table; yields record batches."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush():
-            t = pa.Table.from_batches(held)
+            t = pa.Table.from_batches(held).combine_chunks()
             u = t.column("u").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(u)) + 1).tolist(), len(u)]
-            out = [row for i, j in zip(cuts, cuts[1:]) if j - i > 1 for row in compare(t.slice(i, j - i).combine_chunks())]
-            x, y, e = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(e, pa.float64())], names=["x", "y", "est"])
+            for i, j in zip(cuts, cuts[1:]):
+                if j - i > 1:
+                    yield from compare(t.slice(i, j - i).combine_chunks())
 
         for batch in batches:
             u = batch.column("u").to_numpy()
@@ -148,13 +136,72 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, least: flo
             last = int(np.searchsorted(u, u[-1])) if len(u) else 0
             if last:
                 held.append(batch.slice(0, last))
-                yield flush()
+                yield from flush()
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield flush()
+            yield from flush()
+
+    return map_arrow(rows.repartition("u").sortWithinPartitions("u"), run, schema)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    main, b = t.column("is_main").to_numpy(zero_copy_only=False), t.column("b").to_numpy()
+    if t.column("kind")[0].as_py():
+        return np.flatnonzero(~main), np.flatnonzero(main)
+    return np.flatnonzero(b == b.min()), np.flatnonzero(b == b.max())
+
 
-    return map_arrow(rows, run, "x long, y long, est double").groupBy("x", "y").agg(F.max("est").alias("est"))
+def _estimates(t: pa.Table, regs: np.ndarray, n: np.ndarray, least: float, percent: int):
+    """(row, other rows, their estimates) of likely pairs across components."""
+    root = t.column("root").to_numpy()
+    left, right = _sides(t)
+    for a in left.tolist():
+        r = right[(root[right] != root[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))]
+        if len(r):
+            est = H.estimate(regs[a][None, :], regs[r], np.full(len(r), n[a]), n[r])
+            if (est >= least).any():
+                yield a, r[est >= least], est[est >= least]
+
+
+_UNIT = "u long, node long, root long, is_main boolean, b int, kind int"
+
+
+def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (x, y) between members of one bucket in different components.
+
+    Units are first thinned by registers to the members with a likely partner across components; these bring their texts
+    and are compared in full, the likeliest partner first, until a member has one link to each other component.
+    """
+    least = percent / 100 - SLACK
+    units = _open_units(members, roots, classes).join(classes.select("node", "n", "regs"), "node")
+
+    def thin(t: pa.Table):
+        keep = np.zeros(len(t), dtype=bool)
+        for a, r, _ in _estimates(t, _registers(t.column("regs")), t.column("n").to_numpy(), least, percent):
+            keep[a] = keep[r] = True
+        if keep.any():
+            yield from t.select(["u", "node", "root", "is_main", "b", "kind"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    likely = materialize(_by_unit(units.select("u", "node", "root", "is_main", "b", "kind", "n", "regs"), thin, _UNIT), "likely-members")
+
+    def confirm(t: pa.Table):
+        sets = H.shingle_sets(t.column("text").to_pylist(), width)
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        root, node = t.column("root").to_pylist(), t.column("node").to_pylist()
+        found = []
+        for a, r, est in _estimates(t, H.registers(sets), n, least, percent):
+            linked = set()
+            for j in r[np.argsort(-est, kind="stable")].tolist():
+                if root[j] not in linked and _similar(sets[a], sets[j], percent):
+                    linked.add(root[j])
+                    found.append((node[a], node[j]))
+        if found:
+            x, y = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    whole = likely.join(texts, "node").select("u", "node", "root", "is_main", "b", "kind", "text")
+    return _by_unit(whole, confirm, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -185,23 +232,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").join(meeting, "node", "left_semi")
     texts = materialize(texts, "texts")
 
-    pairs = members.where("node <> centre").groupBy(F.col("node").alias("x"), F.col("centre").alias("y")).count()
-    pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    pairs = members.where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
     links = materialize(_confirmed(_likely(pairs, named, least), texts, width, percent), "links")
     roots = connected_components(links, "x", "y")
 
-    open_ = materialize(_across(members, roots, named, least, percent), "open-pairs")
-    rank = lambda c, d: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("est"), d))
-    first = open_.withColumn("r", rank("x", "y")).where(F.col("r") <= FIRST).select("x", "y")
-    more = materialize(_confirmed(first, texts, width, percent), "links")
-    roots = connected_components(links.unionByName(more), "x", "y")
-
-    rest = open_.join(first, ["x", "y"], "left_anti")
-    for c in ("x", "y"):
-        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    rest = materialize(_confirmed(rest.where("root_x <> root_y"), texts, width, percent), "links")
-    if not rest.isEmpty():
-        roots = connected_components(links.unionByName(more).unionByName(rest), "x", "y")
+    more = materialize(_across(members, roots, named, texts, width, percent), "links")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more), "x", "y")
 
     of = classes.select("cls", "node").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("component"))
     found = sketches.select("doc_id", "n", "cls").join(of, "cls", "left")
