@@ -63,7 +63,7 @@ class Words:
         ids = np.array(ids, dtype=np.int64)
         stop = np.array([w[-1] in ".!?" or _STOP.search(w) is not None for w in number], dtype=bool)
         end = stop[ids] if len(ids) else np.zeros(0, dtype=bool)
-        last = np.cumsum(size) - 1
+        last = np.cumsum(np.array(size, dtype=np.int64)) - 1
         end[last[np.array(size, dtype=np.int64) > 0]] = True
         return ids, end, size
 
@@ -113,7 +113,7 @@ def marginals(emission: np.ndarray, end: np.ndarray, step: np.ndarray) -> tuple[
 
 def _summary(toxic: np.ndarray, size: list[int]) -> np.ndarray:
     """Of each text: the marginals' sum (as a logarithm), largest value and mean."""
-    at = np.concatenate([[0], np.cumsum(size)])
+    at = np.concatenate([[0], np.cumsum(np.array(size, dtype=np.int64))])
     total = np.concatenate([[0.0], np.cumsum(toxic)])
     total = np.maximum(total[at[1:]] - total[at[:-1]], 0)
     top = np.array([toxic[a:b].max(initial=0) for a, b in zip(at[:-1], at[1:])])
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
             texts = part.column("text").to_pylist()
             toxic, size = own.tag(texts)
             score = own.scores(toxic, size)
-            at = np.concatenate([[0], np.cumsum(size)])
+            at = np.concatenate([[0], np.cumsum(np.array(size, dtype=np.int64))])
             hot = np.array([toxic[a:b].max(initial=0) > 0.5 for a, b in zip(at[:-1], at[1:])], dtype=bool)
             found = [[dict(zip(("begin", "stop", "chance"), s)) for s in spans(t, toxic[a:b])] if h else [] for t, a, b, h in zip(texts, at[:-1], at[1:], hot)]
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32()), ("chance", pa.float64())]))
