@@ -14,6 +14,11 @@ def membership(links: DataFrame, records: DataFrame, sources: DataFrame) -> Data
     return links.select("tenant_id", "record_id", "entity_id").join(records, ["tenant_id", "record_id"]).join(own, ["tenant_id", "source"])
 
 
+def duplicate_membership(links: DataFrame) -> DataFrame:
+    """Records with more than one link: an integrity error."""
+    return links.groupBy("tenant_id", "record_id").agg(F.count("*").alias("links")).where("links > 1")
+
+
 def record_counts(entities: DataFrame, links: DataFrame) -> DataFrame:
     """Entities with the number of their linked records, 0 included."""
     n = links.groupBy("tenant_id", "entity_id").agg(F.count("*").alias("record_count"))

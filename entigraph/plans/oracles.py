@@ -241,4 +241,15 @@ SELECT CAST(st.k AS VARCHAR) AS entity_id, CASE WHEN st.merged OR a.source IS NO
        CAST(st.v + CASE WHEN a.source IS NOT NULL OR b.source IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS canonical_version,
        CASE WHEN a.source IS NOT NULL THEN 0 ELSE st.n + coalesce(b.n, 0) END AS record_count
 FROM st LEFT JOIN ok a ON a.source = st.k LEFT JOIN ok b ON b.target = st.k""",
+    "applied_decisions": _with(_N, _KEYS, _PAIRS, _SCORES, _OUTCOME, select="""
+SELECT 'links' AS table_name, count(*) FILTER (decision <> 'REVIEW') AS new_rows FROM o UNION ALL SELECT 'entities', count(*) FILTER (decision = 'NO_MATCH') FROM o
+UNION ALL SELECT 'reviews', count(*) FILTER (decision = 'REVIEW') FROM o"""),
+    "provenance_view": f"""WITH {_MEMBERS} SELECT entity_id, max(CASE WHEN field = 'name' THEN record_id END) AS name_from, max(CASE WHEN field = 'email' THEN record_id END) AS email_from,
+       max(CASE WHEN field = 'address.city' THEN record_id END) AS city_from, max(CASE WHEN field = 'address.city' THEN selection_rule END) AS city_rule FROM win GROUP BY entity_id""",
+    "entity_history": "SELECT o_custkey AS entity_id, o_orderkey AS snapshot, CASE WHEN o_orderkey % 20 = 0 THEN 'MERGE' END AS operation, o_orderkey % 20 = 10 AS missing FROM orders",
+    "review_page": "SELECT CAST(o_orderkey AS VARCHAR) AS case_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 26",
+    "due_jobs": "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate, o_orderkey LIMIT 25",
+    "duplicate_membership": "SELECT o_custkey AS record_id, count(*) AS links FROM orders GROUP BY o_custkey HAVING count(*) > 1",
+    "quality_guard": """
+SELECT doc_id % 300 AS id, 'DUPLICATE_CASE' AS reason FROM labels GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT doc_id % 300, 'INVALID_CANDIDATE_COUNT' FROM labels WHERE doc_id % 50 = 0""",
 }

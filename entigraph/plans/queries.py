@@ -12,6 +12,7 @@ from ..functions import identity, similarity, text, validation
 from ..operators import blocking, matching, operations, paging, quality, resolution, survivorship, versions, views
 from ..sources import party
 from ..sources.tables import read_table
+from .ordered import resolve_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,3 +458,70 @@ def review_eligibility(spark, folder):
     graph = operations.review_graph(cases, records, near, entities)
     decisions = cases.select("tenant_id", "case_id", F.when(F.col("case_id").cast("long") % 8 < 6, "APPROVE").otherwise("REJECT").alias("decision"), (F.col("case_id").cast("long") % 3 + 1 + F.when(F.col("case_id").cast("long") % 40 == 0, 1).otherwise(0)).cast("int").alias("expected_source_version"), (F.col("entity_id").cast("long") % 5).cast("int").alias("expected_candidate_version"))
     return operations.decide_reviews(decisions, graph).select("case_id", "decision", "error", (F.col("linked_entity_id") == F.col("case_id")).isNotNull().alias("linked"))
+
+
+# Further reads and guards
+
+
+@query
+def applied_decisions(spark, folder):
+    new, known = _sides(spark, folder)
+    tables = resolution.apply_decisions(resolution.resolve(new, known, jaro=False))
+    counts = [t.agg(F.lit(name).alias("table_name"), F.count("*").alias("new_rows")) for name, t in tables.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def ordered_resolution(spark, folder):
+    """All records as arrivals, one after another; those of an e-mail address or domain see each other."""
+    r = party.records(spark, folder)
+    rank = F.when(F.col("source") == "crm", 0).when(F.col("source") == "registry", 1).otherwise(2)
+    arrivals = r.withColumn("arrival_seq", rank * 10_000_000_000 + F.substring("external_id", 2, 20).cast("long"))
+    nobody = r.select("tenant_id", "entity_type", "record_id", F.lit("").alias("entity_id"), F.lit("").alias("status"), "normalized").limit(0)
+    outcomes, _ = resolve_in_order(arrivals, nobody, jaro=False)
+    return outcomes.groupBy("entity_type", "decision").agg(F.count("*").alias("records"), F.countDistinct("linked_entity_id").alias("entities"))
+
+
+@query
+def provenance_view(spark, folder):
+    w = survivorship.select_winners(survivorship.field_candidates(_members(spark, folder)))
+    v = views.nested_provenance(w)
+    return v.select("entity_id", F.col("name.record_id").alias("name_from"), F.col("email.record_id").alias("email_from"), F.col("address.city.record_id").alias("city_from"), F.col("address.city.selection_rule").alias("city_rule"))
+
+
+@query
+def entity_history(spark, folder):
+    o = read_table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    snapshots = o.select(F.lit("t1").alias("tenant_id"), F.col("o_custkey").alias("entity_id"), key.alias("snapshot"), F.when(key % 10 == 0, F.concat(F.lit("op"), key.cast("string"))).alias("operation_id"), F.lit(None).cast("string").alias("decision_id"))
+    ops = o.where("o_orderkey % 20 = 0").select(F.lit("t1").alias("tenant_id"), F.concat(F.lit("op"), key.cast("string")).alias("operation_id"), F.lit("MERGE").alias("type"), F.lit("a").alias("source_id"), F.lit("b").alias("target_id"), F.array(F.lit("r")).alias("record_ids"))
+    none = spark.sql("SELECT CAST(NULL AS STRING) AS tenant_id, CAST(NULL AS STRING) AS decision_id, CAST(NULL AS STRING) AS decision, CAST(NULL AS STRING) AS case_id").limit(0)
+    return views.history_view(snapshots, ops, none).select("entity_id", "snapshot", F.col("operation.type").alias("operation"), "missing")
+
+
+@query
+def review_page(spark, folder):
+    o = read_table(spark, folder, "orders")
+    cases = o.select(F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").cast("string").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("RESOLVED").alias("status"))
+    return paging.review_page(cases).select("case_id")
+
+
+@query
+def due_jobs(spark, folder):
+    o = read_table(spark, folder, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "P", "PROCESSING").otherwise("SUCCEEDED")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("dispatch_after"))
+    return paging.due_jobs(jobs, F.to_timestamp(F.lit("2100-01-01")), policy.DUE_JOBS).select("job_id")
+
+
+@query
+def duplicate_membership(spark, folder):
+    links = read_table(spark, folder, "orders").select(F.lit("t1").alias("tenant_id"), F.col("o_custkey").alias("record_id"))
+    return views.duplicate_membership(links).select("record_id", "links")
+
+
+@query
+def quality_guard(spark, folder):
+    o = _observations(spark, folder)
+    odd = o.select((F.col("id") % 300).alias("id"), "same_identity", "decision", F.when(F.col("id") % 50 == 0, -1).otherwise(F.col("candidate_count")).alias("candidate_count"))
+    return quality.check_observations(odd)

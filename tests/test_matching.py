@@ -62,7 +62,7 @@ def test_similarities(spark):
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     got = rows.select("i", S.edit_similarity(rows.a, rows.b).alias("e"), S.jaro_winkler_similarity(rows.a, rows.b).alias("j"), S.token_similarity(rows.a, rows.b).alias("t")).orderBy("i").collect()
     assert got[0].e == 0.75 and got[1].e == got[1].j == got[1].t == 1 and got[2].e is got[2].j is got[2].t is None and got[3].j is None
-    assert got[4].j == pytest.approx(0.961111111111) and got[5].j == pytest.approx(0.84) and got[6].j == 0 and got[7].j == pytest.approx(0.611111111111, abs=1e-9)
+    assert got[4].j == pytest.approx(0.961111111111) and got[5].j == pytest.approx(0.84) and got[6].j == 0 and got[7].j == pytest.approx(0.583333333333, abs=1e-9)
     assert got[8].t == 0.5 and got[9].t == 1
 
 
