@@ -1,7 +1,11 @@
-"""WARC archives: written with an index, read back by coalesced byte ranges of the selected records."""
+"""WARC archives: written with an index, read back by coalesced byte ranges of the selected records.
+
+Files are ``.warc.gz``: each record is a gzip member of its own, so a byte range of the index holds whole records.
+"""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -38,7 +42,7 @@ def _record_id(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record. A revisit carries headers only; line ends within a URL are escaped."""
+    """One record, compressed. A revisit carries headers only; line ends within a URL are escaped."""
     target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         _VERSION,
@@ -52,12 +56,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         head += [f"WARC-Refers-To: {_record_id(refers_to)}", f"WARC-Profile: {_PROFILE}", f"X-Payload-Length: {len(payload)}"]
         payload = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n", compresslevel=4, mtime=0)
 
 
 def parse(raw: bytes | memoryview) -> tuple[dict[str, str], bytes]:
     """Headers and payload of the record that these bytes hold."""
-    raw = bytes(raw)
+    raw = gzip.decompress(raw)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != _VERSION:
@@ -119,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
         for batch in slices(batches, "html"):
             for page in batch.to_pylist():
                 if out is None:
-                    name = f"{task:06d}-{made:06d}.warc"
+                    name = f"{task:06d}-{made:06d}.warc.gz"
                     part, made, at = f"{root}/_{name}.{uuid.uuid4().hex}", made + 1, 0
                     out = files.open_output_stream(part)
                 raw = record(page["page_id"], page["url"], (page["html"] or "").encode(), page["digest"], page["refers_to"], page["revisit"])
