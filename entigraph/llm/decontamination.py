@@ -2,7 +2,8 @@
 
 The index is partitioned by document: each row is the index of one slice of the corpus, with the positions of every
 word that the test items use. A phrase is found by intersecting the position lists of its words, each shifted by the
-word's offset, from the rarest word on; proximity by the nearest positions of an item's rarest words.
+word's offset, from the rarest word on; proximity by the nearest positions of an item's rarest words, which are chosen
+once, by their counts in the whole corpus.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class Phrases:
     owner: np.ndarray  # item numbers by window
     items: list[int | None]
     item_terms: list[np.ndarray]
+    near: np.ndarray | None = None  # each item's rarest terms, 0 beyond the last; all 0 for none
 
 
 def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> Phrases:
@@ -149,12 +151,15 @@ class Slice:
         at[at == len(self.key)] = 0
         return (self.key[at] == want) & (positions >= 0) & (positions < self.length) if len(self.key) else np.zeros(len(want), dtype=bool)
 
-    def nearest(self, term: int, positions: np.ndarray) -> np.ndarray:
-        """The place of ``term`` nearest to each position."""
+    def within(self, term: int, positions: np.ndarray, reach: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether ``term`` stands less than ``reach`` words from each position, within ``begin`` <= place < ``end``."""
         own = self.positions(term)
-        right = np.searchsorted(own, positions).clip(0, len(own) - 1)
-        left = (right - 1).clip(0)
-        return np.where(np.abs(own[left] - positions) <= np.abs(own[right] - positions), own[left], own[right])
+        if not len(own):
+            return np.zeros(len(positions), dtype=bool)
+        at = np.searchsorted(own, positions)
+        right, left = own[at.clip(0, len(own) - 1)], own[(at - 1).clip(0)]
+        near = lambda x: (np.abs(x - positions) < reach) & (x >= begin) & (x < end)
+        return near(left) | near(right)
 
 
 def find_windows(index: Slice, block: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -186,21 +191,37 @@ def find_windows(index: Slice, block: Phrases) -> Iterator[tuple[np.ndarray, np.
         yield row, start
 
 
-def find_near(index: Slice, block: Phrases, doc_at: np.ndarray, terms: int, reach: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(item, documents) in which the item's rarest words stand within ``reach`` words of the rarest one."""
-    for item, own in enumerate(block.item_terms):
-        often = index.often[own]
-        if not often.all():
-            continue
-        rare = own[np.argsort(often, kind="stable")[:terms]]
-        at = index.positions(int(rare[0]))
-        doc = np.searchsorted(doc_at, at, side="right")
-        for t in rare[1:]:
-            other = index.nearest(int(t), at)
-            keep = (np.abs(other - at) < reach) & (np.searchsorted(doc_at, other, side="right") == doc)
+def corpus_counts(index: DataFrame) -> dict[bytes, int]:
+    """How often each word of the index occurs in the whole corpus; at most as many rows as the items have words."""
+    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
+    return {bytes(r.terms): r.n for r in rows.collect()}
+
+
+def rarest_terms(block: Phrases, counts: dict[bytes, int], terms: int) -> np.ndarray:
+    """Each item's ``terms`` words that are the rarest in the corpus, of those that occur in it; ties by the word.
+
+    An item with fewer such words than that, though it has more words, could only match by common ones: it has none.
+    """
+    many = np.array([0, *(counts.get(t, 0) for t in block.terms)], dtype=np.int64)
+    table = np.zeros((len(block.items), terms), dtype=np.int64)
+    for i, own in enumerate(block.item_terms):
+        rare = sorted((x for x in own.tolist() if many[x]), key=lambda x: (many[x], block.terms[x - 1]))[:terms]
+        if len(rare) == min(terms, len(own)):
+            table[i, : len(rare)] = rare
+    return table
+
+
+def find_near(index: Slice, block: Phrases, doc_at: np.ndarray, n_words: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(item, documents) in which the item's other rarest words stand within ``reach`` words of the rarest one."""
+    rare = block.near
+    for item in np.flatnonzero((rare[:, 0] > 0) & ((rare == 0) | (index.often[rare] > 0)).all(axis=1)).tolist():
+        at = index.positions(int(rare[item, 0]))
+        doc = np.searchsorted(doc_at, at, side="right") - 1
+        for t in rare[item, 1:][rare[item, 1:] > 0]:
+            keep = index.within(int(t), at, reach, doc_at[doc], doc_at[doc] + n_words[doc])
             at, doc = at[keep], doc[keep]
         if len(at):
-            yield item, np.unique(doc) - 1
+            yield item, np.unique(doc)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_words: int = NEAR_WORDS, hit_share: int = 20) -> DataFrame:
@@ -212,6 +233,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     but is not listed. A null or empty document has no words. Rows that share an id are judged apart. Empty tables give
     no rows, or no hits. Further columns are not carried.
 
+    Proximity asks for the ``near_terms`` words of an item that are the rarest in the whole corpus, within ``near_words``
+    words of the rarest one and in one document, so that it does not depend on how the rows are dealt out.
+
     Returns doc_id, n_words, n_hit, n_items, item_ids (ascending), contaminated, near_item_ids (proximity matches).
     """
     spark = docs.sparkSession
@@ -222,8 +246,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     for k in range(count):
         block = phrases([tuple(r) for r in benchmark.where(F.col("text").isNotNull() & (lot == k)).select("item_id", "text").collect()], window)
         terms.update(dict.fromkeys(block.terms))
-        blocks.append(spark.sparkContext.broadcast(block))
+        blocks.append(block)
     index = materialize(positional_index(docs, list(terms)), "postings")
+    counts = corpus_counts(index)
+    for k, block in enumerate(blocks):
+        block.near = rarest_terms(block, counts, near_terms)
+        blocks[k] = spark.sparkContext.broadcast(block)
 
     def run(batches):
         for b in batches:
@@ -244,7 +272,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
                         doc = np.searchsorted(doc_at, start, side="right") - 1
                         for d, x in np.unique(np.stack([doc, w]), axis=1).T.tolist():
                             hit_by[d].update(block.owner[block.owner_at[x] : block.owner_at[x + 1]].tolist())
-                    for item, own in find_near(index, block, doc_at, near_terms, near_words):
+                    for item, own in find_near(index, block, doc_at, n_words, near_words):
                         for d in own.tolist():
                             near[d].add(block.items[item])
                     for d, own in enumerate(hit_by):

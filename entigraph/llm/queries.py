@@ -104,6 +104,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("n_near_items")
 
 
+def op8_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches, which op8's SQL does not carry."""
+    from .decontamination import contamination_digest, decontaminate
+
+    found = contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_near_items")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scans": op6_secret_scans,
     "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op8_near_items": op8_near_items,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }

@@ -262,6 +262,47 @@ def test_proximity(spark):
     assert got == {0: [1], 1: [], 2: []}
 
 
+def brute_near(texts, items, terms=3, reach=26):
+    cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    own = [cut(t) for t in texts]
+    counts = Counter(w for d in own for w in d)
+    out = [set() for _ in own]
+    for item, text in items:
+        every = set(cut(text))
+        rare = sorted((w for w in every if counts[w]), key=lambda w: (counts[w], w))[:terms]
+        if not rare or len(rare) < min(terms, len(every)):
+            continue
+        for d, w in enumerate(own):
+            if any(x == rare[0] and set(rare) <= set(w[max(0, i - reach + 1) : i + reach]) for i, x in enumerate(w)):
+                out[d].add(item)
+    return [sorted(x) for x in out]
+
+
+def test_proximity_does_not_depend_on_the_slice(spark):
+    r = random.Random(8)
+    items = [(k, prose(k, 20)) for k in range(12)]
+    texts = [*ODD]
+    for k, text in items * 3:
+        w = text.split()
+        w[r.randrange(len(w))] = f"other{r.randrange(99)}"
+        texts += [prose(100 + k, r.choice([0, 5, 40])) + " " + " ".join(w), " ".join(r.sample(w, 4)), prose(200 + len(texts), 30)]
+    texts += ["zebra quartz", "violin far", "quartz " + "word " * 30 + "zebra", "violin zebra quartz"]
+    items.append((99, "zebra quartz violin notelsewhere"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_near(texts, items)
+    assert sum(map(len, want)) >= 10
+    for parts in (1, 7, len(texts)):
+        got = {x.doc_id: x.near_item_ids for x in decontamination.decontaminate(docs(spark, texts).repartition(parts), bench).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_item_query(spark):
+    rows = {n: [r.asDict() for r in spark.read.parquet(f"{FOLDER}/{n}.parquet").collect()] for n in ("documents", "benchmark")}
+    want = brute_near([r["text"] for r in rows["documents"]], [(r["item_id"], r["text"]) for r in rows["benchmark"]])
+    got = {r.doc_id: r.n_near_items for r in QUERIES["op8_near_items"](spark, FOLDER).collect()}
+    assert got == {r["doc_id"]: len(x) for r, x in zip(rows["documents"], want)} and any(got.values())
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, size long")
 
