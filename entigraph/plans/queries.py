@@ -220,8 +220,19 @@ def score_pairs(spark, folder):
     return _scored(spark, folder).select("record_id", "supporting_id", r(F.col("active_weight")).alias("active_weight"), r(F.col("base_score")).alias("base_score"), r(F.col("penalty")).alias("penalty"), r(F.col("score")).alias("score"), "decision")
 
 
+@query
+def score_pairs_jaro_winkler(spark, folder):
+    """Pairs as the reference scores them: with Jaro-Winkler, which the SQL of ``score_pairs`` leaves out."""
+    r, f = matching.round_for_persistence, F.col("features")
+    return _scored(spark, folder, jaro=True).select(
+        "record_id", "supporting_id", r(f["name_edit"]).alias("name_edit"), r(f["name_jaro_winkler"]).alias("name_jaro_winkler"), r(F.col("signals")["name"]).alias("name"),
+        r(F.col("base_score")).alias("base_score"), r(F.col("score")).alias("score"), "decision",
+    )
+
+
 @query
 def decide_outcome(spark, folder):
+    """Without Jaro-Winkler, as its SQL; ``resolve_records`` is the whole chain."""
     new, known = _sides(spark, folder)
     return resolution.resolve(new, known, jaro=False).select("record_id", "decision", "entity_id", "supporting_id", matching.round_for_persistence(F.col("confidence")).alias("confidence"), "candidate_count")
 
@@ -236,7 +247,7 @@ def resolve_records(spark, folder):
 @query
 def decision_counts(spark, folder):
     new, known = _sides(spark, folder)
-    return resolution.resolve(new, known, jaro=False).groupBy("entity_type", "decision").count().withColumnRenamed("count", "records")
+    return resolution.resolve(new, known).groupBy("entity_type", "decision").count().withColumnRenamed("count", "records")
 
 
 # Versions and replay
@@ -466,7 +477,7 @@ def review_eligibility(spark, folder):
 @query
 def applied_decisions(spark, folder):
     new, known = _sides(spark, folder)
-    tables = resolution.apply_decisions(resolution.resolve(new, known, jaro=False))
+    tables = resolution.apply_decisions(resolution.resolve(new, known))
     counts = [t.agg(F.lit(name).alias("table_name"), F.count("*").alias("new_rows")) for name, t in tables.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -478,7 +489,7 @@ def ordered_resolution(spark, folder):
     rank = F.when(F.col("source") == "crm", 0).when(F.col("source") == "registry", 1).otherwise(2)
     arrivals = r.withColumn("arrival_seq", rank * 10_000_000_000 + F.substring("external_id", 2, 20).cast("long"))
     nobody = r.select("tenant_id", "entity_type", "record_id", F.lit("").alias("entity_id"), F.lit("").alias("status"), "normalized").limit(0)
-    outcomes, _ = resolve_in_order(arrivals, nobody, jaro=False)
+    outcomes, _ = resolve_in_order(arrivals, nobody)
     return outcomes.groupBy("entity_type", "decision").agg(F.count("*").alias("records"), F.countDistinct("linked_entity_id").alias("entities"))
 
 
