@@ -23,6 +23,9 @@ MOST_REPEATED = 20
 #: The method's limits: share of the words that repeats cover, and words of the longest repeat.
 MOST_COVERED = 0.20
 LONGEST_REPEAT = 200
+#: Limits of ``op3_repeat_limits``, tighter than the base rule: a tenth of the words, and a passage of 50 words.
+TIGHT_COVERED = 0.10
+TIGHT_REPEAT = 50
 
 SYMBOLS = "#*$%&|<>"
 
@@ -115,7 +118,10 @@ def quality_rules(docs: DataFrame, most_covered: float = MOST_COVERED, longest_r
     Words are ``[^\\x20\\x09-\\x0D]+``. ``n_repeat_words`` counts the words in substrings of ``span`` words or more that
     occur twice or more in the text, the first occurrence included. A text fails the base rules with under ten words or
     over a fifth of them repeated; otherwise it is kept if repeats cover no more than ``most_covered`` of its words and
-    the longest has at most ``longest_repeat`` words. A null or empty text has no words and fails. Null and repeated ids
+    the longest has at most ``longest_repeat`` words. The default ``most_covered`` is the base rule's own share, so that
+    it rejects nothing more, and the default ``longest_repeat`` needs a text of over 1,000 words (over 2,000 where the
+    two places do not overlap); both are what op3's SQL says. ``TIGHT_COVERED`` and ``TIGHT_REPEAT`` decide on shorter
+    texts, too. A null or empty text has no words and fails. Null and repeated ids
     stay as they are, each row judged apart; no rows give no rows. Further columns are not carried.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, longest_repeat.

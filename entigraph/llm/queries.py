@@ -63,6 +63,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op3_repeat_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict by limits on repeats that are tighter than the base rule, which op3's SQL does not carry."""
+    from .quality import TIGHT_COVERED, TIGHT_REPEAT, quality_rules
+
+    found = quality_rules(_table(spark, sf_dir, "documents"), TIGHT_COVERED, TIGHT_REPEAT)
+    return found.select("doc_id", "n_words", "n_repeat_words", "longest_repeat", "base_failed", "kept")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
@@ -128,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op3_repeat_limits": op3_repeat_limits,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secret_scans": op6_secret_scans,

@@ -153,6 +153,19 @@ def test_quality_verdicts(spark):
     assert not any(got[i].kept for i in range(len(ODD))) and got[len(ODD)].kept and got[len(ODD) + 1].base_failed
 
 
+def test_repeat_limits_decide_beyond_the_base_rule(spark, tmp_path):
+    texts = [prose(9, 300, 10**6), prose(9, 260, 10**6) + " " + prose(8, 20, 10**6) + " and so on " + prose(8, 20, 10**6), prose(7, 1400, 10**6) + " " + prose(6, 60, 10**6) + " and so on " + prose(6, 60, 10**6)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op3_repeat_limits"](spark, str(tmp_path)).collect()}
+    assert [(got[i].base_failed, got[i].n_repeat_words, got[i].longest_repeat, got[i].kept) for i in range(3)] == [(False, 0, 0, True), (False, 40, 20, False), (False, 120, 60, False)]
+    assert 10 * got[2].n_repeat_words <= got[2].n_words
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    counts = {i: brute_quality(t) for i, t in texts.items()}
+    rows = QUERIES["op3_repeat_limits"](spark, FOLDER).collect()
+    assert {r.doc_id: r.kept for r in rows} == {r.doc_id: counts[r.doc_id][0] >= 10 and 10 * counts[r.doc_id][4] <= counts[r.doc_id][0] and r.longest_repeat <= 50 for r in rows}
+    assert len(rows) == len(texts) and any(not r.kept and not r.base_failed for r in rows)
+
+
 def brute_components(rows, width, percent):
     sets, root = {}, {}
     for i, t in rows:
