@@ -1,29 +1,32 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with ids of repeated words remembered.
+"""Token ids of whole texts by the ``tokenizers`` library, with ids of repeated segments remembered.
 
-A byte-level BPE never merges across the cuts of its word pattern, so the ids of a text are the ids of its words,
-joined. Words that were met before are looked up; new ones go to the library's model, words outside the Latin blocks
-and special tokens to its whole encoder.
+A byte-level BPE cuts a text by a pattern and never merges across a cut. Between a character that is no white space and
+a following blank there always is one, so a text's ids are those of its segments cut there, joined. A slice of texts is
+cut, and its distinct segments are found and looked up by Arrow; those that are not remembered go to the library: single
+words to its model, others to its whole encoder.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import sys
 from array import array
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Fixed value: the published word pattern of this family of byte-level BPE vocabularies.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered words; at more, all are forgotten. Bounds a worker's memory.
-MEMO_WORDS = 800_000
+#: Bytes of remembered segments and their ids in a worker.
+MEMO_BYTES = 64 << 20
+#: Longer segments are not remembered.
+MEMO_CHARS = 128
 
-# White space that is not a single blank or line end between two words: such texts are cut more carefully.
-_ODD = re.compile(r"\s\s|[^\S \n]|\x00")
+_CUT = "\x00"
 _CAREFUL = re.compile(r"(?<=\S)(?= )")
-_WORDS = regex.compile(WORD_PATTERN)
-_LATIN = re.compile(r"[\x00-ſ]*\Z")
+# A word of letters of the Latin blocks, with one mark behind it or none: one or two cuts of the pattern.
+_WORD = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+)([.,!?:;]?)\Z")
 
 
 def _alphabet() -> dict[int, str]:
@@ -42,59 +45,107 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def check_vocabulary(described: dict) -> None:
+    """Fail on a vocabulary for which the ids of a text may not be those of its segments."""
+    cutter = described.get("pre_tokenizer") or {}
+    added = [t["content"] for t in described.get("added_tokens") or []]
+    if (
+        described.get("normalizer") is not None
+        or (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex", True)) != ("ByteLevel", False, True)
+        or described["model"].get("type") != "BPE"
+        or any(re.search(r"\s", t) for t in added)
+    ):
+        raise ValueError("not a byte-level BPE vocabulary with the usual word pattern")
+
+
+class Memo:
+    """Bytes by segment, as Arrow arrays within a bound of bytes; those that were met least lately go first."""
+
+    def __init__(self, limit: int):
+        self.limit, self.turn = limit, 0
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def find(self, segments: pa.Array) -> pa.Array:
+        """The place of each segment, null where it is not remembered."""
+        at = pc.index_in(segments, value_set=self.keys)
+        self.turn += 1
+        self.met[at.drop_null().to_numpy()] = self.turn
+        return at
+
+    def add(self, segments: pa.Array, values: pa.Array) -> None:
+        short = pc.less_equal(pc.utf8_length(segments), MEMO_CHARS)
+        self.keys = pa.concat_arrays([self.keys, segments.filter(short)])
+        self.values = pa.concat_arrays([self.values, values.filter(short)])
+        self.met = np.concatenate([self.met, np.full(len(self.keys) - len(self.met), self.turn)])
+        if self.keys.nbytes + self.values.nbytes + self.met.nbytes > self.limit:
+            size = np.diff(_offsets(self.keys)) + np.diff(_offsets(self.values)) + 24
+            order = np.argsort(-self.met, kind="stable")
+            kept = pa.array(np.sort(order[np.cumsum(size[order]) <= self.limit // 2]))
+            self.keys, self.values, self.met = self.keys.take(kept), self.values.take(kept), self.met[kept.to_numpy()]
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+
+
+def _marked(text: str) -> str:
+    """The text with marks where it is cut: before blanks, and around single line ends."""
+    plain = text.replace("\n", " ")
+    if plain.isprintable() and "  " not in plain:
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
+    # Runs of white space, or other kinds of it; a text's own marks are left to the library.
+    return text if _CUT in text else _CAREFUL.sub(_CUT, text)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         assert sys.byteorder == "little" and array("I").itemsize == 4
+        # A task has one core; the library would start a thread for each of the machine's.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_vocabulary(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.segments: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.memo = Memo(memo_bytes)
 
     def _word(self, word: str) -> bytes:
-        """Ids of one cut of the word pattern, straight from the library's BPE model, in its byte alphabet."""
-        ids = self.words.get(word)
-        if ids is None:
-            if word.isascii() and word.isprintable():
-                shown = word.replace(" ", _ALPHABET[0x20])
-            else:
-                shown = word.encode().decode("latin-1").translate(_ALPHABET)
-            ids = self.words[word] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-        return ids
-
-    def _learn(self, segments: list[str]) -> None:
-        word = self._word
-        for s in segments:
-            body = s[1:] if s[0] == " " else s
-            if not body.isascii() and not _LATIN.match(body) or "<|" in s:
-                self.segments[s] = self._encode(s)
-            elif body.isalpha():
-                self.segments[s] = word(s)
-            elif body[-1:] in ".,!" and body[:-1].isalpha():
-                self.segments[s] = word(s[:-1]) + word(s[-1])
-            else:
-                self.segments[s] = b"".join(map(word, _WORDS.findall(s)))
+        """Ids of one cut of the pattern, straight from the library's BPE model, in its byte alphabet."""
+        shown = word.replace(" ", _ALPHABET[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        word = _WORD.match(segment)
+        if word is None:
+            return array("I", self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
+        return self._word(word[1]) + (self._word(word[2]) if word[2] else b"")
+
+    def _ids(self, segments: pa.Array) -> pa.Array:
+        """Ids of distinct segments."""
+        at = self.memo.find(segments)
+        unknown = at.is_null()
+        new = segments.filter(unknown)
+        made = pa.array(map(self._segment, new.to_pylist()), pa.large_binary())
+        # Known values first, then the new ones, in the segments' order.
+        place = np.cumsum(unknown.to_numpy(zero_copy_only=False)) - 1 + len(self.memo.keys)
+        at = pc.coalesce(at.cast(pa.int64()), pa.array(place))
+        out = pa.concat_arrays([self.memo.values, made]).take(at)
+        self.memo.add(new, made)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.segments) > MEMO_WORDS:
-            self.segments, self.words = {"": b""}, {}
-        cut, seen = [], set()
-        for text in texts:
-            if _ODD.search(text):
-                parts = _CAREFUL.split(text)
-            else:
-                parts = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-            cut.append(parts)
-            seen.update(parts)
-        self._learn([s for s in seen if s not in self.segments])
-        get = self.segments.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        odd = {i: t for i, t in enumerate(texts) if _CUT in t}
+        marked = pa.array(["" if i in odd else _marked(t) for i, t in enumerate(texts)], pa.large_string())
+        cut = pc.split_pattern(marked, _CUT)
+        coded = cut.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary).take(coded.indices)
+        ends = _offsets(ids)[np.asarray(cut.offsets)].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [self._segment(odd[i]) if i in odd else bytes(raw[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -19,12 +19,39 @@ PERCENTILE = 0.9
 
 _HEAD = struct.Struct("<8sIQQQ")
 _AT_ONCE = 1024
+#: 32 values of ``width`` bits fill ``width`` whole words.
+_GROUP = 32
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of rows of 32-bit values, joined from the lowest on, as rows of bytes."""
+    groups = np.ascontiguousarray(values.reshape(-1, _GROUP).T) & np.uint32((1 << width) - 1)
+    words = np.zeros((width, groups.shape[1]), dtype="<u4")
+    for k in range(_GROUP):
+        word, shift = divmod(k * width, 32)
+        words[word] |= groups[k] << np.uint32(shift)
+        if shift + width > 32:
+            words[word + 1] |= groups[k] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(raw: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows of bytes that ``_pack`` made."""
+    words = np.ascontiguousarray(np.ascontiguousarray(raw).view("<u4").reshape(-1, width).T)
+    groups = np.empty((_GROUP, words.shape[1]), dtype="<u4")
+    for k in range(_GROUP):
+        word, shift = divmod(k * width, 32)
+        groups[k] = words[word] >> np.uint32(shift)
+        if shift + width > 32:
+            groups[k] |= words[word + 1] << np.uint32(32 - shift)
+    groups &= np.uint32((1 << width) - 1)
+    return np.ascontiguousarray(groups.T).reshape(len(raw), -1)
+
+
 def encode(values: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """Block starts and the blocks of these values. The last block is filled up with its last value."""
     n = len(values)
@@ -37,9 +64,9 @@ def encode(values: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarr
     padded = padded.reshape(blocks, BLOCK)
     low = padded.min(axis=1)
     diff = padded - low[:, None]
-    need = _bits(diff)
-    width = np.partition(need, int(percentile * (BLOCK - 1)), axis=1)[:, int(percentile * (BLOCK - 1))]
-    outlier = need > width[:, None]
+    nth = int(percentile * (BLOCK - 1))
+    width = _bits(np.partition(diff, nth, axis=1)[:, nth])
+    outlier = (diff >> np.minimum(width, 31).astype(np.uint32)[:, None] > 0) & (width < 32)[:, None]
     many = outlier.sum(axis=1)
     packed = BLOCK // 8 * width.astype(np.int64)
     size = 8 + packed + 5 * many
@@ -55,8 +82,7 @@ def encode(values: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarr
         own = np.flatnonzero(width == w)
         for at in range(0, len(own), _AT_ONCE):
             part = own[at : at + _AT_ONCE]
-            bits = (diff[part][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
-            raw = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            raw = _pack(diff[part], int(w))
             out[(start[part] + 8)[:, None] + np.arange(raw.shape[1])] = raw
     block, place = np.nonzero(outlier)
     if len(block):
@@ -84,8 +110,7 @@ def decode(starts: np.ndarray, data: bytes | memoryview, n: int) -> np.ndarray:
         for at in range(0, len(own), _AT_ONCE):
             part = own[at : at + _AT_ONCE]
             packed = raw[(start[part] + 8)[:, None] + np.arange(BLOCK // 8 * int(w))]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, int(w))
-            out[part] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+            out[part] = _unpack(packed, int(w))
     total = int(many.sum())
     if total:
         block = np.repeat(np.arange(blocks), many)

@@ -70,7 +70,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # The text's hash is part of the range, so that rows with one id or none are dealt out, too.
+    lot = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", lot).sortWithinPartitions("doc_id", lot)
     return materialize(map_arrow(ordered, run, "file string, n_docs long, n_ids long"), "manifest")
 
 
@@ -80,9 +82,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def _read(manifest: DataFrame, folder: str, column: str, of) -> DataFrame:
-    # One row a file: small, and the only part that is ordered as a whole.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    # Two levels of sums: only one row for each writing task is ordered as a whole.
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("file", F.substring_index("file", "-", 1).alias("task"), "n_ids")
+    tasks = files.groupBy("task").agg(F.sum("n_ids").alias("n_ids")).select("task", before(Window.orderBy("task")).alias("earlier"))
+    placed = files.select("task", "file", before(Window.partitionBy("task").orderBy("file")).alias("within")).join(tasks, "task")
+    placed = placed.select("file", (F.col("earlier") + F.col("within")).alias("first"))
     kind = pa.binary() if column.endswith("binary") else pa.int64()
 
     def run(batches):
