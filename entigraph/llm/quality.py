@@ -20,12 +20,10 @@ SPAN = 5
 #: Base rules: fewest words, and most repeated words in percent.
 LEAST_WORDS = 10
 MOST_REPEATED = 20
-#: The method's limits: share of the words that repeats cover, and words of the longest repeat.
-MOST_COVERED = 0.20
-LONGEST_REPEAT = 200
-#: Limits of ``op3_repeat_limits``, tighter than the base rule: a tenth of the words, and a passage of 50 words.
-TIGHT_COVERED = 0.10
-TIGHT_REPEAT = 50
+#: The method's limits, tighter than the base rule: the share of the words that repeats cover, and the words of the
+#: longest repeat.
+MOST_COVERED = 0.10
+LONGEST_REPEAT = 50
 
 SYMBOLS = "#*$%&|<>"
 
@@ -46,8 +44,9 @@ def suffix_repeats(ids: np.ndarray, owner: np.ndarray, span: int = SPAN) -> np.n
     key = owner.astype(np.int64) * (int(ids.max()) + 1) + ids
     order = np.argsort(key, kind="stable")
     starts = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    # A suffix's rank is the place of the first one with its prefix, from 1; 0 is past the text's end.
-    rank = np.empty(n, dtype=np.int64)
+    # A suffix's rank is the place of the first one with its prefix, from 1; 0 is past the text's end. The ranks of each
+    # doubling are kept: as many as the longest repeat's length has binary digits.
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
     live = order[~(starts & np.append(starts[1:], True))]
     levels, length = [rank], 1
@@ -116,13 +115,11 @@ def quality_rules(docs: DataFrame, most_covered: float = MOST_COVERED, longest_r
     """Judge every whole text by its repeated substrings.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. ``n_repeat_words`` counts the words in substrings of ``span`` words or more that
-    occur twice or more in the text, the first occurrence included. A text fails the base rules with under ten words or
-    over a fifth of them repeated; otherwise it is kept if repeats cover no more than ``most_covered`` of its words and
-    the longest has at most ``longest_repeat`` words. The default ``most_covered`` is the base rule's own share, so that
-    it rejects nothing more, and the default ``longest_repeat`` needs a text of over 1,000 words (over 2,000 where the
-    two places do not overlap); both are what op3's SQL says. ``TIGHT_COVERED`` and ``TIGHT_REPEAT`` decide on shorter
-    texts, too. A null or empty text has no words and fails. Null and repeated ids
-    stay as they are, each row judged apart; no rows give no rows. Further columns are not carried.
+    occur twice or more in the text, the first occurrence included; ``longest_repeat`` has the words of the longest of
+    them, 0 for none. A text fails the base rules with under ten words or over a fifth of them repeated; otherwise it is
+    kept if repeats cover no more than ``most_covered`` of its words and the longest has at most ``longest_repeat``
+    words. A null or empty text has no words and fails. Null and repeated ids stay as they are, each row judged apart;
+    no rows give no rows. Further columns are not carried.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, longest_repeat.
     """

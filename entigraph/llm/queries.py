@@ -60,15 +60,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+    return quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def op3_repeat_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict by limits on repeats that are tighter than the base rule, which op3's SQL does not carry."""
-    from .quality import TIGHT_COVERED, TIGHT_REPEAT, quality_rules
+    """The verdict by the two limits alone, each stated apart."""
+    from pyspark.sql import functions as F
+
+    from .quality import LONGEST_REPEAT, MOST_COVERED, quality_rules
 
-    found = quality_rules(_table(spark, sf_dir, "documents"), TIGHT_COVERED, TIGHT_REPEAT)
-    return found.select("doc_id", "n_words", "n_repeat_words", "longest_repeat", "base_failed", "kept")
+    found = quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_repeat_words", "longest_repeat", (F.col("n_repeat_words") > MOST_COVERED * F.col("n_words")).alias("covered_too_far"),
+        (F.col("longest_repeat") > LONGEST_REPEAT).alias("repeat_too_long"), "base_failed", "kept",
+    )
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,12 +171,11 @@ b AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN u ON d.doc_id = u.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
-long AS (
-  SELECT DISTINCT doc_id FROM (
-    SELECT doc_id, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING) AS s, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING) AS m
-    FROM p WHERE doc_id IN (SELECT doc_id FROM f WHERE NOT base_failed AND n_repeat_words > 200))
-  WHERE m = 201 GROUP BY doc_id, s HAVING count(*) > 1)
-SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM long) AS kept FROM f
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS apart FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.five = y.five AND x.i < y.i),
+k AS (SELECT doc_id, apart, i - row_number() OVER (PARTITION BY doc_id, apart ORDER BY i) AS run FROM e),
+l5 AS (SELECT doc_id, max(n) + 4 AS longest FROM (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id, apart, run) GROUP BY doc_id)
+SELECT f.*, NOT base_failed AND n_repeat_words <= 0.10 * n_words AND coalesce(longest, 0) <= 50 AS kept, coalesce(longest, 0) AS longest_repeat
+FROM f LEFT JOIN l5 ON f.doc_id = l5.doc_id
 """,
     "op5_near_duplicates": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
