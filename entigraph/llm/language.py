@@ -1,13 +1,13 @@
 """Language identification by a blended-spectrum string kernel with Nystroem landmarks and kernel ridge regression.
 
-The kernel of two texts counts the byte n-grams (n = 1 to 3) present in both, over the n-grams that occur in the
-landmark texts, divided by the root of both texts' own counts. Landmarks are training texts; all scoring is by batched
-products of a presence matrix with the landmarks and of the kernel values with one weight vector for each language.
+The kernel of two texts counts the byte n-grams (n = 1 to 3) present in both, over those that occur in enough landmark
+texts, divided by the root of both texts' own counts. Landmarks are training texts; all scoring is by batched products
+of a presence matrix with the landmarks and of the kernel values with one weight vector for each language.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,30 +17,35 @@ from pyspark.sql import functions as F
 
 from ._batches import map_arrow, slices
 
-#: Bounds of the training sample: texts of each language, and landmarks among them.
+#: Bounds of the training sample: texts of each language and in all, and bytes of a text; longer ones teach nothing.
 TRAIN_TEXTS = 300
+TRAIN_TEXTS_IN_ALL = 3000
+TRAIN_TEXT_BYTES = 64 << 10
+#: Landmarks of each language, among the training texts.
 LANDMARKS = 24
-#: Features of the landmarks that are kept: those in the most landmarks.
-FEATURES = 12_000
+#: Landmarks that an n-gram must occur in to be a feature.
+LEAST_MARKS = 2
 RIDGE = 1e-2
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
+#: Entries of a presence matrix that are made at once.
+PRESENCE_ENTRIES = 8 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SEPARATOR = b"\x00"
-# ASCII other than letters counts as a blank, but for the separator of texts.
-_BYTES = bytes(b if b == 0 or b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+#: Symbols of n-grams: 0 parts texts, then the letters a-z, a blank for other ASCII, and the bytes beyond ASCII.
+_SYMBOLS = 28 + 128
+_SYMBOL = bytes(0 if b == 0 else b - 0x80 + 28 if b >= 0x80 else b - 0x61 + 1 if 0x61 <= b <= 0x7A else b - 0x41 + 1 if 0x41 <= b <= 0x5A else 27 for b in range(256))
 
 
 def _bytes(text: str | None) -> bytes:
-    return (text or "").lower().encode().translate(_BYTES).replace(_SEPARATOR, b" ")
+    return (text or "").lower().encode().replace(_SEPARATOR, b" ").translate(_SYMBOL)
 
 
 def _codes(raw: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the 1-, 2- and 3-grams that begin at each byte; those with a separator are 0."""
-    a = raw.astype(np.uint32)
-    two = np.where((a[:-1] > 0) & (a[1:] > 0), a[:-1] << 8 | a[1:], 0)
-    three = np.where((two[:-1] > 0) & (a[2:] > 0), two[:-1] << 8 | a[2:], 0) if len(a) > 2 else np.zeros(0, dtype=np.uint32)
+    """Numbers of the 1-, 2- and 3-grams that begin at each symbol; those with a separator are 0."""
+    a = raw.astype(np.int32)
+    two = np.where((a[:-1] > 0) & (a[1:] > 0), a[:-1] * _SYMBOLS + a[1:], 0)
+    three = np.where((two[:-1] > 0) & (a[2:] > 0), two[:-1] * _SYMBOLS + a[2:], 0) if len(a) > 2 else np.zeros(0, dtype=np.int32)
     return [a, two, three]
 
 
@@ -66,8 +71,8 @@ class Model:
         if self._tables is None:
             self._tables, first = [], 0
             for n, own in enumerate(self.features, 1):
-                table = np.full(256**n, -1, dtype=np.int16)
-                table[own] = np.arange(first, first + len(own), dtype=np.int16)
+                table = np.full(_SYMBOLS**n, -1, dtype=np.int16 if self.width < 1 << 15 else np.int32)
+                table[own] = np.arange(first, first + len(own))
                 first += len(own)
                 self._tables.append(table)
         return self._tables
@@ -85,58 +90,71 @@ class Model:
         return out
 
     def kernel(self, texts: list[str | None]) -> np.ndarray:
-        found = self.presence(texts)
-        size = np.sqrt(np.maximum(found.sum(axis=1), 1))
-        return (found @ self.landmarks) / size[:, None]
+        out, step = np.zeros((len(texts), self.landmarks.shape[1]), dtype=np.float32), max(1, PRESENCE_ENTRIES // max(self.width, 1))
+        for at in range(0, len(texts), step):
+            found = self.presence(texts[at : at + step])
+            size = np.sqrt(np.maximum(found.sum(axis=1), 1))
+            out[at : at + step] = (found @ self.landmarks) / size[:, None]
+        return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the halved distance of the best regression value from -1, in 0 to 1."""
         value = self.kernel(texts) @ self.weights
         best = value.argmax(axis=1)
         score = np.clip((value[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64)
-        known = np.array([t is not None and _LETTER.search(t) is not None for t in texts])
+        known = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
         return [self.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE) -> Model:
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, least_marks: int = LEAST_MARKS, ridge: float = RIDGE) -> Model:
     """Fit to (text, language) rows, in the order given."""
     languages = sorted({y for _, y in rows})
     if not languages:
         return Model([UNKNOWN], [np.zeros(0, dtype=np.int64)] * 3, np.zeros((0, 1), dtype=np.float32), np.zeros((1, 1), dtype=np.float32))
     chosen = [t for y in languages for t in [t for t, z in rows if z == y][:landmarks]]
     many = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*([np.unique(c) for c in _codes(np.frombuffer(_bytes(t), dtype=np.uint8))] for t in chosen))]
-    count = np.concatenate([c for _, c in many])
-    least = np.sort(count)[-features] if len(count) > features else 0
-    model = Model(languages, [v[(c > least) & (v > 0)] if least else v[v > 0] for v, c in many], None, None)
+    least = min(least_marks, len(chosen))
+    model = Model(languages, [v[(c >= least) & (v > 0)] for v, c in many], None, None)
 
     marks = model.presence(chosen)
     model.landmarks = (marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]).T.copy()
     among = model.kernel(chosen).astype(np.float64)
     value, vector = np.linalg.eigh((among + among.T) / 2)
     own = value > 1e-6 * value.max()
+    if not own.any():  # no n-gram tells anything
+        model.weights = np.zeros((len(chosen), len(languages)), dtype=np.float32)
+        return model
     root = vector[:, own] / np.sqrt(value[own])
     mapped, target = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages)))
+    of = Counter(lang for _, lang in rows)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
         z = model.kernel([t for t, _ in part]) @ root
         y = np.array([[1.0 if name == lang else -1.0 for name in languages] for _, lang in part])
-        weight = np.array([1 / sum(z == lang for _, z in rows) for _, lang in part]) if len(languages) > 1 else np.ones(len(part))
+        weight = np.array([1 / of[lang] for _, lang in part])
         mapped += (z * weight[:, None]).T @ z
         target += (z * weight[:, None]).T @ y
     model.weights = (root @ np.linalg.solve(mapped + ridge * np.trace(mapped) / len(mapped) * np.eye(len(mapped)), target)).astype(np.float32)
     return model
 
 
-def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS) -> list[tuple[str, str]]:
-    """About ``texts`` labelled texts of each language, chosen by a hash of the document id, outside the held-out fold."""
+def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS, in_all: int = TRAIN_TEXTS_IN_ALL, text_bytes: int = TRAIN_TEXT_BYTES) -> list[tuple[str, str]]:
+    """About ``texts`` labelled texts of each language, ``in_all`` at most, outside the held-out fold.
+
+    They are chosen by a hash of id and text among those of at most ``text_bytes`` bytes; rows that are equal in both
+    and in their language count once.
+    """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rate = {r[0]: min(1.0, texts / r[1]) for r in labelled.groupBy("lang").count().collect()}
-    if not rate:
+    labelled = labelled.where(F.octet_length("text") <= text_bytes)
+    # One row for each language that the labels name.
+    many = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    if not many:
         return []
-    rates = F.create_map(*[F.lit(x) for kv in rate.items() for x in kv])
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
-    rows = labelled.where(lot < rates[F.col("lang")]).select("doc_id", "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    each = min(texts, in_all / len(many))
+    rates = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, each / n))])
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000)) / 1_000_000
+    rows = labelled.where(lot < rates[F.col("lang")]).select("doc_id", "text", "lang").distinct().collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["lang"]))]
 
 
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT):
@@ -151,7 +169,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Language of every whole text.
 
     Trains on ``docs`` itself (without its held-out fold) when no model is given. A text that is null or has no letter
-    is ``und`` with score 0. With nothing labelled, every text is ``und``. A null id is kept and never held out; rows
+    (``str.isalpha``) is ``und`` with score 0. With nothing labelled, every text is ``und``. A null id is kept and never held out; rows
     that share an id are judged apart; no rows give no rows. Further columns are not carried.
 
     Returns doc_id, held_out, lang_pred, score.
@@ -167,7 +185,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, model: Model | None = None, languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
-    """Rows whose language is known, among ``languages`` if given, and scored ``least_score`` or more; all columns stay."""
+    """Rows whose language is known, among ``languages`` if given, and scored ``least_score`` or more; all columns stay.
+
+    Null texts and those without a letter go; with nothing labelled, all do. Every row is judged apart by its text
+    alone, whatever its id, null or repeated; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     wanted = None if languages is None else set(languages)
 
