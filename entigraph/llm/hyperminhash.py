@@ -14,10 +14,9 @@ import xxhash
 REGISTERS = 128
 MANTISSA = 10
 EMPTY = 0xFFFF
-#: Bands of registers whose equality makes a candidate: at a similarity of 0.85, a pair shares none of 25 bands of 5
-#: registers with a probability of (1 - 0.85 ** 5) ** 25 = 4e-7.
-BANDS, ROWS = 25, 5
-#: Sets of at most so many shingles get their candidates from shared prefixes instead, which is exact.
+#: Chance that a pair exactly at the limit shares no band of registers, at most.
+BAND_MISS = 1e-6
+#: Sets of at most so many shingles also meet by shared prefixes, which is exact.
 SMALL = 64
 
 _REST = 64 - REGISTERS.bit_length() + 1
@@ -102,32 +101,43 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of each row, distinct between bands."""
-    used = filled(regs)[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[0], used.shape[:2]).copy()
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Registers of a band: as many as leave a pair at the limit a chance of ``BAND_MISS`` or less to share none.
+
+    At 0.85, 25 bands of 5 registers miss (1 - 0.85 ** 5) ** 25 = 4e-7 of such pairs; at 0.80, 32 bands of 4, 5e-8.
+    """
+    fits = [r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= BAND_MISS]
+    return max(fits, default=1)
+
+
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of ``rows`` registers of each set, distinct between bands."""
+    bands = REGISTERS // rows
+    used = filled(regs)[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD[0], used.shape[:2]).copy()
+    for k in range(rows):
         key = mix(key * _ODD[1] + used[:, :, k])
     return key
 
 
 def prefix_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which two sets share one if their similarity is ``percent`` hundredths or more: the first few hashes."""
+    """Keys of which two different sets share two if their similarity is ``percent`` hundredths or more: the first hashes."""
     n = len(s)
-    return mix(s[: n - -(-n * percent // 100) + 1] * _ODD[2])
+    return mix(s[: n - -(-n * percent // 100) + 2] * _ODD[2])
 
 
 def candidate_keys(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Keys by which similar sets meet: bands for the larger ones, prefixes for the small and their largest partners."""
-    bands = band_keys(regs)
+    """Keys by which similar sets meet: all by bands, the small ones and their largest partners by prefixes, too."""
+    bands = band_keys(regs, band_rows(percent))
     reach = SMALL * 100 // percent
-    out = []
-    for i, s in enumerate(sets):
-        parts = [bands[i]] if len(s) > SMALL else []
-        if 0 < len(s) <= reach:
-            parts.append(prefix_keys(s, percent))
-        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
-    return out
+    none = np.zeros(0, dtype=np.uint64)
+    return [none if not len(s) else np.concatenate([bands[i], prefix_keys(s, percent)]) if len(s) <= reach else bands[i] for i, s in enumerate(sets)]
+
+
+def slack(percent: int) -> float:
+    """How far below the limit an estimate of a pair at the limit may lie: 4.8 standard deviations of a share of registers."""
+    p = percent / 100
+    return 4.8 * (p * (1 - p) / REGISTERS) ** 0.5
 
 
 def estimate(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Near-duplicate documents: HyperMinHash candidates, confirmed on full shingle sets, and their connected components.
 
-Exact copies of a shingle set are one class from the start. Classes meet in buckets (equal bands of registers, or equal
+Exact copies of a shingle set are one class from the start. Classes meet in buckets (equal bands of registers, and equal
 prefix hashes of small sets). Instead of all pairs of a bucket, first each member is tried with the centre of each of
-its buckets; from then on only members of different components are compared, block by block. So a large group of copies
-makes as many pairs as it has members, and yet no bucket is capped.
+its buckets; from then on only members of different components are compared. Large buckets with many of them are dealt
+again by pairs of keys, as similar sets share several; what then still shares a bucket is compared block by block. So a
+large group of copies makes as many pairs as it has members, and yet no bucket is capped.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from .components import connected_components
 
 WIDTH = 5
 PERCENT = 80
-#: Candidates are confirmed when their estimate is at most so far below the limit: four standard deviations.
-SLACK = 0.13
 #: Members of a bucket that are compared with others in one block.
 BLOCK = 256
 #: Ids that are broadcast at most, to pick texts; with more, texts are dealt by id.
@@ -30,7 +29,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cls (128-bit digest of the set, null if empty), regs, keys (by which candidates meet)."""
+    """doc_id, hash (of the text), n (set size), cls (128-bit digest of the set, null if empty), regs, keys (by which
+    candidates meet) of each row."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -40,15 +40,16 @@ def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
                     pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "cls", "regs", "keys"],
+                names=["doc_id", "hash", "n", "cls", "regs", "keys"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, cls binary, regs binary, keys array<long>")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), run, "doc_id long, hash long, n long, cls binary, regs binary, keys array<long>")
 
 
 def _registers(column) -> np.ndarray:
@@ -89,17 +90,33 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return map_arrow(both, run, "x long, y long")
 
 
+def _open_buckets(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node, root) of the buckets that span several components, and these buckets (key, main, n_main, n_all).
+
+    Buckets are tables of their own before they are joined, so that a large one's members can be dealt to many tasks.
+    """
+    sizes = own.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    sizes = materialize(sizes.where("n_main < n_all"), f"{name}-sizes")
+    return materialize(own.join(sizes.select("key"), "key", "left_semi"), name), sizes
+
+
 def _open_units(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of buckets that span several components, dealt into units (u) of two blocks that are to be compared.
 
-    A bucket's largest component is dealt into blocks, and so are its other members; the blocks of the others are
-    compared with each other and with those of the largest, which are never compared among themselves.
+    Where more than a block of members are outside the bucket's largest component, the bucket is dealt again by pairs of
+    its key and each other key of its members. Then a bucket's largest component is dealt into blocks, and so are its
+    other members; the blocks of the others are compared with each other and with those of the largest, which are never
+    compared among themselves.
     """
-    own = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    own = materialize(own.join(open_, "key"), "open-members")
-    sizes = own.groupBy("key", "root").count()
-    sizes = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    own = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    own, sizes = _open_buckets(own, "open-members")
+    large = sizes.where(F.col("n_all") - F.col("n_main") > BLOCK).select("key")
+    if not large.isEmpty():
+        others = classes.select("node", F.explode("keys").alias("other"))
+        pairs = own.join(large, "key", "left_semi").join(others, "node").where("key <> other")
+        pairs = pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "root").distinct()
+        again, more = _open_buckets(pairs, "open-again")
+        own, sizes = own.join(large, "key", "left_anti").unionByName(again), sizes.join(large, "key", "left_anti").unionByName(more)
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     rows = own.join(sizes, "key").select(
         "key", "node", "root", (F.col("root") == F.col("main")).alias("is_main"),
@@ -173,7 +190,7 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: Dat
     Units are first thinned by registers to the members with a likely partner across components; these bring their texts
     and are compared in full, the likeliest partner first, until a member has one link to each other component.
     """
-    least = percent / 100 - SLACK
+    least = percent / 100 - H.slack(percent)
     units = _open_units(members, roots, classes).join(classes.select("node", "n", "regs"), "node")
 
     def thin(t: pa.Table):
@@ -204,43 +221,87 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: Dat
     return _by_unit(whole, confirm, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Link documents whose ``width``-word shingle sets have ``percent`` hundredths of their union in common.
-
-    Shingles are of words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer words is one shingle. A null or
-    empty text, or one without words, links to nothing and is kept. Rows that share a document id are one document with
-    any of its texts; a row with a null id is never a component's head, joins that of its copies, and is kept only if
-    it has none. No rows give no rows. Further columns are not carried.
-
-    Returns doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is component_id).
-    """
-    least = percent / 100 - SLACK
-    spark = docs.sparkSession
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and of each class (cls) its root and the component's least doc_id (null if none is set)."""
+    least = percent / 100 - H.slack(percent)
     sketches = materialize(sketch(docs, width, percent), "sketches")
-    classes = sketches.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    # A class goes by a number of its own; its text is that of its row with the least id.
+    row = F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "hash")
+    classes = sketches.where("n > 0").groupBy("cls").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "cls", "row.doc_id", "row.hash", "n", "regs", "keys")
     classes = materialize(classes, "classes")
-    named = classes.where("node IS NOT NULL")
 
-    keys = named.select("node", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("size > 1")
-    members = materialize(keys.join(buckets.select("key", "centre"), "key"), "members")
+    keys = classes.select("node", F.explode("keys").alias("key"))
+    buckets = materialize(keys.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("centre")).where("size > 1").select("key", "centre"), "buckets")
+    members = materialize(keys.join(buckets, "key"), "members")
 
     meeting = members.select("node").distinct()
     n_meeting = meeting.count()
-    if n_meeting <= BROADCAST_IDS:
-        meeting = F.broadcast(meeting)
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").join(meeting, "node", "left_semi")
-    texts = materialize(texts, "texts")
+    wanted = classes.select("node", "doc_id", "hash").join(F.broadcast(meeting) if n_meeting <= BROADCAST_IDS else meeting, "node")
+    wanted = F.broadcast(wanted) if n_meeting <= BROADCAST_IDS else wanted
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("hash")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.hash") == F.col("w.hash"))
+    texts = materialize(rows.join(wanted.alias("w"), same).select("node", "text"), "texts")
+    if texts.count() > n_meeting:  # rows that are equal in id and text
+        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     pairs = members.where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
-    links = materialize(_confirmed(_likely(pairs, named, least), texts, width, percent), "links")
+    links = materialize(_confirmed(_likely(pairs, classes, least), texts, width, percent), "links")
     roots = connected_components(links, "x", "y")
 
-    more = materialize(_across(members, roots, named, texts, width, percent), "links")
+    more = materialize(_across(members, roots, classes, texts, width, percent), "links")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), "x", "y")
 
-    of = classes.select("cls", "node").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("component"))
+    of = classes.select("cls", "node", "doc_id").join(roots, "node", "left").select("cls", "doc_id", F.coalesce("root", "node").alias("root"))
+    of = materialize(of, "class-roots")
+    heads = materialize(of.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("root", "component_id"), "heads")
+    of = of.join(heads, "root", "left").select("cls", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sketches, of
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Link documents whose ``width``-word shingle sets have ``percent`` hundredths of their union in common.
+
+    Shingles are of words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer words is one shingle. A null or
+    empty text, or one without words, links to nothing and is kept. Rows that share a document id are judged apart, each
+    by its own text. A row with a null id links as any other, but is never a component's head; it is kept only if no row
+    of its component has an id. No rows give no rows. Further columns are not carried.
+
+    Returns doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is component_id).
+    """
+    sketches, of = _components(docs, width, percent)
     found = sketches.select("doc_id", "n", "cls").join(of, "cls", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs`` of which no two are near duplicates as ``near_duplicates`` has it; all columns stay.
+
+    Of a group, the row with the smallest id stays (a null one only if there is no other), at equal ids that with the
+    smallest hash of its text; of rows equal in both, that with the smallest hash of all its columns. Rows without words
+    all stay.
+    """
+    sketches, of = _components(docs, width, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "hash")
+    rows = sketches.where("n > 0").select("cls", "doc_id", "hash").join(of.select("cls", "root"), "cls")
+    groups = rows.groupBy("root").agg(F.min(row).alias("head"), F.count("*").alias("n")).where("n > 1").select("root", "head")
+    groups = materialize(groups, "groups")
+    grouped = rows.join(groups, "root").select("doc_id", "hash", F.col("head").eqNullSafe(row).alias("is_head"))
+    grouped = materialize(grouped.groupBy("doc_id", "hash").agg(F.max("is_head").alias("is_head"), F.count("*").alias("n")).where("NOT is_head OR n > 1"), "grouped")
+
+    d, g = docs.withColumn(_HASH, F.xxhash64("text")).alias("d"), grouped.alias("g")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{_HASH}") == F.col("g.hash"))
+    # A grouped row's text has words, so rows without any never meet a group.
+    left = d.join(g, same, "left_anti").select(docs.columns)
+    again = grouped.where("is_head")
+    if again.isEmpty():
+        return left
+    repeated = d.join(again.alias("g"), same, "left_semi")
+    once = repeated.groupBy("doc_id", _HASH).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return left.unionByName(once)
+
+
+#: A column name of no table.
+_HASH = "_hash_of_the_text_"

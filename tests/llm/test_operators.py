@@ -236,6 +236,60 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == sorted([(0, 0, True), (0, 0, True), (1, 0, False), (2, 0, False), (None, 0, False), (None, None, True)], key=str)
 
 
+def rows_with_shared_ids(seed=0):
+    """(doc_id, text) rows: near copies with null, shared and repeated ids, some of them equal."""
+    r, out = random.Random(seed), [(None, None), (None, ""), (3, None), (3, " ")]
+    for base in range(6):
+        words = prose(100 + base, 120).split()
+        for copy in range(r.choice([1, 4, 9])):
+            own = list(words)
+            own[r.randrange(len(own))] = f"w{copy // 2}"
+            out.append((r.choice([None, None, 7, 8, 10 + base, 20 + copy]), " ".join(own)))
+    return out + out[5:9]
+
+
+def brute_groups(rows, width, percent):
+    """Of each row: shingles, the least id of its component, and a number of the component."""
+    found = brute_components([(i, t) for i, (_, t) in enumerate(rows)], width, percent)
+    least: dict[int, int] = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[found[i][1]] = min(doc_id, least.get(found[i][1], doc_id))
+    return [(found[i][0], least.get(found[i][1]) if found[i][0] else rows[i][0], found[i][1]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates_of_shared_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rows = rows_with_shared_ids()
+    # Equal sets are one component.
+    d = spark.createDataFrame([(i, t, "en", "x", 1, 7) for i, t in rows], "doc_id long, text string, lang string, cls string, n long, hash int")
+    want = brute_groups(rows, 5, 80)
+    got = sorted((tuple(r) for r in near_duplicates.near_duplicates(d).collect()), key=str)
+    assert got == sorted(((i, n, c, i == c) for (i, _), (n, c, _) in zip(rows, want)), key=str)
+    kept = near_duplicates.one_of_each_group(d)
+    assert kept.columns == d.columns
+    heads: dict[int, tuple] = {}
+    for (i, t), (n, _, group) in zip(rows, want):
+        if n:
+            heads[group] = min(heads.get(group, (True, 0)), (i is None, i or 0))
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    empty = [(i, t) for (i, t), (n, _, _) in zip(rows, want) if not n]
+    assert sorted((x for x in left if x in empty), key=str) == sorted(empty, key=str)
+    own = [x for x in left if x not in empty]
+    assert sorted(((i is None, i or 0) for i, _ in own)) == sorted(heads.values())
+    groups = {x: group for x, (_, _, group) in zip(rows, want)}
+    assert len({groups[x] for x in own}) == len(own) == len(heads)
+
+
+def test_large_buckets_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    common = prose(1, 12)
+    texts = [f"{common} {prose(300 + i, 12, 10**6)}" for i in range(60)] + near_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85)
+
+
 def test_sketches():
     r = random.Random(5)
     for n in (40, 100, 1000):
