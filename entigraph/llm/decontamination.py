@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: each row is the index of one slice of the corpus, with the positions of every
-word that the test items use. A phrase is found by intersecting the position lists of its words, each shifted by the
+The index is partitioned by document: each row is the index of one slice of the corpus, with the positions of all its
+words, whatever the test items. A phrase is found by intersecting the position lists of its words, each shifted by the
 word's offset, from the rarest word on; proximity by the nearest positions of an item's rarest words, which are chosen
 once, by their counts in the whole corpus.
 """
@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ WINDOW = 13
 #: Proximity: so many of an item's rarest words stand within so many words.
 NEAR_TERMS = 3
 NEAR_WORDS = 2 * WINDOW
-#: Characters of test items that are broadcast at once; more items go in several blocks.
+#: Characters of test items that are held and broadcast at once; more items go in several blocks, one after another.
 BLOCK_CHARS = 8 << 20
 #: Candidate starts looked at together in a slice.
 CANDIDATES = 1 << 20
@@ -78,67 +79,61 @@ def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) ->
     )
 
 
-_INDEX = "doc_ids array<long>, n_words array<long>, terms array<binary>, counts array<long>, gaps binary"
+_INDEX = "slice long, doc_ids array<long>, n_words array<int>, terms array<string>, counts array<int>, gaps binary"
 
 
-def positional_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """The index of all whole texts for these words, one row for each slice of the corpus.
+def positional_index(docs: DataFrame) -> DataFrame:
+    """The index of all words of all whole texts, one row for each slice of the corpus.
 
     Positions count words over the slice, with one place left free after each document so that no phrase runs on into
-    the next. Columns: the slice's document ids and word counts, its words, how often each occurs, and the gaps between
-    their positions (little-endian unsigned 32-bit, from the first).
+    the next. Columns: the slice's number, its document ids and word counts, its words, how often each occurs, and the
+    gaps between their positions (little-endian unsigned 32-bit, from the first).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms, 1)})
 
     def run(batches):
-        known = shared.value
-        names = [None, *known]
+        task, made = TaskContext.get().partitionId(), 0
         for part in slices(batches, "text"):
-            n_words, ids = [], []
-            for text in part.column("text").to_pylist():
-                own = words(text)
-                n_words.append(len(own))
-                ids.extend(map(known.get, own, repeat(0)))
-                ids.append(0)
-            ids = np.array(ids, dtype=np.int64)
-            at = np.flatnonzero(ids)
-            order = at[np.argsort(ids[at], kind="stable")]
-            found, counts = np.unique(ids[order], return_counts=True)
-            gaps = np.diff(order, prepend=0)
+            texts = pa.array([(t or "").encode().translate(_WORD_BYTES).strip() for t in part.column("text").to_pylist()], pa.large_binary()).cast(pa.large_string())
+            cut = pc.ascii_split_whitespace(texts)
+            flat, at = cut.flatten(), np.asarray(cut.offsets)
+            there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+            n_words = np.diff(np.concatenate([[0], np.cumsum(there)])[at])
+            coded = flat.filter(pa.array(there)).dictionary_encode()
+            ids = coded.indices.to_numpy()
+            position = np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words)
+            order = np.argsort(ids, kind="stable")
+            counts = np.bincount(ids, minlength=len(coded.dictionary))
+            position = position[order]
+            gaps = np.diff(position, prepend=0)
             firsts = np.cumsum(counts) - counts
-            gaps[firsts] = order[firsts]
+            gaps[firsts] = position[firsts]
+            row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([n_words], pa.list_(pa.int64())),
-                    pa.array([[names[i] for i in found]], pa.list_(pa.binary())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())),
-                    pa.array([gaps.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([task << 32 | made], pa.int64()), row(part.column("doc_id"), pa.int64()), row(n_words, pa.int32()),
+                    row(coded.dictionary, pa.string()), row(counts, pa.int32()), pa.array([gaps.astype("<u4").tobytes()], pa.binary()),
                 ],
-                names=["doc_ids", "n_words", "terms", "counts", "gaps"],
-            )
+                names=["slice", "doc_ids", "n_words", "terms", "counts", "gaps"],
+            )
+            made += 1
 
     return map_arrow(docs.select("doc_id", "text"), run, _INDEX)
 
 
 class Slice:
-    """One row of the index, ready to be searched with a block's term numbers."""
-
-    def __init__(self, terms: list[bytes], counts: list[int], gaps: bytes, n_words: list[int], numbers: dict[bytes, int]):
-        counts = np.array(counts, dtype=np.int64)
-        flat = np.frombuffer(gaps, dtype="<u4").astype(np.int64)
-        firsts = np.cumsum(counts) - counts
-        total = np.cumsum(flat)
-        before = np.zeros(len(counts), dtype=np.int64)
-        before[1:] = total[firsts[1:] - 1]
-        position = total - np.repeat(before, counts)
-        number = np.array([numbers.get(t, 0) for t in terms], dtype=np.int64)
-        self.length = int(sum(n_words)) + len(n_words)
-        keep = np.repeat(number > 0, counts)
-        key = np.repeat(number, counts)[keep] * self.length + position[keep]
-        self.key = np.sort(key)
-        self.bounds = np.searchsorted(self.key, np.arange(len(numbers) + 2) * self.length)
+    """One row of the index, with the positions of a block's terms."""
+
+    def __init__(self, terms: pa.Array, counts: np.ndarray, gaps: bytes, n_words: np.ndarray, wanted: pa.Array):
+        self.length = int(n_words.sum()) + len(n_words)
+        place = pc.index_in(terms, value_set=wanted)
+        own = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        number = place.drop_null().to_numpy() + 1
+        firsts, many = (np.cumsum(counts, dtype=np.int64) - counts)[own], counts[own].astype(np.int64)
+        total = np.cumsum(np.frombuffer(gaps, dtype="<u4")[np.repeat(firsts, many) + ragged(many)], dtype=np.int64)
+        begin = np.cumsum(many) - many
+        position = total - np.repeat(np.concatenate([[0], total])[begin], many)
+        self.key = np.sort(np.repeat(number, many) * self.length + position)
+        self.bounds = np.searchsorted(self.key, np.arange(len(wanted) + 2) * self.length)
         self.often = np.diff(self.bounds)
 
     def positions(self, term: int) -> np.ndarray:
@@ -151,14 +146,14 @@ class Slice:
         at[at == len(self.key)] = 0
         return (self.key[at] == want) & (positions >= 0) & (positions < self.length) if len(self.key) else np.zeros(len(want), dtype=bool)
 
-    def within(self, term: int, positions: np.ndarray, reach: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether ``term`` stands less than ``reach`` words from each position, within ``begin`` <= place < ``end``."""
-        own = self.positions(term)
-        if not len(own):
+    def within(self, terms: np.ndarray, positions: np.ndarray, reach: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each term stands less than ``reach`` words from its position, within ``begin`` <= place < ``end``."""
+        if not len(self.key):
             return np.zeros(len(positions), dtype=bool)
-        at = np.searchsorted(own, positions)
-        right, left = own[at.clip(0, len(own) - 1)], own[(at - 1).clip(0)]
-        near = lambda x: (np.abs(x - positions) < reach) & (x >= begin) & (x < end)
+        want, first = terms * self.length + positions, terms * self.length
+        at = np.searchsorted(self.key, want)
+        right, left = self.key[at.clip(0, len(self.key) - 1)], self.key[(at - 1).clip(0)]
+        near = lambda x: (np.abs(x - want) < reach) & (x >= first + begin) & (x < first + end)
         return near(left) | near(right)
 
 
@@ -191,18 +186,30 @@ def find_windows(index: Slice, block: Phrases) -> Iterator[tuple[np.ndarray, np.
         yield row, start
 
 
-def corpus_counts(index: DataFrame) -> dict[bytes, int]:
-    """How often each word of the index occurs in the whole corpus; at most as many rows as the items have words."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    return {bytes(r.terms): r.n for r in rows.collect()}
+def corpus_counts(index: DataFrame, terms: list[str]) -> dict[str, int]:
+    """How often each of these words occurs in the whole corpus; at most as many rows as there are words."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        wanted = pa.array(shared.value, pa.string())
+        total = np.zeros(len(wanted), dtype=np.int64)
+        for b in batches:
+            place = pc.index_in(b.column("terms").flatten(), value_set=wanted)
+            there = place.is_valid().to_numpy(zero_copy_only=False)
+            np.add.at(total, place.drop_null().to_numpy(), b.column("counts").flatten().to_numpy()[there])
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([wanted.take(pa.array(own)), pa.array(total[own])], names=["term", "n"])
+
+    rows = index.select("terms", "counts").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    return {r.term: r.n for r in rows}
 
 
-def rarest_terms(block: Phrases, counts: dict[bytes, int], terms: int) -> np.ndarray:
+def rarest_terms(block: Phrases, counts: dict[str, int], terms: int) -> np.ndarray:
     """Each item's ``terms`` words that are the rarest in the corpus, of those that occur in it; ties by the word.
 
     An item with fewer such words than that, though it has more words, could only match by common ones: it has none.
     """
-    many = np.array([0, *(counts.get(t, 0) for t in block.terms)], dtype=np.int64)
+    many = np.array([0, *(counts.get(t.decode(), 0) for t in block.terms)], dtype=np.int64)
     table = np.zeros((len(block.items), terms), dtype=np.int64)
     for i, own in enumerate(block.item_terms):
         rare = sorted((x for x in own.tolist() if many[x]), key=lambda x: (many[x], block.terms[x - 1]))[:terms]
@@ -211,88 +218,113 @@ def rarest_terms(block: Phrases, counts: dict[bytes, int], terms: int) -> np.nda
     return table
 
 
-def find_near(index: Slice, block: Phrases, doc_at: np.ndarray, n_words: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(item, documents) in which the item's other rarest words stand within ``reach`` words of the rarest one."""
+def find_near(index: Slice, block: Phrases, doc_at: np.ndarray, n_words: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item, document) wherever the item's other rarest words stand within ``reach`` words of the rarest one."""
     rare = block.near
-    for item in np.flatnonzero((rare[:, 0] > 0) & ((rare == 0) | (index.often[rare] > 0)).all(axis=1)).tolist():
-        at = index.positions(int(rare[item, 0]))
+    live = np.flatnonzero((rare[:, 0] > 0) & ((rare == 0) | (index.often[rare] > 0)).all(axis=1))
+    many = index.often[rare[live, 0]]
+    group = np.cumsum(many) // CANDIDATES
+    for g in np.unique(group):
+        own, often = live[group == g], many[group == g]
+        item = np.repeat(own, often)
+        at = index.key[np.repeat(index.bounds[rare[own, 0]], often) + ragged(often)] % index.length
         doc = np.searchsorted(doc_at, at, side="right") - 1
-        for t in rare[item, 1:][rare[item, 1:] > 0]:
-            keep = index.within(int(t), at, reach, doc_at[doc], doc_at[doc] + n_words[doc])
-            at, doc = at[keep], doc[keep]
-        if len(at):
-            yield item, np.unique(doc)
+        for k in range(1, rare.shape[1]):
+            term = rare[item, k]
+            keep = (term == 0) | index.within(term, at, reach, doc_at[doc], doc_at[doc] + n_words[doc])
+            item, at, doc = item[keep], at[keep], doc[keep]
+        yield item, doc
+
+
+_HITS = "slice long, nth int, spans array<struct<begin:int,end:int>>, item_ids array<long>, near_item_ids array<long>"
+
+
+def search(index: DataFrame, block: Phrases, near_words: int = NEAR_WORDS) -> DataFrame:
+    """Documents of the index with occurrences of the block's windows, or of its items' rarest words near each other.
+
+    Returns slice, nth (the document in it), spans (of its words in windows, apart and ascending), item_ids, near_item_ids.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        block = shared.value
+        wanted = pa.array([t.decode() for t in block.terms], pa.string())
+        for b in batches:
+            for r in range(b.num_rows):
+                column = lambda name: b.column(name)[r].values  # noqa: B023, E731
+                n_words = column("n_words").to_numpy().astype(np.int64)
+                own = Slice(column("terms"), column("counts").to_numpy(), b.column("gaps")[r].as_buffer(), n_words, wanted)
+                doc_at = np.cumsum(n_words + 1) - n_words - 1
+                edge = np.zeros(own.length + 1, dtype=np.int64)
+                met, near = [], []
+                for w, start in find_windows(own, block):
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + block.size[w], -1)
+                    pairs = np.unique(np.stack([np.searchsorted(doc_at, start, side="right") - 1, w]), axis=1)
+                    many = np.diff(block.owner_at)[pairs[1]]
+                    met.append(np.stack([np.repeat(pairs[0], many), block.owner[np.repeat(block.owner_at[pairs[1]], many) + ragged(many)]]))
+                for item, doc in find_near(own, block, doc_at, n_words, near_words):
+                    near.append(np.unique(np.stack([doc, item]), axis=1))
+                covered = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
+                begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+                at_doc = np.searchsorted(doc_at, begin, side="right") - 1
+                found: dict[int, tuple[list, set, set]] = {}
+                for d, a, z in zip(at_doc.tolist(), (begin - doc_at[at_doc]).tolist(), (end - doc_at[at_doc]).tolist()):
+                    found.setdefault(d, ([], set(), set()))[0].append({"begin": a, "end": z})
+                for k, pairs in ((1, met), (2, near)):
+                    for part in pairs:
+                        for d, i in part.T.tolist():
+                            found.setdefault(d, ([], set(), set()))[k].add(block.items[i])
+                if found:
+                    docs = sorted(found)
+                    lists = [pa.array([sorted(found[d][k] - {None}) for d in docs], pa.list_(pa.int64())) for k in (1, 2)]
+                    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+                    columns = [pa.array([b.column("slice")[r].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int32()), pa.array([found[d][0] for d in docs], kind), *lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["slice", "nth", "spans", "item_ids", "near_item_ids"])
+
+    return map_arrow(index, run, _HITS)
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """One row for each document of several blocks' hits: its spans counted once, and all its items."""
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    rows = hits.groupBy("slice", "nth").agg(spans.alias("spans"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("item_ids", "near_item_ids")])
+    # Spans by their beginnings: each adds what lies beyond all earlier ones.
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["begin"], s["last"]), F.lit(0))).alias("n"), F.greatest(s["last"], x["end"]).alias("last"))
+    return rows.select("slice", "nth", F.aggregate("spans", state, step)["n"].cast("long").alias("n_hit"), "item_ids", "near_item_ids")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near_terms: int = NEAR_TERMS, near_words: int = NEAR_WORDS, hit_share: int = 20) -> DataFrame:
     """Mark the words of every document that lie in an occurrence of an item's window of ``window`` words.
 
     A document is contaminated when 1 of ``hit_share`` of its words or more is hit. The items are the query set: they
-    are read in blocks of bounded size, each of which is broadcast and searched in every slice of the index. An item of
-    fewer words is one window; an item without words, or with a null text, has none; an item with a null id hits words
-    but is not listed. A null or empty document has no words. Rows that share an id are judged apart. Empty tables give
-    no rows, or no hits. Further columns are not carried.
+    are read in blocks of bounded size, one of which is broadcast and searched in every slice of the index, and its hits
+    written, before the next. An item of fewer words is one window; an item without words, or with a null text, has
+    none; an item with a null id hits words but is not listed. A null or empty document has no words. Rows that share an
+    id are judged apart. Empty tables give no rows, or no hits. Further columns are not carried.
 
     Proximity asks for the ``near_terms`` words of an item that are the rarest in the whole corpus, within ``near_words``
     words of the rarest one and in one document, so that it does not depend on how the rows are dealt out.
 
     Returns doc_id, n_words, n_hit, n_items, item_ids (ascending), contaminated, near_item_ids (proximity matches).
     """
-    spark = docs.sparkSession
+    index = materialize(positional_index(docs), "postings")
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-chars // BLOCK_CHARS) or 1
-    lot = F.pmod(F.xxhash64("text"), F.lit(count))
-    blocks, terms = [], {}
+    lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    hits = None
     for k in range(count):
         block = phrases([tuple(r) for r in benchmark.where(F.col("text").isNotNull() & (lot == k)).select("item_id", "text").collect()], window)
-        terms.update(dict.fromkeys(block.terms))
-        blocks.append(block)
-    index = materialize(positional_index(docs, list(terms)), "postings")
-    counts = corpus_counts(index)
-    for k, block in enumerate(blocks):
-        block.near = rarest_terms(block, counts, near_terms)
-        blocks[k] = spark.sparkContext.broadcast(block)
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                n_words = np.array(row["n_words"], dtype=np.int64)
-                doc_at = np.cumsum(n_words + 1) - n_words - 1
-                length = int(n_words.sum()) + len(n_words)
-                edge = np.zeros(length + 1, dtype=np.int64)
-                items: list[set] = [set() for _ in n_words]
-                hit_by: list[set] = [set() for _ in n_words]
-                near: list[set] = [set() for _ in n_words]
-                for shared in blocks:
-                    block = shared.value
-                    index = Slice(row["terms"], row["counts"], row["gaps"], row["n_words"], {t: i for i, t in enumerate(block.terms, 1)})
-                    for w, start in find_windows(index, block):
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + block.size[w], -1)
-                        doc = np.searchsorted(doc_at, start, side="right") - 1
-                        for d, x in np.unique(np.stack([doc, w]), axis=1).T.tolist():
-                            hit_by[d].update(block.owner[block.owner_at[x] : block.owner_at[x + 1]].tolist())
-                    for item, own in find_near(index, block, doc_at, n_words, near_words):
-                        for d in own.tolist():
-                            near[d].add(block.items[item])
-                    for d, own in enumerate(hit_by):
-                        if own:
-                            items[d].update(block.items[i] for i in own)
-                            own.clear()
-                inside = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                n_hit = inside[doc_at + n_words] - inside[doc_at]
-                lists = [[sorted(x - {None}) for x in own] for own in (items, near)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(n_words),
-                        pa.array(n_hit),
-                        *(pa.array(x, pa.list_(pa.int64())) for x in lists),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "item_ids", "near_item_ids"],
-                )
-
-    found = map_arrow(index, run, "doc_id long, n_words long, n_hit long, item_ids array<long>, near_item_ids array<long>")
+        block.near = rarest_terms(block, corpus_counts(index, [t.decode() for t in block.terms]), near_terms)
+        found = materialize(search(index, block, near_words), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+
+    every = index.select("slice", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("nth", "d")).select("slice", "nth", "d.doc_ids", F.col("d.n_words").cast("long").alias("n_words"))
+    none = F.array().cast("array<long>")
+    found = every.join(_merged(hits), ["slice", "nth"], "left").select(
+        F.col("doc_ids").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_item_ids", none).alias("near_item_ids")
+    )
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         ((F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "near_item_ids",

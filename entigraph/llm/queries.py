@@ -114,11 +114,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination_digest, decontaminate
 
-    return contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))).drop("n_near_items")
+    return contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op8_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity matches, which op8's SQL does not carry."""
+    """The proximity matches alone."""
     from .decontamination import contamination_digest, decontaminate
 
     found = contamination_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -155,6 +155,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for those that SQL can express.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Of items (q) and documents (d) with their words (w): the items whose three rarest words of the corpus stand within 26
+#: words of the rarest one.
+_NEAR = """
+qw AS (SELECT DISTINCT item_id, unnest(w) AS word FROM q),
+dw AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) WHERE word IN (SELECT word FROM qw)),
+nw AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
+rw AS (SELECT item_id, qw.word, row_number() OVER (PARTITION BY item_id ORDER BY n, qw.word) AS rare FROM qw JOIN nw ON qw.word = nw.word),
+iw AS (SELECT item_id, least(count(*), 3) AS wanted FROM qw GROUP BY item_id),
+lw AS (SELECT rw.* FROM rw JOIN (SELECT item_id FROM rw GROUP BY item_id HAVING count(*) >= (SELECT wanted FROM iw WHERE iw.item_id = rw.item_id)) o ON rw.item_id = o.item_id WHERE rare <= 3),
+aw AS (SELECT item_id, doc_id, i FROM lw JOIN dw ON lw.word = dw.word WHERE rare = 1),
+ow AS (SELECT item_id, doc_id, rare, i AS j FROM lw JOIN dw ON lw.word = dw.word WHERE rare > 1),
+mw AS (SELECT aw.item_id, aw.doc_id, aw.i, count(DISTINCT rare) AS met FROM aw LEFT JOIN ow ON aw.item_id = ow.item_id AND aw.doc_id = ow.doc_id AND abs(aw.i - ow.j) < 26 GROUP BY ALL),
+near AS (SELECT doc_id, count(DISTINCT mw.item_id) AS n_near_items FROM mw JOIN iw ON mw.item_id = iw.item_id WHERE met >= wanted - 1 GROUP BY doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op3_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -196,10 +210,17 @@ z AS (SELECT DISTINCT s FROM b),
 p AS (SELECT doc_id, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS g, unnest(range(1, len(w) - s + 2)) AS i FROM d, z WHERE len(w) >= s),
 h AS (SELECT p.doc_id, p.i, p.s, b.item_id FROM p JOIN b ON p.s = b.s AND p.g = b.g),
 k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + s)) AS j FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id),
+{_NEAR}
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
+""",
+    "op8_near_items": rf"""
+WITH q AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+{_NEAR}
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_near_items, 0) AS n_near_items FROM d LEFT JOIN near ON d.doc_id = near.doc_id
 """,
     "op1_url_filters": """
 WITH u AS (
