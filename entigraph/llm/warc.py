@@ -24,6 +24,8 @@ FILE_BYTES = 64 << 20
 #: Byte ranges of a file with a gap of at most so many bytes are read at once, up to so many bytes in all.
 GAP_BYTES = 256 << 10
 RANGE_BYTES = 8 << 20
+#: Bytes of records that one task reads back, about.
+TASK_BYTES = 128 << 20
 
 _VERSION = "WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,17 +39,18 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _record_id(page_id: int | None, place: str = "") -> str:
+    """A page without an id goes by its record's place, so that record ids differ."""
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:page-at:{place}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
     """One record, compressed. A revisit carries headers only; line ends within a URL are escaped."""
     target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         _VERSION,
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(page_id, place)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -74,8 +77,7 @@ def parse(raw: bytes | memoryview) -> tuple[dict[str, str], bytes]:
 
 
 def _page(record_id: str) -> int | None:
-    number = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    return int(record_id.removeprefix("<urn:page:").removesuffix(">")) if record_id.startswith("<urn:page:") else None
 
 
 _INDEX = "page_id long, url string, digest string, file string, at long, size long"
@@ -85,13 +87,16 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> Da
     """Pages with their payload's digest and size, and the page that each repeated payload refers to.
 
     Of equal payloads of ``least_bytes`` or more, the one with the largest id is the response; the digests of payloads
-    that occur once never leave the aggregation.
+    that occur once never leave the aggregation. Those that repeat are a table of their own, so that the join is a plain
+    one: small, they are broadcast; large, a common payload's pages can be dealt to many tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     large = rows.where(F.col("bytes") >= least_bytes)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select("digest", "response")
-    return rows.join(first, "digest", "left")
+    first = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("asked"), "response")
+    # A smaller payload asks for no digest, but for a value of its own that none has.
+    asked = F.when(F.col("bytes") >= least_bytes, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    return rows.withColumn("asked", asked).join(materialize(first, "repeated"), "asked", "left").drop("asked")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -126,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_REVIS
                     name = f"{task:06d}-{made:06d}.warc.gz"
                     part, made, at = f"{root}/_{name}.{uuid.uuid4().hex}", made + 1, 0
                     out = files.open_output_stream(part)
-                raw = record(page["page_id"], page["url"], (page["html"] or "").encode(), page["digest"], page["refers_to"], page["revisit"])
+                raw = record(page["page_id"], page["url"], (page["html"] or "").encode(), page["digest"], page["refers_to"], page["revisit"], f"{name}:{at}")
                 out.write(raw)
                 index.append((page["page_id"], page["url"], page["digest"], name, at, len(raw)))
                 at += len(raw)
@@ -159,8 +164,11 @@ def read_archives(selected: DataFrame, folder: str, with_payload: bool = False)
 
     Returns page_id, url, record_type, digest, refers_to, payload_bytes (of the full payload), and payload if wanted.
     """
-    # Index rows are dealt by ranges of places, so that a task's rows are neighbours and a large file is shared.
-    ordered = selected.select("file", "at", "size").repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    # Index rows are dealt by ranges of places, so that a task's rows are neighbours and a large file is shared; the
+    # number of tasks follows the bytes that they will read, not those of the index.
+    size = selected.agg(F.sum("size")).first()[0] or 0
+    tasks = max(-(-size // TASK_BYTES), int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = selected.select("file", "at", "size").repartitionByRange(int(tasks), "file", "at").sortWithinPartitions("file", "at")
     schema = _READ + (", payload binary" if with_payload else "")
 
     def run(batches):
