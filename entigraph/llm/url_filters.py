@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import materialize
+
 #: Seconds of a time bucket: intervals and captures meet within buckets, which also splits up very common hosts.
 BUCKET = 30 * 86400
+#: Dated entries that are broadcast at most; more are joined by shuffle.
+BROADCAST_ENTRIES = 100_000
 
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 
@@ -58,13 +62,17 @@ def filter_urls(captures: DataFrame, events: DataFrame, bucket: int = BUCKET) ->
 
     Returns page_id, host, fetched_at, n_entries (active ones), blocked, list_name and pattern (of the deciding entry).
     """
-    entries = validity_intervals(events)
+    entries = materialize(validity_intervals(events), "intervals")
     depth = entries.agg(F.max(F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("/"))))).first()[0] or 0
     span = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     low, high = (span[0] or 0, span[1] or 0)
     number = lambda t: F.floor(t / F.lit(bucket)).cast("long")
     first, last = F.greatest("since", F.lit(low)), F.least(F.coalesce(F.col("until") - 1, F.lit(high)), F.lit(high))
-    dated = entries.where(first <= last).withColumn("bucket", F.explode(F.sequence(number(first), number(last))))
+    dated = materialize(entries.where(first <= last).withColumn("bucket", F.explode(F.sequence(number(first), number(last)))), "dated")
+    # Counted small, the entries go to every task, and a very common host needs no key; else the join is a plain one of
+    # two shuffles, of which a hot key's captures can be split.
+    if dated.count() <= BROADCAST_ENTRIES:
+        dated = F.broadcast(dated)
 
     # The row's number tells repeated rows apart; it is made before the first exchange, from the scan's order alone.
     rows = captures.select(F.monotonically_increasing_id().alias("row"), "page_id", url_host(F.col("url")).alias("host"), "fetched_at", url_patterns(F.col("url"), depth).alias("patterns"))
