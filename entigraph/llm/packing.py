@@ -22,6 +22,8 @@ from ._tokens import default_path, encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Rows of the table of lots' first ranks (one for each length and task) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, lot int, nth long"
 
@@ -164,6 +166,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
     before = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     firsts = lots.select("length", "lot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    # The table grows with the tasks: beyond its bound, the pieces' narrow rows are shuffled instead.
+    firsts = F.broadcast(firsts) if lots.count() <= BROADCAST_ROWS else firsts.hint("shuffle_merge")
     ranked = pieces.join(firsts, ["length", "lot"]).withColumn("rank", F.col("first") + F.col("nth"))
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
