@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 #: Rows of one Arrow batch: a batch of very long texts stays small.
 BATCH_ROWS = 512
-BATCH_BYTES = "8m"
+BATCH_BYTES = 8 << 20
 #: Bytes of text handled at once in a task.
 CHUNK_BYTES = 4 << 20
 
@@ -29,9 +29,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with small batches.
+
+    Spark reads the size of batches from the session when the whole plan runs, so the session's own setting is lowered
+    and stays so; one that is lower already is left alone.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = conf.get(name).lower().removesuffix("b")
+        size = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]]
+        if not 0 < size <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(fn, schema)
 
 
