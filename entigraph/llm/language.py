@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import map_arrow, slices
+from ._sample import bounded_texts
 
-#: Bounds of the training sample: texts of each language and in all, and bytes of a text; longer ones teach nothing.
+#: Bounds of the training sample: texts of each language and in all, bytes of a text (longer ones teach nothing), and
+#: bytes in all.
 TRAIN_TEXTS = 300
 TRAIN_TEXTS_IN_ALL = 3000
 TRAIN_TEXT_BYTES = 64 << 10
+TRAIN_BYTES = 24 << 20
 #: Landmarks of each language, among the training texts.
 LANDMARKS = 24
 #: Landmarks that an n-gram must occur in to be a feature.
@@ -138,14 +141,14 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, least_marks: in
     return model
 
 
-def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS, in_all: int = TRAIN_TEXTS_IN_ALL, text_bytes: int = TRAIN_TEXT_BYTES) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS, in_all: int = TRAIN_TEXTS_IN_ALL) -> list[tuple[str, str]]:
     """About ``texts`` labelled texts of each language, ``in_all`` at most, outside the held-out fold.
 
-    They are chosen by a hash of id and text among those of at most ``text_bytes`` bytes; rows that are equal in both
-    and in their language count once.
+    They are chosen by a hash of id and text among those of bounded length; rows that are equal in both and in their
+    language count once.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    labelled = labelled.where(F.octet_length("text") <= text_bytes)
+    labelled = labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
     # One row for each language that the labels name.
     many = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not many:
@@ -153,7 +156,7 @@ def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS, in_all: int = TRAIN
     each = min(texts, in_all / len(many))
     rates = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, each / n))])
     lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000)) / 1_000_000
-    rows = labelled.where(lot < rates[F.col("lang")]).select("doc_id", "text", "lang").distinct().collect()
+    rows = bounded_texts(labelled.where(lot < rates[F.col("lang")]), "lang", TRAIN_TEXT_BYTES, TRAIN_BYTES // len(many)).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["lang"]))]
 
 

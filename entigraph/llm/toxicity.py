@@ -8,6 +8,7 @@ marginals give the toxic spans; a logistic regression of a document's marginals
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -20,9 +21,13 @@ from pyspark.sql import functions as F
 
 from . import hyperminhash
 from ._batches import map_arrow, slices
+from ._sample import bounded_texts
 
-#: Bound of the training sample: labelled documents of either kind.
+#: Bounds of the training sample: labelled documents of either kind, bytes of a text (longer ones teach nothing), and
+#: bytes of either kind.
 TRAIN_DOCS = 1500
+TRAIN_TEXT_BYTES = 64 << 10
+TRAIN_BYTES = 12 << 20
 #: Odds of a word's beginning among toxic documents (as a logarithm) and documents with it, for it to be tagged.
 LEAST_ODDS, LEAST_DOCS = 3.0, 4
 THRESHOLD = 0.3
@@ -31,8 +36,10 @@ FOLDS, HELD_OUT = 4, 2
 BEGINNINGS = (4, 5, 6)
 WEIGHTS = 1 << 18
 ROUNDS, RIDGE = 30, 1e-3
-#: Remembered words of a worker; at more, all are forgotten.
-MEMO_WORDS = 500_000
+#: Words of a chain at most: a longer sentence goes on in a new one.
+CHAIN_WORDS = 400
+#: Bytes of remembered words of a worker, and what an entry takes besides its key; at more, all are forgotten.
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 112
 
 _EDGE = "\"'()[]{}<>.,;:!?*#$%&|…“”‘’«»-_"
 _STOP = re.compile(r"[.!?]+[\"')\]]*\Z")
@@ -65,7 +72,9 @@ class Words:
         end = stop[ids] if len(ids) else np.zeros(0, dtype=bool)
         last = np.cumsum(np.array(size, dtype=np.int64)) - 1
         end[last[np.array(size, dtype=np.int64) > 0]] = True
-        return ids, end, size
+        begin = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if len(ids) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
+        return ids, end | (place % CHAIN_WORDS == CHAIN_WORDS - 1), size
 
 
 def chains(end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +136,11 @@ class Model:
     step: np.ndarray
     logistic: np.ndarray
     memo: dict[str, float] = field(default_factory=dict)
+    held: int = 0
 
     def __getstate__(self) -> dict:
         own = np.flatnonzero(self.weights)
-        return {**self.__dict__, "weights": (own, self.weights[own]), "memo": {}}
+        return {**self.__dict__, "weights": (own, self.weights[own]), "memo": {}, "held": 0}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -142,11 +152,12 @@ class Model:
         value = self.memo.get(word)
         if value is None:
             value = self.memo[word] = self.bias + float(sum(self.weights[s] for s in _slots(word)))
+            self.held += sys.getsizeof(word) + ENTRY_BYTES
         return value
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        if self.held > MEMO_BYTES:
+            self.memo, self.held = {}, 0
         words = Words()
         ids, end, size = words.sentences(texts)
         score = np.array([self.emission(w) for w in words.number])
@@ -251,18 +262,20 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT):
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> list[tuple[str | None, int, float]]:
     """About ``sample`` labelled documents of either kind, chosen by a hash of their id, outside the held-out fold.
 
-    A document with several labels counts as toxic if one says so; labels without an id or a value are ignored.
+    A document with several labels counts as toxic if one says so; labels without an id or a value are ignored, and so
+    are null texts and long ones. Rows that are equal in id and text count once. A row's weight undoes the sampling.
     """
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rate = {r[0]: min(1.0, sample / r[1]) for r in own.groupBy("toxic").count().collect()}
-    if not rate:
+    many = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
+    if not many:
         return []
     lot = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    rates = F.create_map(*[F.lit(x) for kv in rate.items() for x in kv])
-    # Bounded by twice the sample.
+    rates = F.create_map(*[F.lit(x) for kind, n in many.items() for x in (kind, min(1.0, sample / n))])
+    # Bounded by about twice the sample.
     chosen = own.where(lot < rates[F.col("toxic")])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"], r["toxic"], 1 / rate[r["toxic"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    rows = bounded_texts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic", TRAIN_TEXT_BYTES, TRAIN_BYTES).collect()
+    taken = Counter(r["toxic"] for r in rows)
+    return [(r["text"], r["toxic"], many[r["toxic"]] / taken[r["toxic"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
