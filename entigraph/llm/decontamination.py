@@ -79,15 +79,15 @@ def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) ->
     )
 
 
-_INDEX = "slice long, doc_ids array<long>, n_words array<int>, terms array<string>, counts array<int>, gaps binary"
+_INDEX = "slice long, doc_ids array<long>, hashes array<long>, n_words array<int>, terms array<string>, counts array<int>, gaps binary"
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
     """The index of all words of all whole texts, one row for each slice of the corpus.
 
     Positions count words over the slice, with one place left free after each document so that no phrase runs on into
-    the next. Columns: the slice's number, its document ids and word counts, its words, how often each occurs, and the
-    gaps between their positions (little-endian unsigned 32-bit, from the first).
+    the next. Columns: the slice's number, its document ids, their texts' hashes and word counts, its words, how often
+    each occurs, and the gaps between their positions (little-endian unsigned 32-bit, from the first).
     """
 
     def run(batches):
@@ -110,14 +110,14 @@ def positional_index(docs: DataFrame) -> DataFrame:
             row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([task << 32 | made], pa.int64()), row(part.column("doc_id"), pa.int64()), row(n_words, pa.int32()),
-                    row(coded.dictionary, pa.string()), row(counts, pa.int32()), pa.array([gaps.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([task << 32 | made], pa.int64()), row(part.column("doc_id"), pa.int64()), row(part.column("hash"), pa.int64()),
+                    row(n_words, pa.int32()), row(coded.dictionary, pa.string()), row(counts, pa.int32()), pa.array([gaps.astype("<u4").tobytes()], pa.binary()),
                 ],
-                names=["slice", "doc_ids", "n_words", "terms", "counts", "gaps"],
+                names=["slice", "doc_ids", "hashes", "n_words", "terms", "counts", "gaps"],
             )
             made += 1
 
-    return map_arrow(docs.select("doc_id", "text"), run, _INDEX)
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), run, _INDEX)
 
 
 class Slice:
@@ -309,6 +309,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
     Returns doc_id, n_words, n_hit, n_items, item_ids (ascending), contaminated, near_item_ids (proximity matches).
     """
+    return _judged(docs, benchmark, window, near_terms, near_words, hit_share).drop("hash")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hit_share: int = 20) -> DataFrame:
+    """Rows of ``docs`` that ``decontaminate`` does not find contaminated, each judged by its own text; all columns stay."""
+    name = "_hash_of_the_text_"
+    found = materialize(_judged(docs, benchmark, window, NEAR_TERMS, NEAR_WORDS, hit_share).where("contaminated").select("doc_id", "hash").distinct(), "contaminated").alias("c")
+    d = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    return d.join(found, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{name}") == F.col("c.hash")), "left_anti").select(docs.columns)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, near_terms: int, near_words: int, hit_share: int) -> DataFrame:
     index = materialize(positional_index(docs), "postings")
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-chars // BLOCK_CHARS) or 1
@@ -320,13 +332,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
         found = materialize(search(index, block, near_words), "hits")
         hits = found if hits is None else hits.unionByName(found)
 
-    every = index.select("slice", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("nth", "d")).select("slice", "nth", "d.doc_ids", F.col("d.n_words").cast("long").alias("n_words"))
+    every = index.select("slice", F.posexplode(F.arrays_zip("doc_ids", "hashes", "n_words")).alias("nth", "d")).select("slice", "nth", "d.doc_ids", "d.hashes", F.col("d.n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<long>")
     found = every.join(_merged(hits), ["slice", "nth"], "left").select(
-        F.col("doc_ids").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_item_ids", none).alias("near_item_ids")
+        F.col("doc_ids").alias("doc_id"), F.col("hashes").alias("hash"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_item_ids", none).alias("near_item_ids")
     )
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+        "doc_id", "hash", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         ((F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "near_item_ids",
     )
 
