@@ -77,7 +77,9 @@ def normalize_domain(column: Column, wide: bool = True) -> Column:
 
 
 def _host(text: Column, wide: bool) -> Column:
-    host = F.regexp_extract(text, r"^(?:https?://)?([^/?#@:\\\s]+)/?$", 1)
+    # A URL may end in an empty query or fragment, a bare host may not.
+    host = F.regexp_extract(text, r"^(?:(?=[^?#]*$)|(?=https?://))(?:https?://)?([^/?#@:\\\s]+)/?\??#?$", 1)
+    host = F.when(host.contains("%"), F.lower(F.try_url_decode(host))).otherwise(host)
     if wide:
         host = _wide_only(host, _punycode)
     return F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")

@@ -64,6 +64,17 @@ def known_keys(kind: Column, raw: Column) -> Column:
     return (F.size(F.array_except(keys, allowed)) == 0) & F.coalesce(F.size(F.array_except(inner, F.array(*map(F.lit, ADDRESS_KEYS)))) == 0, F.lit(True))
 
 
+def typed_fields(raw: Column) -> Column:
+    """Each text field is a JSON text or null, and the address an object of such."""
+    value = F.try_parse_json(raw)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")), F.lit("VOID"))
+    ok = kind("address").startswith("OBJECT") | (kind("address") == "VOID")
+    for path in [*dict.fromkeys([*PERSON_KEYS, *COMPANY_KEYS]), *[f"address.{k}" for k in ADDRESS_KEYS]]:
+        if path not in ("address", "attributes"):
+            ok = ok & kind(path).isin("STRING", "VOID")
+    return ok
+
+
 def record_reason(raw: Column, kind: Column, source: Column, external: Column, data: Column) -> Column:
     return first_reason(
         (raw.rlike(r"^\s*\{"), "INVALID_REQUEST_BODY"),
@@ -71,6 +82,7 @@ def record_reason(raw: Column, kind: Column, source: Column, external: Column, d
         (external_id(external), "INVALID_EXTERNAL_ID"),
         (entity_type(kind), "INVALID_ENTITY_TYPE"),
         (known_keys(kind, raw), "UNKNOWN_FIELD"),
+        (typed_fields(raw), "INVALID_FIELD_TYPE"),
         (has_identity(kind, data), "IDENTITY_REQUIRED"),
         (lengths(data), "FIELD_TOO_LONG"),
         (email_syntax(data), "INVALID_EMAIL"),

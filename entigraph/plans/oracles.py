@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from ..policy import LEGAL_SUFFIXES
 from ..sources.party import PARTY_SQL
 
-_SUFFIX = "'^(.*[^, ])[, ]* (incorporated|corporation|limited|company|corp|plc|ltd|llc|inc|co)\\.?$'"
+_SUFFIX = f"'^(.*[^, ])[, ]* ({'|'.join(sorted(LEGAL_SUFFIXES, key=len, reverse=True))})\\.?$'"
 
 _N = f"""
 p AS ({PARTY_SQL}),
 n AS (
   SELECT 't1' AS tenant_id, source || ':' || external_id AS record_id, source, priority, external_id, entity_type, name AS raw_name, email AS raw_email, domain AS raw_domain,
-         city AS raw_city, country AS raw_country,
+         city AS raw_city, country AS raw_country, registration_id AS raw_registration,
          lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) AS name,
          split_part(email, '@', 1) || '@' || lower(split_part(email, '@', 2)) AS email,
-         regexp_replace(lower(domain), '^www\\.', '') AS domain, lower(city) AS city, upper(country) AS country
+         regexp_replace(lower(domain), '^www\\.', '') AS domain, lower(city) AS city, upper(country) AS country,
+         regexp_replace(phone, '[^0-9+]', '', 'g') AS phone, lower(trim(registration_id)) AS registration
   FROM p),
 b AS (SELECT *, CASE WHEN entity_type = 'company' THEN coalesce(nullif(regexp_extract(name, {_SUFFIX}, 1), ''), name) END AS base FROM n)"""
 
@@ -23,6 +25,8 @@ m AS (SELECT *, 'e:' || record_id AS entity_id FROM b WHERE source IN ('crm', 'r
 met AS (
   SELECT i.record_id, i.entity_type, 0 AS rank, 'EXACT_EMAIL' AS signal, m.entity_id, m.record_id AS supporting FROM i JOIN m ON i.email = m.email AND i.entity_type = m.entity_type AND i.record_id <> m.record_id
   UNION ALL
+  SELECT i.record_id, i.entity_type, 1, 'EXACT_PHONE', m.entity_id, m.record_id FROM i JOIN m ON i.phone = m.phone AND i.entity_type = m.entity_type AND i.record_id <> m.record_id
+  UNION ALL
   SELECT i.record_id, i.entity_type, 2, 'COMPANY_DOMAIN', m.entity_id, m.record_id FROM i JOIN m ON i.domain = m.domain AND i.entity_type = m.entity_type AND i.record_id <> m.record_id
   UNION ALL
   SELECT i.record_id, i.entity_type, 3, 'NAME_LOCATION', m.entity_id, m.record_id FROM i JOIN m ON substr(i.name, 1, 64) = substr(m.name, 1, 64) AND i.city = m.city AND i.country = m.country AND i.entity_type = m.entity_type AND i.record_id <> m.record_id),
@@ -35,6 +39,7 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDE
 pairs AS (SELECT DISTINCT f.record_id, f.entity_type, f.entity_id, f.supporting_id FROM placed f JOIN kept USING (record_id, entity_id) WHERE f.place <= 100),
 x AS (
   SELECT q.*, l.email = r.email AS email_exact, l.domain = r.domain AS domain_exact, l.country = r.country AS country_exact,
+         l.phone = r.phone AS phone_exact, CASE WHEN q.entity_type = 'company' THEN l.registration = r.registration END AS registration_exact,
          CASE WHEN q.entity_type = 'person' THEN l.name ELSE l.base END AS a, CASE WHEN q.entity_type = 'person' THEN r.name ELSE r.base END AS b,
          l.base AS la, r.base AS ra, l.city || ' ' || l.country AS lad, r.city || ' ' || r.country AS rad
   FROM pairs q JOIN b l ON q.record_id = l.record_id JOIN b r ON q.supporting_id = r.record_id),
@@ -44,23 +49,55 @@ f AS (
          len(list_intersect(string_split(lad, ' '), string_split(rad, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(lad, ' '), string_split(rad, ' ')))) AS address_token
   FROM x)"""
 
-_SCORES = """
+
+
+def _jaro(pairs: str) -> str:
+    """CTE jw (a, b, jw): Jaro-Winkler of the distinct pairs of differing texts, one character of ``a`` after another."""
+    return f"""
+jp AS (SELECT DISTINCT a, b FROM {pairs} WHERE a <> b),
+jr AS (
+  SELECT a, b, 0 AS i, 0::BIGINT AS taken, '' AS lefts FROM jp
+  UNION ALL
+  SELECT a, b, i + 1, CASE WHEN j IS NULL THEN taken ELSE taken | (1::BIGINT << CAST(j AS INTEGER)) END, CASE WHEN j IS NULL THEN lefts ELSE lefts || substr(a, i + 1, 1) END
+  FROM (SELECT *, list_filter(range(greatest(0, i - reach), least(length(b), i + reach + 1)), lambda k: substr(b, CAST(k AS INTEGER) + 1, 1) = substr(a, i + 1, 1) AND (taken >> CAST(k AS INTEGER)) & 1 = 0)[1] AS j
+        FROM (SELECT *, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS reach FROM jr WHERE i < length(a)))),
+jm AS (
+  SELECT a, b, lefts, length(lefts) AS m,
+         array_to_string(list_transform(list_filter(range(length(b)), lambda k: (taken >> CAST(k AS INTEGER)) & 1 = 1), lambda k: substr(b, CAST(k AS INTEGER) + 1, 1)), '') AS rights
+  FROM jr WHERE i = length(a)),
+js AS (
+  SELECT a, b, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / length(a) + m::DOUBLE / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: substr(lefts, k, 1) <> substr(rights, k, 1)))::DOUBLE / 2) / m) / 3 END AS jaro,
+         len(list_filter(range(1, 5), lambda k: length(a) >= k AND length(b) >= k AND substr(a, 1, k) = substr(b, 1, k))) AS prefix
+  FROM jm),
+jw AS (SELECT a, b, CASE WHEN jaro >= 0.7 THEN least(1.0::DOUBLE, jaro + prefix * 0.1::DOUBLE * (1 - jaro)) ELSE jaro END AS jw FROM js)"""
+
+
+def _scores(jaro: bool) -> str:
+    """CTE d: the pairs with signals, scores and decisions, with Jaro-Winkler or without it."""
+    jw = "CASE WHEN f.a = f.b THEN 1.0::DOUBLE ELSE jw.jw END" if jaro else "NULL::DOUBLE"
+    join = " LEFT JOIN jw ON f.a = jw.a AND f.b = jw.b" if jaro else ""
+    return (_jaro("f") + "," if jaro else "") + f"""
 s AS (
-  SELECT *, CASE WHEN email_exact THEN 1.0::DOUBLE END AS s_email,
-         CASE WHEN entity_type = 'person' THEN name_edit ELSE greatest(name_edit, company_token) END AS s_name,
+  SELECT f.*, {jw} AS name_jw, CASE WHEN email_exact THEN 1.0::DOUBLE END AS s_email, CASE WHEN phone_exact THEN 1.0::DOUBLE END AS s_phone,
+         greatest(name_edit, {jw}, CASE WHEN entity_type = 'company' THEN company_token END) AS s_name,
          CASE WHEN domain_exact THEN 1.0::DOUBLE END AS s_company,
          greatest(address_token, CASE WHEN country_exact THEN 1.0::DOUBLE END) AS s_location,
-         (CASE WHEN email_exact = false THEN 1 ELSE 0 END + CASE WHEN domain_exact = false THEN 1 ELSE 0 END + CASE WHEN country_exact = false THEN 1 ELSE 0 END) AS warnings
-  FROM f),
+         (CASE WHEN email_exact = false THEN 1 ELSE 0 END + CASE WHEN phone_exact = false THEN 1 ELSE 0 END + CASE WHEN domain_exact = false THEN 1 ELSE 0 END + CASE WHEN country_exact = false THEN 1 ELSE 0 END) AS warnings,
+         coalesce(registration_exact = false, false) AS blocked
+  FROM f{join}),
 w AS (
-  SELECT *, floor((0.0::DOUBLE + CASE WHEN s_email IS NOT NULL THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN s_name IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END
+  SELECT *, floor((0.0::DOUBLE + CASE WHEN s_email IS NOT NULL THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN s_phone IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN s_name IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END
          + CASE WHEN s_company IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN s_location IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END) * 1e12 + 0.5) / 1e12 AS active_weight FROM s),
 c AS (
-  SELECT *, coalesce(floor(0.4::DOUBLE * s_email / active_weight * 1e12 + 0.5) / 1e12, 0) + coalesce(floor(0.2::DOUBLE * s_name / active_weight * 1e12 + 0.5) / 1e12, 0)
+  SELECT *, coalesce(floor(0.4::DOUBLE * s_email / active_weight * 1e12 + 0.5) / 1e12, 0) + coalesce(floor(0.25::DOUBLE * s_phone / active_weight * 1e12 + 0.5) / 1e12, 0)
+         + coalesce(floor(0.2::DOUBLE * s_name / active_weight * 1e12 + 0.5) / 1e12, 0)
          + coalesce(floor(0.1::DOUBLE * s_company / active_weight * 1e12 + 0.5) / 1e12, 0) + coalesce(floor(0.05::DOUBLE * s_location / active_weight * 1e12 + 0.5) / 1e12, 0) AS total FROM w),
 z AS (SELECT *, floor(least(greatest(total, 0), 1) * 1e12 + 0.5) / 1e12 AS base_score, floor(least(0.15::DOUBLE * warnings, 1) * 1e12 + 0.5) / 1e12 AS penalty FROM c),
 t AS (SELECT *, floor(least(greatest(base_score - penalty, 0), 1) * 1e12 + 0.5) / 1e12 AS score FROM z),
-d AS (SELECT *, CASE WHEN score >= 0.92 THEN 'AUTO_MATCH' WHEN score >= 0.72 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM t)"""
+d AS (SELECT *, CASE WHEN score >= 0.92 AND NOT blocked THEN 'AUTO_MATCH' WHEN score >= 0.72 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM t)"""
+
+
+_SCORES, _JARO_SCORES = _scores(False), _scores(True)
 
 _OUTCOME = """
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, entity_id ORDER BY score DESC, supporting_id) AS rb FROM d) WHERE rb = 1),
@@ -80,7 +117,7 @@ def _r(x: str) -> str:
 
 
 def _with(*parts: str, select: str) -> str:
-    return "WITH " + ",".join(parts) + "\n" + select
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
 
 
 def _block(signal: str) -> str:
@@ -89,8 +126,9 @@ def _block(signal: str) -> str:
 
 def _features(kind: str) -> str:
     return _with(_N, _KEYS, _PAIRS, select=f"""
-SELECT record_id, supporting_id, email_exact, {_r('name_edit')} AS name_edit, {_r('company_token')} AS company_token, domain_exact, {_r('address_token')} AS address_token, country_exact,
-       concat_ws(',', CASE WHEN email_exact = false THEN 'EMAIL_CONFLICT' END, CASE WHEN domain_exact = false THEN 'COMPANY_DOMAIN_CONFLICT' END, CASE WHEN country_exact = false THEN 'COUNTRY_CONFLICT' END) AS contradictions
+SELECT record_id, supporting_id, email_exact, phone_exact, registration_exact, {_r('name_edit')} AS name_edit, {_r('company_token')} AS company_token, domain_exact, {_r('address_token')} AS address_token, country_exact,
+       concat_ws(',', CASE WHEN email_exact = false THEN 'EMAIL_CONFLICT' END, CASE WHEN phone_exact = false THEN 'PHONE_CONFLICT' END, CASE WHEN domain_exact = false THEN 'COMPANY_DOMAIN_CONFLICT' END, CASE WHEN country_exact = false THEN 'COUNTRY_CONFLICT' END,
+       CASE WHEN registration_exact = false THEN 'REGISTRATION_ID_CONFLICT' END) AS contradictions
 FROM f WHERE entity_type = '{kind}'""")
 
 
@@ -101,6 +139,8 @@ mem AS (SELECT *, coalesce(email, domain) AS entity_id, ((length(external_id) *
 cand AS (
   SELECT entity_id, record_id, priority, day, 'name' AS field, trim(regexp_replace(raw_name, '\\s+', ' ', 'g')) AS value, length(name) AS completeness FROM mem
   UNION ALL SELECT entity_id, record_id, priority, day, 'email', email, 1 FROM mem WHERE email IS NOT NULL
+  UNION ALL SELECT entity_id, record_id, priority, day, 'phone', phone, 1 FROM mem WHERE phone IS NOT NULL
+  UNION ALL SELECT entity_id, record_id, priority, day, 'registration_id', trim(raw_registration), length(trim(raw_registration)) FROM mem WHERE raw_registration IS NOT NULL
   UNION ALL SELECT entity_id, record_id, priority, day, 'domain', domain, 1 FROM mem WHERE entity_type = 'company'
   UNION ALL SELECT entity_id, record_id, priority, day, 'address.city', raw_city, length(city) FROM mem
   UNION ALL SELECT entity_id, record_id, priority, day, 'address.country', country, 1 FROM mem),
@@ -143,10 +183,13 @@ SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+2519' || lpad(CAST((c_custkey
     "source_slug_valid": """
 SELECT doc_id, CASE WHEN NOT regexp_full_match(CASE WHEN doc_id % 7 = 0 THEN upper(source) ELSE source END, '[a-z][a-z0-9_-]*') THEN 'INVALID_NAME'
                     WHEN doc_id % 1200 > 1000 THEN 'INVALID_PRIORITY' END AS reason FROM documents""",
-    "record_validation": f"WITH {_N} SELECT record_id, CASE WHEN entity_type = 'person' AND raw_domain IS NOT NULL THEN 'UNKNOWN_FIELD' END AS reason FROM b",
+    "record_validation": f"""WITH {_N}, k AS (SELECT record_id, CAST(substr(external_id, 2) AS BIGINT) AS n FROM b)
+SELECT record_id, CASE WHEN n % 90 = 0 THEN 'IDENTITY_REQUIRED' WHEN n % 90 = 9 THEN 'INVALID_REQUEST_BODY' ELSE CASE n % 9 WHEN 1 THEN 'INVALID_SOURCE' WHEN 2 THEN 'INVALID_EXTERNAL_ID'
+       WHEN 3 THEN 'INVALID_ENTITY_TYPE' WHEN 4 THEN 'UNKNOWN_FIELD' WHEN 5 THEN 'INVALID_FIELD_TYPE' WHEN 6 THEN 'FIELD_TOO_LONG' WHEN 7 THEN 'INVALID_EMAIL' WHEN 8 THEN 'INVALID_ADDRESS' END END AS reason FROM k""",
     "idempotency_key_valid": "SELECT event_id, event_id % 5 <> 0 AS valid FROM events",
     "canonical_json": "SELECT event_id, sha256('{\"a\":' || event_id || ',\"e\":\"' || event_type || '\",\"u\":' || user_id || '}') AS hash FROM events",
     "block_email": _block("EXACT_EMAIL"),
+    "block_phone": _block("EXACT_PHONE"),
     "block_domain": _block("COMPANY_DOMAIN"),
     "block_name_location": _block("NAME_LOCATION"),
     "block_union_cap": _with(_N, _KEYS, select="""
@@ -165,7 +208,12 @@ SELECT record_id, entity_id, matched_on, CASE WHEN len(s) = 1 THEN s1 ELSE array
     "score_pairs": _with(_N, _KEYS, _PAIRS, _SCORES, select=f"SELECT record_id, supporting_id, {_r('active_weight')} AS active_weight, {_r('base_score')} AS base_score, {_r('penalty')} AS penalty, {_r('score')} AS score, decision FROM d"),
     "decide_outcome": _with(_N, _KEYS, _PAIRS, _SCORES, _OUTCOME, select=f"""
 SELECT record_id, decision, CASE WHEN decision <> 'NO_MATCH' THEN entity_id END AS entity_id, CASE WHEN decision <> 'NO_MATCH' THEN supporting_id END AS supporting_id, {_r('confidence')} AS confidence, candidate_count FROM o"""),
-    "decision_counts": _with(_N, _KEYS, _PAIRS, _SCORES, _OUTCOME, select="SELECT entity_type, decision, count(*) AS records FROM o GROUP BY ALL"),
+    "score_pairs_jaro_winkler": _with(_N, _KEYS, _PAIRS, _JARO_SCORES, select=f"""
+SELECT record_id, supporting_id, {_r('name_edit')} AS name_edit, {_r('name_jw')} AS name_jaro_winkler, {_r('s_name')} AS name, {_r('base_score')} AS base_score, {_r('score')} AS score, decision FROM d"""),
+    "resolve_records": _with(_N, _KEYS, _PAIRS, _JARO_SCORES, _OUTCOME, select=f"""
+SELECT record_id, decision, CASE WHEN decision <> 'NO_MATCH' THEN entity_id END AS entity_id, {_r('confidence')} AS confidence, candidate_count FROM o"""),
+    "pair_jaro_winkler": f"WITH RECURSIVE {_NEXT_PART},{_jaro('pp')} SELECT p_partkey, {_r('CASE WHEN pp.a = pp.b THEN 1.0::DOUBLE ELSE jw END')} AS jaro_winkler FROM pp LEFT JOIN jw ON pp.a = jw.a AND pp.b = jw.b WHERE o IS NOT NULL",
+    "decision_counts": _with(_N, _KEYS, _PAIRS, _JARO_SCORES, _OUTCOME, select="SELECT entity_type, decision, count(*) AS records FROM o GROUP BY ALL"),
     "record_versions": """
 WITH a AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
 s AS (SELECT *, CASE WHEN before IS NULL THEN 'CREATED' WHEN before = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS status FROM a)
@@ -241,7 +289,7 @@ SELECT CAST(st.k AS VARCHAR) AS entity_id, CASE WHEN st.merged OR a.source IS NO
        CAST(st.v + CASE WHEN a.source IS NOT NULL OR b.source IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS canonical_version,
        CASE WHEN a.source IS NOT NULL THEN 0 ELSE st.n + coalesce(b.n, 0) END AS record_count
 FROM st LEFT JOIN ok a ON a.source = st.k LEFT JOIN ok b ON b.target = st.k""",
-    "applied_decisions": _with(_N, _KEYS, _PAIRS, _SCORES, _OUTCOME, select="""
+    "applied_decisions": _with(_N, _KEYS, _PAIRS, _JARO_SCORES, _OUTCOME, select="""
 SELECT 'links' AS table_name, count(*) FILTER (decision <> 'REVIEW') AS new_rows FROM o UNION ALL SELECT 'entities', count(*) FILTER (decision = 'NO_MATCH') FROM o
 UNION ALL SELECT 'reviews', count(*) FILTER (decision = 'REVIEW') FROM o"""),
     "provenance_view": f"""WITH {_MEMBERS} SELECT entity_id, max(CASE WHEN field = 'name' THEN record_id END) AS name_from, max(CASE WHEN field = 'email' THEN record_id END) AS email_from,

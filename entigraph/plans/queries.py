@@ -11,7 +11,7 @@ from .. import policy
 from ..functions import identity, similarity, text, validation
 from ..operators import blocking, matching, operations, paging, quality, resolution, survivorship, versions, views
 from ..sources import party
-from ..sources.tables import read_table
+from ..sources.tables import read_table, typed_records
 from .ordered import resolve_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,9 +99,21 @@ def source_slug_valid(spark, folder):
 
 @query
 def record_validation(spark, folder):
+    """Records of which eight in nine break a rule each, by their number; the data is read from the JSON text."""
     r = party.records(spark, folder)
-    raw = F.to_json(F.struct(*[F.col("data")[k].alias(k) for k in ("name", "email", "domain", "address")]))
-    return r.withColumn("raw", raw).select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data")).alias("reason"))
+    n = F.substring("external_id", 2, 20).cast("long")
+    case = n % 9
+    d = F.col("data")
+    address = F.struct(d["address"]["city"].alias("city"), F.when(case == 8, "XYZ").otherwise(d["address"]["country"]).alias("country"))
+    name = F.when(case == 6, F.repeat(F.lit("x"), F.lit(201))).otherwise(d["name"])
+    parts = F.struct(name.alias("name"), F.when(case == 7, "bad").otherwise(d["email"]).alias("email"), d["domain"].alias("domain"), address.alias("address"), F.when(case == 4, 1).alias("oops"))
+    raw = F.when(case == 5, F.to_json(F.struct(F.lit(5).alias("name"), d["email"].alias("email"), d["domain"].alias("domain")))).otherwise(F.to_json(parts))
+    raw = F.when(n % 90 == 0, '{"name": " "}').when(n % 90 == 9, "[1]").otherwise(raw)
+    rows = r.select(
+        "record_id", raw.alias("raw"), F.when(case == 3, "robot").otherwise(F.col("entity_type")).alias("entity_type"),
+        F.when(case == 1, F.upper("source")).otherwise(F.col("source")).alias("source"), F.when(case == 2, "  ").otherwise(F.col("external_id")).alias("external_id"),
+    )
+    return typed_records(rows).select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data")).alias("reason"))
 
 
 @query
@@ -136,6 +148,11 @@ def block_email(spark, folder):
     return _pass(spark, folder, "EXACT_EMAIL")
 
 
+@query
+def block_phone(spark, folder):
+    return _pass(spark, folder, "EXACT_PHONE")
+
+
 @query
 def block_domain(spark, folder):
     return _pass(spark, folder, "COMPANY_DOMAIN")
@@ -198,7 +215,7 @@ def _scored(spark, folder, jaro=False):
 def _features(spark, folder, kind):
     f, r = F.col("features"), matching.round_for_persistence
     return _scored(spark, folder).where(F.col("entity_type") == kind).select(
-        "record_id", "supporting_id", f["email_exact"].alias("email_exact"), r(f["name_edit"]).alias("name_edit"), r(f["company_token"]).alias("company_token"),
+        "record_id", "supporting_id", f["email_exact"].alias("email_exact"), f["phone_exact"].alias("phone_exact"), f["registration_exact"].alias("registration_exact"), r(f["name_edit"]).alias("name_edit"), r(f["company_token"]).alias("company_token"),
         f["domain_exact"].alias("domain_exact"), r(f["address_token"]).alias("address_token"), f["country_exact"].alias("country_exact"),
         F.array_join(F.transform("contradictions", lambda c: c["code"]), ",").alias("contradictions"),
     )
@@ -222,7 +239,7 @@ def score_pairs(spark, folder):
 
 @query
 def score_pairs_jaro_winkler(spark, folder):
-    """Pairs as the reference scores them: with Jaro-Winkler, which the SQL of ``score_pairs`` leaves out."""
+    """Pairs as the reference scores them: with Jaro-Winkler, which ``score_pairs`` leaves out."""
     r, f = matching.round_for_persistence, F.col("features")
     return _scored(spark, folder, jaro=True).select(
         "record_id", "supporting_id", r(f["name_edit"]).alias("name_edit"), r(f["name_jaro_winkler"]).alias("name_jaro_winkler"), r(F.col("signals")["name"]).alias("name"),

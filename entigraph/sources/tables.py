@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import DATA, ENVELOPE
+from ..schemas import ADDRESS_KEYS, COMPANY_KEYS, DATA, ENVELOPE, PERSON_KEYS
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,9 +16,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own, on a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,10 +39,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def typed_records(envelopes: DataFrame) -> DataFrame:
-    """With ``data`` read from ``raw``; a record whose data is no JSON object has null data and a reason."""
-    is_object = F.col("raw").rlike(r"^\s*\{")
-    data = F.from_json(F.when(is_object, F.col("raw")), DATA)
-    return envelopes.withColumns({"data": data, "error": F.when(~is_object | F.try_parse_json("raw").isNull(), "INVALID_REQUEST_BODY")})
+    """With ``data`` read from ``raw``; a record whose data is no JSON object has null data and a reason.
+
+    A value of another JSON type than the record format's counts as absent (validation refuses it).
+    """
+    value = F.when(F.col("raw").rlike(r"^\s*\{"), F.try_parse_json("raw"))
+    return envelopes.withColumns({"data": typed_data(value), "error": F.when(value.isNull(), "INVALID_REQUEST_BODY")})
+
+
+def typed_data(value: Column) -> Column:
+    """The record of a parsed JSON object: texts only where the JSON has texts, an address only where it has an object."""
+    at = lambda path: F.try_variant_get(value, f"$.{path}", "variant")
+    text = lambda path: F.when(F.schema_of_variant(at(path)) == "STRING", F.try_variant_get(value, f"$.{path}", "string"))
+    address = F.when(F.schema_of_variant(at("address")).startswith("OBJECT"), F.struct(*[text(f"address.{k}").alias(k) for k in ADDRESS_KEYS]))
+    plain = [k for k in dict.fromkeys([*PERSON_KEYS, *COMPANY_KEYS]) if k not in ("address", "attributes")]
+    parts = {**{k: text(k) for k in plain}, "address": address, "attributes": F.to_json(at("attributes"))}
+    order = ("name", "email", "phone", "company", "company_domain", "domain", "registration_id", "address", "attributes")
+    return F.when(value.isNotNull(), F.struct(*[parts[k].alias(k) for k in order])).cast(DATA)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:

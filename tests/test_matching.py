@@ -28,8 +28,9 @@ def test_text_and_names(spark):
     assert values(spark, lambda d: T.collapse_whitespace(d.v), [(" Ａ  b ",)]) == ["Ａ b"]
 
 
-GOOD_DOMAINS = [("HTTPS://WWW.Example.COM/", "example.com"), ("www.example.com.", "example.com"), ("münich.example", "xn--mnich-kva.example"), ("http://a-b.co", "a-b.co")]
-BAD_DOMAINS = ["ftp://example.com", "https://example.com/path", "https://user@example.com", "https://example.com:443", "https://example.com?query=1", "https://example.com#fragment",
+GOOD_DOMAINS = [("HTTPS://WWW.Example.COM/", "example.com"), ("www.example.com.", "example.com"), ("münich.example", "xn--mnich-kva.example"), ("http://a-b.co", "a-b.co"),
+                ("https://x.com?", "x.com"), ("https://x.com#", "x.com"), ("https://x.com/?#", "x.com"), ("ex%61mple.com", "example.com")]
+BAD_DOMAINS = ["ftp://example.com", "https://example.com/path", "https://user@example.com", "https://example.com:443", "https://example.com?query=1", "https://example.com#fragment", "example.com?", "example.com#", "ex%2Fample.com",
                "example.com:443", "127.0.0.1", "localhost", "*.example.com", "example..com", None, "", "   ", "-a.example.com", "x" * 64 + ".com"]
 
 
