@@ -282,7 +282,7 @@ def test_near_duplicates_of_shared_ids(spark, monkeypatch, block):
     assert len({groups[x] for x in own}) == len(own) == len(heads)
 
 
-def test_large_buckets_are_dealt_again(spark, monkeypatch):
+def test_large_buckets_of_strangers(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
     common = prose(1, 12)
     texts = [f"{common} {prose(300 + i, 12, 10**6)}" for i in range(60)] + near_texts()
