@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 #: Rows of one Arrow batch: a batch of very long texts stays small.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
-#: Bytes of text handled at once in a task.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled at once in a task; more where repeated words within them save work.
+CHUNK_BYTES, LARGE_CHUNK_BYTES = 2 << 20, 4 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -40,7 +41,22 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
         size = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]]
         if not 0 < size <= most:
             conf.set(name, str(most))
-    return df.mapInArrow(fn, schema)
+
+
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system: a worker stays for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:

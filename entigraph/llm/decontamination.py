@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: each row is the index of one slice of the corpus, with the positions of all its
-words, whatever the test items. A phrase is found by intersecting the position lists of its words, each shifted by the
+The index is partitioned by document: a row holds the positions of one word in one slice of the corpus, for all words,
+whatever the test items. A search takes the postings of the items' words alone and goes slice by slice: a phrase is found by intersecting the position lists of its words, each shifted by the
 word's offset, from the rarest word on; proximity by the nearest positions of an item's rarest words, which are chosen
 once, by their counts in the whole corpus.
 """
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import map_arrow, ragged, slices
+from ._batches import LARGE_CHUNK_BYTES, map_arrow, ragged, slices
 from ._store import materialize
 
 #: Words in a window of an item.
@@ -79,20 +79,21 @@ def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) ->
     )
 
 
-_INDEX = "slice long, doc_ids array<long>, hashes array<long>, n_words array<int>, terms array<string>, counts array<int>, gaps binary"
+_INDEX = "slice long, term string, n int, gaps binary, nth int, doc_id long, hash long, n_words int"
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
-    """The index of all words of all whole texts, one row for each slice of the corpus.
+    """The index of all words of all whole texts, in rows of two kinds for each slice of the corpus.
 
     Positions count words over the slice, with one place left free after each document so that no phrase runs on into
-    the next. Columns: the slice's number, its document ids, their texts' hashes and word counts, its words, how often
-    each occurs, and the gaps between their positions (little-endian unsigned 32-bit, from the first).
+    the next. A posting row has the slice's number, a word, how often it occurs, and the gaps between its positions
+    (little-endian unsigned 32-bit, from the first). A document row has no word, but the document's number in the slice,
+    its id, its text's hash and its count of words.
     """
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", LARGE_CHUNK_BYTES):
             texts = pa.array([(t or "").encode().translate(_WORD_BYTES).strip() for t in part.column("text").to_pylist()], pa.large_binary()).cast(pa.large_string())
             cut = pc.ascii_split_whitespace(texts)
             flat, at = cut.flatten(), np.asarray(cut.offsets)
@@ -100,40 +101,41 @@ def positional_index(docs: DataFrame) -> DataFrame:
             n_words = np.diff(np.concatenate([[0], np.cumsum(there)])[at])
             coded = flat.filter(pa.array(there)).dictionary_encode()
             ids = coded.indices.to_numpy()
-            position = np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words)
             order = np.argsort(ids, kind="stable")
             counts = np.bincount(ids, minlength=len(coded.dictionary))
-            position = position[order]
+            position = (np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words))[order]
             gaps = np.diff(position, prepend=0)
             firsts = np.cumsum(counts) - counts
             gaps[firsts] = position[firsts]
-            row = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([task << 32 | made], pa.int64()), row(part.column("doc_id"), pa.int64()), row(part.column("hash"), pa.int64()),
-                    row(n_words, pa.int32()), row(coded.dictionary, pa.string()), row(counts, pa.int32()), pa.array([gaps.astype("<u4").tobytes()], pa.binary()),
-                ],
-                names=["slice", "doc_ids", "hashes", "n_words", "terms", "counts", "gaps"],
-            )
+            ends = np.concatenate([[0], np.cumsum(counts)]) * 4
+            postings = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(gaps.astype("<u4"))])
+            own, none = part.num_rows, lambda n, kind: pa.nulls(n, kind)
+            columns = [
+                pa.array(np.full(len(counts) + own, task << 32 | made)),
+                pa.concat_arrays([coded.dictionary.cast(pa.string()), none(own, pa.string())]),
+                pa.concat_arrays([pa.array(counts, pa.int32()), none(own, pa.int32())]),
+                pa.concat_arrays([postings, none(own, pa.binary())]),
+                pa.concat_arrays([none(len(counts), pa.int32()), pa.array(np.arange(own), pa.int32())]),
+                pa.concat_arrays([none(len(counts), pa.int64()), part.column("doc_id")]),
+                pa.concat_arrays([none(len(counts), pa.int64()), part.column("hash")]),
+                pa.concat_arrays([none(len(counts), pa.int32()), pa.array(n_words, pa.int32())]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "term", "n", "gaps", "nth", "doc_id", "hash", "n_words"])
             made += 1
 
     return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), run, _INDEX)
 
 
 class Slice:
-    """One row of the index, with the positions of a block's terms."""
-
-    def __init__(self, terms: pa.Array, counts: np.ndarray, gaps: bytes, n_words: np.ndarray, wanted: pa.Array):
-        self.length = int(n_words.sum()) + len(n_words)
-        place = pc.index_in(terms, value_set=wanted)
-        own = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-        number = place.drop_null().to_numpy() + 1
-        firsts, many = (np.cumsum(counts, dtype=np.int64) - counts)[own], counts[own].astype(np.int64)
-        total = np.cumsum(np.frombuffer(gaps, dtype="<u4")[np.repeat(firsts, many) + ragged(many)], dtype=np.int64)
-        begin = np.cumsum(many) - many
-        position = total - np.repeat(np.concatenate([[0], total])[begin], many)
-        self.key = np.sort(np.repeat(number, many) * self.length + position)
-        self.bounds = np.searchsorted(self.key, np.arange(len(wanted) + 2) * self.length)
+    """The postings of a block's terms in one slice: (term number, gaps) rows, the terms from 1 on."""
+
+    def __init__(self, number: np.ndarray, gaps: list[bytes], length: int, terms: int):
+        self.length = length
+        many = np.array([len(g) // 4 for g in gaps], dtype=np.int64)
+        total = np.cumsum(np.frombuffer(b"".join(gaps), dtype="<u4"), dtype=np.int64)
+        position = total - np.repeat(np.concatenate([[0], total])[np.cumsum(many) - many], many)
+        self.key = np.sort(np.repeat(number.astype(np.int64), many) * length + position)
+        self.bounds = np.searchsorted(self.key, np.arange(terms + 2) * length)
         self.often = np.diff(self.bounds)
 
     def positions(self, term: int) -> np.ndarray:
@@ -186,30 +188,24 @@ def find_windows(index: Slice, block: Phrases) -> Iterator[tuple[np.ndarray, np.
         yield row, start
 
 
-def corpus_counts(index: DataFrame, terms: list[str]) -> dict[str, int]:
-    """How often each of these words occurs in the whole corpus; at most as many rows as there are words."""
-    shared = index.sparkSession.sparkContext.broadcast(terms)
+def postings_of(index: DataFrame, block: Phrases) -> DataFrame:
+    """The postings (slice, number, n, gaps) of the block's terms, numbered from 1 on."""
+    terms = index.sparkSession.createDataFrame([(t.decode(), i) for i, t in enumerate(block.terms, 1)], "term string, number int")
+    # As many rows as a block of bounded size has words.
+    return index.where("term IS NOT NULL").join(F.broadcast(terms), "term").select("slice", "number", "n", "gaps")
 
-    def run(batches):
-        wanted = pa.array(shared.value, pa.string())
-        total = np.zeros(len(wanted), dtype=np.int64)
-        for b in batches:
-            place = pc.index_in(b.column("terms").flatten(), value_set=wanted)
-            there = place.is_valid().to_numpy(zero_copy_only=False)
-            np.add.at(total, place.drop_null().to_numpy(), b.column("counts").flatten().to_numpy()[there])
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([wanted.take(pa.array(own)), pa.array(total[own])], names=["term", "n"])
 
-    rows = index.select("terms", "counts").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r.term: r.n for r in rows}
+def corpus_counts(postings: DataFrame) -> dict[int, int]:
+    """How often each of these terms occurs in the whole corpus; at most as many rows as there are terms."""
+    return {r["number"]: r["total"] for r in postings.groupBy("number").agg(F.sum("n").alias("total")).collect()}
 
 
-def rarest_terms(block: Phrases, counts: dict[str, int], terms: int) -> np.ndarray:
+def rarest_terms(block: Phrases, counts: dict[int, int], terms: int) -> np.ndarray:
     """Each item's ``terms`` words that are the rarest in the corpus, of those that occur in it; ties by the word.
 
     An item with fewer such words than that, though it has more words, could only match by common ones: it has none.
     """
-    many = np.array([0, *(counts.get(t.decode(), 0) for t in block.terms)], dtype=np.int64)
+    many = np.array([counts.get(i, 0) for i in range(len(block.terms) + 1)], dtype=np.int64)
     table = np.zeros((len(block.items), terms), dtype=np.int64)
     for i, own in enumerate(block.item_terms):
         rare = sorted((x for x in own.tolist() if many[x]), key=lambda x: (many[x], block.terms[x - 1]))[:terms]
@@ -239,50 +235,50 @@ def find_near(index: Slice, block: Phrases, doc_at: np.ndarray, n_words: np.ndar
 _HITS = "slice long, nth int, spans array<struct<begin:int,end:int>>, item_ids array<long>, near_item_ids array<long>"
 
 
-def search(index: DataFrame, block: Phrases, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Documents of the index with occurrences of the block's windows, or of its items' rarest words near each other.
+def search(postings: DataFrame, documents: DataFrame, block: Phrases, near_words: int = NEAR_WORDS) -> DataFrame:
+    """Documents with occurrences of the block's windows, or of its items' rarest words near each other.
 
-    Returns slice, nth (the document in it), spans (of its words in windows, apart and ascending), item_ids, near_item_ids.
-    """
-    shared = index.sparkSession.sparkContext.broadcast(block)
+    ``postings`` are those of the block's terms, ``documents`` the index's rows (slice, nth, n_words); both come together
+    by slices, which are of bounded size.
 
-    def run(batches):
-        block = shared.value
-        wanted = pa.array([t.decode() for t in block.terms], pa.string())
-        for b in batches:
-            for r in range(b.num_rows):
-                column = lambda name: b.column(name)[r].values  # noqa: B023, E731
-                n_words = column("n_words").to_numpy().astype(np.int64)
-                own = Slice(column("terms"), column("counts").to_numpy(), b.column("gaps")[r].as_buffer(), n_words, wanted)
-                doc_at = np.cumsum(n_words + 1) - n_words - 1
-                edge = np.zeros(own.length + 1, dtype=np.int64)
-                met, near = [], []
-                for w, start in find_windows(own, block):
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + block.size[w], -1)
-                    pairs = np.unique(np.stack([np.searchsorted(doc_at, start, side="right") - 1, w]), axis=1)
-                    many = np.diff(block.owner_at)[pairs[1]]
-                    met.append(np.stack([np.repeat(pairs[0], many), block.owner[np.repeat(block.owner_at[pairs[1]], many) + ragged(many)]]))
-                for item, doc in find_near(own, block, doc_at, n_words, near_words):
-                    near.append(np.unique(np.stack([doc, item]), axis=1))
-                covered = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
-                begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
-                at_doc = np.searchsorted(doc_at, begin, side="right") - 1
-                found: dict[int, tuple[list, set, set]] = {}
-                for d, a, z in zip(at_doc.tolist(), (begin - doc_at[at_doc]).tolist(), (end - doc_at[at_doc]).tolist()):
-                    found.setdefault(d, ([], set(), set()))[0].append({"begin": a, "end": z})
-                for k, pairs in ((1, met), (2, near)):
-                    for part in pairs:
-                        for d, i in part.T.tolist():
-                            found.setdefault(d, ([], set(), set()))[k].add(block.items[i])
-                if found:
-                    docs = sorted(found)
-                    lists = [pa.array([sorted(found[d][k] - {None}) for d in docs], pa.list_(pa.int64())) for k in (1, 2)]
-                    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-                    columns = [pa.array([b.column("slice")[r].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int32()), pa.array([found[d][0] for d in docs], kind), *lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["slice", "nth", "spans", "item_ids", "near_item_ids"])
-
-    return map_arrow(index, run, _HITS)
+    Returns slice, nth, spans (of the document's words in windows, apart and ascending), item_ids, near_item_ids.
+    """
+    shared = postings.sparkSession.sparkContext.broadcast(block)
+    kinds = pa.schema([("slice", pa.int64()), ("nth", pa.int32()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("item_ids", pa.list_(pa.int64())), ("near_item_ids", pa.list_(pa.int64()))])
+
+    def run(own: pa.Table, docs: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return kinds.empty_table()
+        block, docs = shared.value, docs.sort_by("nth")
+        n_words = docs.column("n_words").to_numpy().astype(np.int64)
+        doc_at = np.cumsum(n_words + 1) - n_words - 1
+        index = Slice(own.column("number").to_numpy(), own.column("gaps").to_pylist(), int(n_words.sum()) + len(n_words), len(block.terms))
+        edge = np.zeros(index.length + 1, dtype=np.int64)
+        met, near = [], []
+        for w, start in find_windows(index, block):
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + block.size[w], -1)
+            pairs = np.unique(np.stack([np.searchsorted(doc_at, start, side="right") - 1, w]), axis=1)
+            many = np.diff(block.owner_at)[pairs[1]]
+            met.append(np.stack([np.repeat(pairs[0], many), block.owner[np.repeat(block.owner_at[pairs[1]], many) + ragged(many)]]))
+        for item, doc in find_near(index, block, doc_at, n_words, near_words):
+            near.append(np.unique(np.stack([doc, item]), axis=1))
+        covered = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
+        begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+        at_doc = np.searchsorted(doc_at, begin, side="right") - 1
+        found: dict[int, tuple[list, set, set]] = {}
+        for d, a, z in zip(at_doc.tolist(), (begin - doc_at[at_doc]).tolist(), (end - doc_at[at_doc]).tolist()):
+            found.setdefault(d, ([], set(), set()))[0].append({"begin": a, "end": z})
+        for k, pairs in ((1, met), (2, near)):
+            for part in pairs:
+                for d, i in part.T.tolist():
+                    found.setdefault(d, ([], set(), set()))[k].add(block.items[i])
+        numbers = sorted(found)
+        number = own.column("slice")[0].as_py()
+        rows = [{"slice": number, "nth": d, "spans": found[d][0], "item_ids": sorted(found[d][1] - {None}), "near_item_ids": sorted(found[d][2] - {None})} for d in numbers]
+        return pa.Table.from_pylist(rows, kinds)
+
+    return postings.groupBy("slice").cogroup(documents.select("slice", "nth", "n_words").groupBy("slice")).applyInArrow(run, _HITS)
 
 
 def _merged(hits: DataFrame) -> DataFrame:
@@ -322,20 +318,21 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hit_
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, near_terms: int, near_words: int, hit_share: int) -> DataFrame:
     index = materialize(positional_index(docs), "postings")
+    documents = index.where("term IS NULL").select("slice", "nth", "doc_id", "hash", F.col("n_words").cast("long").alias("n_words"))
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-chars // BLOCK_CHARS) or 1
     lot = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
     hits = None
     for k in range(count):
         block = phrases([tuple(r) for r in benchmark.where(F.col("text").isNotNull() & (lot == k)).select("item_id", "text").collect()], window)
-        block.near = rarest_terms(block, corpus_counts(index, [t.decode() for t in block.terms]), near_terms)
-        found = materialize(search(index, block, near_words), "hits")
+        own = materialize(postings_of(index, block), "block-postings")
+        block.near = rarest_terms(block, corpus_counts(own), near_terms)
+        found = materialize(search(own, documents, block, near_words), "hits")
         hits = found if hits is None else hits.unionByName(found)
 
-    every = index.select("slice", F.posexplode(F.arrays_zip("doc_ids", "hashes", "n_words")).alias("nth", "d")).select("slice", "nth", "d.doc_ids", "d.hashes", F.col("d.n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<long>")
-    found = every.join(_merged(hits), ["slice", "nth"], "left").select(
-        F.col("doc_ids").alias("doc_id"), F.col("hashes").alias("hash"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_item_ids", none).alias("near_item_ids")
+    found = documents.join(_merged(hits), ["slice", "nth"], "left").select(
+        "doc_id", "hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_item_ids", none).alias("near_item_ids")
     )
     return found.select(
         "doc_id", "hash", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._batches import map_arrow, slices
+from ._batches import LARGE_CHUNK_BYTES, map_arrow, slices
 from ._store import materialize
 from ._tokens import default_path, encoder
 
@@ -42,7 +42,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
         encode = encoder(path).encode
         lot = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", LARGE_CHUNK_BYTES):
             texts = [x or "" for x in part.column("text").to_pylist()]
             out: list[tuple] = []
             end = np.array([end_id], dtype="<u4").tobytes()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from ._batches import map_arrow, slices
+from ._batches import LARGE_CHUNK_BYTES, map_arrow, slices
 from ._store import materialize, new_folder
 from ._tokens import default_path, encoder
 
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
             doc_ids, ids, held, made = [], [], 0, made + 1
             return row
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", LARGE_CHUNK_BYTES):
             texts = [x or "" for x in part.column("text").to_pylist()]
             for doc_id, own in zip(part.column("doc_id").to_pylist(), encode(texts)):
                 doc_ids.append(doc_id)
