@@ -106,11 +106,11 @@ def _email(text: Column, domain: Column) -> Column:
 
 def normalize_phone(column: Column, country: Column | None = None, wide: bool = True) -> Column:
     """E.164 by the declared rules: an international number by its code, a national one by its country; else null."""
-    return _phone(normalize_text(column, wide), country)
+    text = normalize_text(column, wide)
+    return _phone(text, F.regexp_replace(text, "[^0-9]", ""), country)
 
 
-def _phone(text: Column, country: Column | None) -> Column:
-    digits = F.regexp_replace(text, "[^0-9]", "")
+def _phone(text: Column, digits: Column, country: Column | None) -> Column:
     form = text.rlike(r"^\+?[0-9 ().\-/]+$")
     codes = "|".join(dict.fromkeys(f"{code}{national}" for _, code, _, national in PHONE_RULES))
     international = F.when(digits.rlike(f"^(?:{codes})$"), F.concat(F.lit("+"), digits))
@@ -171,7 +171,7 @@ def normalize_records(records: DataFrame, wide: bool = True) -> DataFrame:
     rows = records.withColumns(clean)
     rows = rows.withColumns({
         "_host": _host(F.col("_domain"), wide), "_mail_host": _host(F.lower(F.get(F.split("_email", "@"), F.lit(1))), wide), "_company": _company(F.lower("_company")),
-        "_country": F.when(F.upper("_country").rlike("^[A-Z]{2}$"), F.upper("_country")), "_place": F.upper(strip(data["address"]["country"])),
+        "_country": F.when(F.upper("_country").rlike("^[A-Z]{2}$"), F.upper("_country")), "_place": F.upper(strip(data["address"]["country"])), "_digits": F.regexp_replace("_phone", "[^0-9]", ""),
     })
     parts = [*[F.lower(f"_{k}").alias(k) for k in ("line1", "line2", "city", "region")], F.upper("_postal_code").alias("postal_code"), F.col("_country").alias("country")]
     some = F.coalesce(*[F.col(f"_{k}") for k in ADDRESS_KEYS])
@@ -179,8 +179,8 @@ def normalize_records(records: DataFrame, wide: bool = True) -> DataFrame:
     normalized = F.struct(
         F.col("_name").alias("name"), F.col("_company.full").alias("company_full"), F.col("_company.base").alias("company_base"),
         F.col("_company.legal_suffix").alias("legal_suffix"), _email(F.col("_email"), _domain(F.col("_mail_host"))).alias("email"),
-        _phone(F.col("_phone"), F.col("_place")).alias("phone"), _domain(F.col("_host")).alias("domain"),
+        _phone(F.col("_phone"), F.col("_digits"), F.col("_place")).alias("phone"), _domain(F.col("_host")).alias("domain"),
         F.when(some.isNotNull(), F.struct(*parts)).alias("address"), F.lower("_registration").alias("registration_id"), name_prefix(F.col("_name")).alias("name_prefix"),
     )
-    temporary = [*clean, "_host", "_mail_host", "_place"]
+    temporary = [*clean, "_host", "_mail_host", "_place", "_digits"]
     return rows.withColumn("normalized", normalized).drop(*temporary)

@@ -54,7 +54,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     parts = {"name": F.col("name"), "email": F.col("email"), "phone": F.col("phone"), "company": null, "company_domain": null, "domain": F.col("domain"), "registration_id": F.col("registration_id"), "address": address, "attributes": null}
     data = F.struct(*[c.alias(k) for k, c in parts.items()]).cast(DATA)
     rows = p.select(F.lit("t1").alias("tenant_id"), F.concat_ws(":", "source", "external_id").alias("record_id"), "source", "priority", "external_id", "entity_type", data.alias("data"))
-    return materialize(normalize_records(rows, wide=False), "records")
+    # Few rows to read, but dear ones to normalize: they are dealt to all cores.
+    return materialize(normalize_records(rows.repartition(spark.sparkContext.defaultParallelism), wide=False), "records")
 
 
 def population(rows: DataFrame) -> DataFrame:
