@@ -1,7 +1,7 @@
 """Merge, split and reversal of entities, and review decisions: plans with the first failing guard's code.
 
-Plans are checked set by set against one state. Requests that touch the same entity depend on each other's order; apply
-those in turn (``plans.ordered``).
+Plans are checked set by set against one state. Requests that touch the same entity depend on each other's order:
+``plans.ordered.apply_in_order`` takes those in turn.
 """
 
 from __future__ import annotations
@@ -105,6 +105,7 @@ def apply_operations(entities: DataFrame, links: DataFrame, plans: DataFrame) ->
     """State after valid plans (type, source_id, target_id, record_ids, error) that touch different entities.
 
     A merge moves all links and marks its source; a split makes its target; a reversal makes the target active again.
+    Two valid plans that touch one entity are an error, as each was checked without the other.
     """
     valid = plans.where("error IS NULL")
     moves = valid.select("tenant_id", F.explode("record_ids").alias("record_id"), F.col("target_id").alias("moved_to"))
@@ -114,6 +115,8 @@ def apply_operations(entities: DataFrame, links: DataFrame, plans: DataFrame) ->
         F.struct(F.col("source_id").alias("entity_id"), F.when(F.col("type") == "MERGE", "MERGED").otherwise("ACTIVE").alias("new_status"), F.when(F.col("type") == "MERGE", F.col("target_id")).alias("new_into")),
         F.struct(F.col("target_id").alias("entity_id"), F.lit("ACTIVE").alias("new_status"), F.lit(None).cast("string").alias("new_into")),
     )).alias("t")).select("tenant_id", "t.*")
+    once = F.when(F.count("*") > 1, F.raise_error(F.lit("two operations touch one entity; apply them in order")).cast("string")).otherwise(F.max("new_status"))
+    touched = touched.groupBy("tenant_id", "entity_id").agg(once.alias("new_status"), F.max("new_into").alias("new_into"))
     kept = entities.join(touched, ["tenant_id", "entity_id"], "left")
     kept = kept.select(
         "tenant_id", "entity_id", "entity_type", F.coalesce("new_status", "status").alias("status"),

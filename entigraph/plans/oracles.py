@@ -289,6 +289,16 @@ SELECT CAST(st.k AS VARCHAR) AS entity_id, CASE WHEN st.merged OR a.source IS NO
        CAST(st.v + CASE WHEN a.source IS NOT NULL OR b.source IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS canonical_version,
        CASE WHEN a.source IS NOT NULL THEN 0 ELSE st.n + coalesce(b.n, 0) END AS record_count
 FROM st LEFT JOIN ok a ON a.source = st.k LEFT JOIN ok b ON b.target = st.k""",
+    "applied_chains": f"""WITH RECURSIVE {_ENTITIES},
+r AS (
+  SELECT k, n, v, false AS before FROM st WHERE k % 7 = 1 OR k = (SELECT min(k) FROM st)
+  UNION ALL
+  SELECT t.k, CAST(t.n + CASE WHEN x.ok THEN x.n ELSE 0 END AS BIGINT), t.v + CASE WHEN x.ok THEN 1 ELSE 0 END, x.ok
+  FROM (SELECT r.*, s.kind = t.kind AND r.n > 0 AND t.n > 0 AND r.n + t.n <= 1000 AND r.v = r.k % 5 + CASE WHEN r.k % 7 > 1 THEN 1 ELSE 0 END AS ok
+        FROM r JOIN st s ON s.k = r.k JOIN st t ON t.k = r.k + 1 WHERE r.k % 7 BETWEEN 1 AND 5) x JOIN st t ON t.k = x.k + 1),
+a AS (SELECT st.*, coalesce(r.n, st.n) AS n_now, coalesce(r.v, st.v) AS v_now, coalesce(nx.before, false) AS gone FROM st LEFT JOIN r ON r.k = st.k AND st.k % 7 <> 0 LEFT JOIN r nx ON nx.k = st.k + 1 AND st.k % 7 BETWEEN 1 AND 5)
+SELECT CAST(k AS VARCHAR) AS entity_id, CASE WHEN merged OR gone THEN 'MERGED' ELSE 'ACTIVE' END AS status, CASE WHEN merged OR gone THEN CAST(k + 1 AS VARCHAR) END AS merged_into,
+       CAST(v_now + CASE WHEN gone THEN 1 ELSE 0 END AS INTEGER) AS canonical_version, CASE WHEN gone THEN 0 ELSE n_now END AS record_count FROM a""",
     "applied_decisions": _with(_N, _KEYS, _PAIRS, _JARO_SCORES, _OUTCOME, select="""
 SELECT 'links' AS table_name, count(*) FILTER (decision <> 'REVIEW') AS new_rows FROM o UNION ALL SELECT 'entities', count(*) FILTER (decision = 'NO_MATCH') FROM o
 UNION ALL SELECT 'reviews', count(*) FILTER (decision = 'REVIEW') FROM o"""),

@@ -12,7 +12,7 @@ from ..functions import identity, similarity, text, validation
 from ..operators import blocking, matching, operations, paging, quality, resolution, survivorship, versions, views
 from ..sources import party
 from ..sources.tables import read_table, typed_records
-from .ordered import resolve_in_order
+from .ordered import apply_in_order, resolve_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,6 +471,21 @@ def applied_merges(spark, folder):
     return views.record_counts(after["entities"], after["links"]).select("entity_id", "status", "merged_into", F.col("canonical_version").cast("int").alias("canonical_version"), "record_count")
 
 
+@query
+def applied_chains(spark, folder):
+    """Entities after merging each active customer into the next active one, all in order: each merge sees the one before."""
+    entities, links, _ = _state(spark, folder)
+    key = F.col("entity_id").cast("long")
+    none = F.lit(None).cast("string")
+    asked = entities.where((key % 7 > 0) & (key % 7 < 6)).select(
+        "tenant_id", F.col("entity_id").alias("operation_id"), key.alias("seq"), F.lit("MERGE").alias("type"), F.col("entity_id").alias("source_id"), (key + 1).cast("string").alias("target_id"),
+        (key % 5 + F.when(key % 7 > 1, 1).otherwise(0)).cast("int").alias("source_version"), ((key + 1) % 5).cast("int").alias("target_version"), F.array().cast("array<string>").alias("record_ids"), none.alias("merge_event_id"),
+    )
+    log = asked.limit(0).select("operation_id", "tenant_id", "type", "source_id", "target_id", "record_ids", none.alias("reversed_id"))
+    after = apply_in_order(entities, links, asked, log)
+    return views.record_counts(after["entities"], after["links"]).select("entity_id", "status", "merged_into", F.col("canonical_version").cast("int").alias("canonical_version"), "record_count")
+
+
 @query
 def review_eligibility(spark, folder):
     entities, links, _ = _state(spark, folder)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from entigraph.functions.text import normalize_records
 from entigraph.functions.validation import first_reason, has_identity, record_reason, split_reason
 from entigraph.operators import operations, paging, survivorship, versions, views
+from entigraph.plans.ordered import apply_in_order
 from entigraph.schemas import DATA
 from entigraph.sources.tables import typed_records
 from entigraph.streaming import arrivals
@@ -87,6 +88,24 @@ def test_splits_and_reversals(spark):
     assert got == {"u1": None, "u2": "MERGE_REVERSAL_CONFLICT", "u3": "MERGE_ALREADY_REVERSED", "u7": "MERGE_EVENT_NOT_FOUND"}
 
 
+def test_operations_in_order(spark):
+    entities, links, members = _state(spark)
+    schema = "tenant_id string, operation_id string, seq long, type string, source_id string, target_id string, source_version int, target_version int, record_ids array<string>, merge_event_id string"
+    log = spark.createDataFrame([], "operation_id string, tenant_id string, type string, source_id string, target_id string, record_ids array<string>, reversed_id string")
+    # a into b, back out of it, b into a, and a split of what that makes; one request that comes too late.
+    asked = [("1", "MERGE", "a", "b", 1, 2, None, None), ("2", "UNMERGE", "b", None, 3, None, None, "1"), ("3", "MERGE", "b", "a", 4, 3, None, None), ("4", "SPLIT", "a", None, 4, None, ["r3"], None), ("5", "MERGE", "b", "a", 4, 3, None, None)]
+    d = spark.createDataFrame([("t", i, k, *x) for k, (i, *x) in enumerate(asked)], schema)
+    after = apply_in_order(entities, links, d, log)
+    assert {r.operation_id: r.error for r in after["plans"].collect()} == {"1": None, "2": None, "3": None, "4": None, "5": "ENTITY_NOT_ACTIVE"}
+    state = {r.entity_id: (r.status, r.merged_into, r.canonical_version) for r in after["entities"].collect()}
+    assert len(state) == after["entities"].count() == 5 and state["b"] == ("MERGED", "a", 5) and state["a"] == ("ACTIVE", None, 5) and state["m"] == ("MERGED", "b", 3)
+    owner = {r.record_id: r.entity_id for r in after["links"].collect()}
+    assert owner["r1"] == owner["r2"] == owner["r4"] == "a" and owner["r3"] not in ("a", "b") and owner["r5"] == "c"
+    both = operations.plan_merges(spark.createDataFrame([("x", "t", "a", "b", 1, 2), ("y", "t", "b", "a", 2, 1)], "operation_id string, tenant_id string, source_id string, target_id string, source_version int, target_version int"), members)
+    with pytest.raises(Exception, match="in order"):
+        operations.apply_operations(entities, links, both.withColumn("type", F.lit("MERGE")))["entities"].collect()
+
+
 def test_reviews(spark):
     entities, links, _ = _state(spark)
     records = spark.createDataFrame([("t", f"r{k}", "company" if k == 5 else "person", 1) for k in range(1, 9)], "tenant_id string, record_id string, entity_type string, version int")
