@@ -103,6 +103,25 @@ def changed_snapshots(entities: DataFrame, previous: DataFrame, forced: bool = F
     return rows.withColumn("canonical_version", F.coalesce("known_version", F.lit(0)) + 1).drop("known", "known_version")
 
 
+def write_snapshots(entities: DataFrame, provenance: DataFrame, history: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
+    """The tables after the snapshots of ``changed_snapshots`` (with a ``snapshot_trigger``) are written.
+
+    ``entities`` (tenant_id, entity_id, canonical, canonical_version) take the new data and version. ``provenance``, one
+    row for each field, is replaced for a changed entity as a whole. ``history`` only grows.
+    """
+    key = ["tenant_id", "entity_id"]
+    new = changed.select(*key, F.col("canonical").alias("new_canonical"), F.col("canonical_version").alias("new_version"))
+    rows = entities.join(new, key, "left")
+    written = F.col("new_version").isNotNull()
+    kept = [c for c in entities.columns if c not in ("canonical", "canonical_version")]
+    fields = changed.select(*key, F.explode("provenance").alias("p")).select(*key, "p.*")
+    return {
+        "entities": rows.select(*kept, F.when(written, F.col("new_canonical")).otherwise(F.col("canonical")).alias("canonical"), F.coalesce("new_version", "canonical_version").alias("canonical_version")),
+        "provenance": provenance.join(changed.select(*key), key, "left_anti").unionByName(fields.select(provenance.columns)),
+        "history": history.unionByName(changed.select(history.columns)),
+    }
+
+
 def trigger(operation: Column, human: Column, ingested: Column, decision: Column) -> Column:
     """What made a snapshot: a structural operation, a review, or an ingested record's status and decision."""
     return (

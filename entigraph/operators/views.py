@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.validation import stored_provenance
+from ..policy import REVIEW
 from .operations import approval_available
 
 
@@ -67,6 +69,41 @@ def nested_provenance(winners: DataFrame) -> DataFrame:
     return rows.groupBy("tenant_id", "entity_id").agg(*[of(f).alias(f) for f in plain], F.struct(*[of(f).alias(f.split(".")[1]) for f, *_ in ADDRESS_FIELDS]).alias("address"))
 
 
+def history_provenance(snapshots: DataFrame) -> DataFrame:
+    """Snapshots with ``provenance`` as a map from field paths (``address.city``) to each field's selection.
+
+    A selection that breaks its own rules (see ``stored_provenance``) is an error, and so is one without a record or a
+    source. Source names and priorities stay those of the snapshot's time.
+    """
+    names = {"record_id": "source_record_id", "source": "source_system_name", "external_id": "external_id", "priority": "source_priority", "raw_value": "raw_value", "value": "canonical_value",
+             "selection_rule": "selection_rule", "completeness": "completeness_score", "observed_at": "observed_at"}
+
+    def entry(p):
+        broken = stored_provenance(p["selection_rule"], p["priority"], p["completeness"], p["observed_at"]).isNotNull() | p["record_id"].isNull() | p["source"].isNull()
+        field = F.when(broken, F.raise_error(F.concat(F.lit("stored provenance is damaged: "), p["field"])).cast("string")).otherwise(p["field"])
+        return F.struct(field.alias("key"), F.struct(*[p[k].alias(v) for k, v in names.items()]).alias("value"))
+
+    return snapshots.withColumn("provenance", F.map_from_entries(F.transform("provenance", entry)))
+
+
+def review_summary(cases: DataFrame) -> DataFrame:
+    """Review cases as listed: ids, captured versions, and the confidence as a number."""
+    return cases.select(
+        F.col("case_id").alias("review_id"), "status", F.col("record_id").alias("source_record_id"), F.col("entity_id").alias("candidate_entity_id"),
+        F.col("supporting_id").alias("candidate_record_id"), F.col("score").cast("double").alias("confidence"), "algorithm_version",
+        F.col("captured_source_version").alias("source_record_version"), F.col("captured_candidate_version").alias("candidate_record_version"), "created_at",
+    )
+
+
+def review_decision_view(decisions: DataFrame) -> DataFrame:
+    """Stored review decisions; one of another policy than the current is an error."""
+    policy = F.when(F.col("policy_version") == REVIEW, F.col("policy_version")).otherwise(F.raise_error(F.lit("a stored review has an unsupported policy")).cast("string"))
+    return decisions.select(
+        F.col("decision_id").alias("review_decision_id"), F.col("case_id").alias("review_id"), "decision", "reason", "actor_id", "entity_id", "source_record_version",
+        "candidate_record_version", "candidate_canonical_version", "canonical_version", policy.alias("policy_version"), "created_at",
+    )
+
+
 def operation_view(operations: DataFrame) -> DataFrame:
     return operations.select(F.col("operation_id").alias("id"), F.col("type").alias("operation"), F.col("source_id").alias("source_entity_id"), F.col("target_id").alias("target_entity_id"), "record_ids", F.col("reversed_id").alias("reversed_operation_id"))
 

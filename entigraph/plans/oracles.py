@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..policy import LEGAL_SUFFIXES
 from ..sources.party import PARTY_SQL
 
@@ -134,8 +136,10 @@ FROM f WHERE entity_type = '{kind}'""")
 
 _NEXT_PART = "pp AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER w AS b, p_brand AS x, lead(p_brand) OVER w AS y, lead(p_partkey) OVER w AS o FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey))"
 
-_MEMBERS = f"""{_N},
-mem AS (SELECT *, coalesce(email, domain) AS entity_id, ((length(external_id) * 7 + ascii(right(external_id, 1))) % 5) AS day FROM b),
+def _winners(tag: str = "", where: str = "true") -> str:
+    """CTE win (and mem, cand, rk) of the records that ``where`` takes; ``tag`` is added to the names."""
+    sql = """
+mem AS (SELECT *, coalesce(email, domain) AS entity_id, ((length(external_id) * 7 + ascii(right(external_id, 1))) % 5) AS day FROM b WHERE @where),
 cand AS (
   SELECT entity_id, record_id, priority, day, 'name' AS field, trim(regexp_replace(raw_name, '\\s+', ' ', 'g')) AS value, length(name) AS completeness FROM mem
   UNION ALL SELECT entity_id, record_id, priority, day, 'email', email, 1 FROM mem WHERE email IS NOT NULL
@@ -150,6 +154,12 @@ rk AS (
 win AS (
   SELECT *, CASE WHEN p2 IS NULL THEN 'ONLY_CANDIDATE' WHEN priority <> p2 THEN 'SOURCE_PRIORITY' WHEN completeness <> c2 THEN 'COMPLETENESS' WHEN day <> d2 THEN 'RECENCY' ELSE 'STABLE_TIE_BREAK' END AS selection_rule
   FROM rk WHERE r = 1)"""
+    for name in ("mem", "cand", "rk", "win"):
+        sql = re.sub(rf"\b{name}\b", name + tag, sql)
+    return sql.replace("@where", where)
+
+
+_MEMBERS = f"{_N},{_winners()}"
 
 _ENTITIES = """
 c AS (
@@ -244,6 +254,74 @@ FROM documents GROUP BY ALL""",
     "noop_snapshots": """
 WITH a AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
 SELECT o_custkey, o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS canonical_version FROM a WHERE before IS DISTINCT FROM o_orderstatus""",
+    "snapshot_writes": f"""WITH {_N},{_winners("1", "source <> 'billing'")},{_winners("2")},
+w AS (SELECT entity_id, field, value, record_id, selection_rule, completeness, priority, day FROM win2),
+x AS (SELECT DISTINCT entity_id FROM (SELECT * FROM w EXCEPT SELECT entity_id, field, value, record_id, selection_rule, completeness, priority, day FROM win1)),
+o AS (SELECT DISTINCT entity_id FROM win1),
+nf AS (SELECT entity_id, count(*) AS n_fields FROM win2 GROUP BY entity_id)
+SELECT nf.entity_id, CAST(CASE WHEN o.entity_id IS NOT NULL AND x.entity_id IS NOT NULL THEN 2 ELSE 1 END AS BIGINT) AS canonical_version, n_fields,
+       CAST(CASE WHEN o.entity_id IS NOT NULL AND x.entity_id IS NOT NULL THEN 2 ELSE 1 END AS BIGINT) AS n_history
+FROM nf LEFT JOIN x USING (entity_id) LEFT JOIN o USING (entity_id)""",
+    "history_provenance": f"""WITH {_MEMBERS} SELECT entity_id, max(CASE WHEN field = 'name' THEN record_id END) AS name_from, max(CASE WHEN field = 'address.city' THEN value END) AS city,
+       max(CASE WHEN field = 'phone' THEN split_part(record_id, ':', 1) END) AS phone_source, count(*) AS n_fields FROM win GROUP BY entity_id""",
+    "norm_wide": """
+SELECT c_custkey, 'josé ' || lower(c_name) AS name, 'User' || c_custkey || '@xn--mnich-kva.example' AS email, 'xn--mnich-kva.sup' || c_custkey || '.example' AS domain,
+       'et-' || c_custkey AS registration_id, 'ET' AS country FROM customer""",
+    "operation_requests": """
+WITH k AS (SELECT o_orderkey AS k FROM orders)
+SELECT k AS o_orderkey,
+       CASE WHEN k % 4 = 0 THEN 'INVALID_ID' WHEN k % 5 = 0 OR k % 7 = 0 THEN 'INVALID_VERSION' WHEN k % 11 = 0 THEN 'INVALID_REASON' END AS merge,
+       CASE WHEN k % 8 = 1 THEN 'EXACTLY_ONE_SELECTION' WHEN k % 8 = 0 THEN 'INVALID_ID' WHEN k % 3 = 0 THEN 'INVALID_ID' WHEN k % 5 = 0 THEN 'INVALID_VERSION' WHEN k % 11 = 0 THEN 'INVALID_REASON' END AS split,
+       CASE WHEN k % 13 = 0 THEN 'INVALID_DECISION' WHEN k % 11 = 0 THEN 'INVALID_REASON' WHEN k % 5 < 2 OR k % 7 = 0 THEN 'INVALID_VERSION' END AS review FROM k""",
+    "batch_sizes": "SELECT user_id % 113 AS job_id, count(*) AS n, CASE WHEN count(*) > 100 THEN 'INVALID_BATCH_SIZE' END AS reason FROM events GROUP BY ALL",
+    "stored_rows": """
+SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 THEN 'OPERATION_INTEGRITY' END AS operation,
+       CASE WHEN event_id % 4 = 0 OR event_id % 1100 > 1000 OR event_id % 9 = 0 OR ts IS NULL THEN 'PROVENANCE_INTEGRITY' END AS provenance, event_id % 8 = 0 AS damaged FROM events""",
+    "missing_sources": "SELECT unnest(['billing', 'registry']) AS source",
+    "bearer_keys": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'k' || s_suppkey END AS key FROM supplier",
+    "member_records": f"WITH {_N} SELECT email AS entity_id, record_id, source, CAST(priority AS INTEGER) AS priority, phone FROM b WHERE source <> 'registry'",
+    "entity_views": """
+WITH n AS (SELECT o_custkey AS k, count(*) AS n, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS entity_id, coalesce(n, 0) AS record_count, s AS canonical, CASE WHEN c_custkey % 3 > 0 THEN p END AS provenance,
+       CASE WHEN c_custkey % 3 > 0 AND n > 0 THEN 'canonicalization-v1' END AS policy_version FROM customer LEFT JOIN n ON k = c_custkey""",
+    "operation_views": "SELECT o_orderkey AS id, 'SPLIT' AS operation, o_custkey AS source_entity_id, o_custkey + 1 AS target_entity_id, CAST(1 AS BIGINT) AS records, CAST(NULL AS BIGINT) AS reversed_operation_id FROM orders",
+    "source_views": "SELECT source AS name, 'crawl' AS type, CAST(CASE WHEN min(doc_id) % 2 = 0 THEN 7 ELSE 100 END AS INTEGER) AS priority FROM documents GROUP BY source",
+    "ingestion_views": """
+WITH a AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+s AS (SELECT *, CASE WHEN before IS NULL THEN 'CREATED' WHEN before = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS status FROM a),
+d AS (SELECT user_id FROM s WHERE status = 'CREATED' AND event_id % 2 = 0)
+SELECT CAST(s.user_id AS VARCHAR) AS record_id, event_id AS arrival_seq, status, count(*) FILTER (status <> 'UNCHANGED') OVER (PARTITION BY s.user_id ORDER BY event_id) AS version,
+       CASE WHEN d.user_id IS NOT NULL THEN 'NO_MATCH' END AS decision FROM s LEFT JOIN d ON s.user_id = d.user_id""",
+    "stored_answers": """
+SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 6 <> 0 AND o_orderkey % 9 = 0 THEN 'NO_MATCH' ELSE 'AUTO_MATCH' END WHEN o_orderkey % 5 = 0 THEN 'REVIEW' END AS decision,
+       CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN o_custkey END AS entity_id, CASE WHEN o_orderkey % 3 = 0 THEN 'LINK' WHEN o_orderkey % 5 = 0 THEN 'REVIEW' ELSE 'NONE' END AS found_in FROM orders""",
+    "record_refresh": """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'known' ELSE sha256('{"a":' || event_id || ',"b":"' || event_type || '"}') END AS hash, event_id % 4 <> 1 AS refresh FROM events""",
+    "kept_evidence": _with(_N, _KEYS, _PAIRS, _SCORES, select=f"""
+SELECT record_id, supporting_id, {_r('score')} AS score, decision, CAST(warnings + CASE WHEN blocked THEN 1 ELSE 0 END AS BIGINT) AS n_contradictions, 'features-v1' AS feature_version, 'rules-0.1.0' AS algorithm_version FROM d"""),
+    "missing_supporting": _with(_N, _KEYS, _PAIRS, select="SELECT DISTINCT supporting_id AS record_id FROM pairs WHERE entity_type = 'company' AND length(supporting_id) % 3 = 0"),
+    "review_details": """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), h AS (SELECT k, k % 2 + 1 AS version FROM o)
+SELECT CAST(o.k AS VARCHAR) AS review_id, CAST(o.k AS VARCHAR) AS source_record_id, CAST(o.k + 1 AS VARCHAR) AS candidate_record_id, CAST(CAST((o.k % 100) / 100.0 AS DECIMAL(5,4)) AS DOUBLE) AS confidence,
+       CASE WHEN o.k % 4 = 0 THEN 1 END AS source_record_version, CASE WHEN o.k % 3 > 0 THEN 2 END AS candidate_record_version,
+       CASE WHEN o.k % 4 = 0 AND h.version = 1 THEN 'p' || o.k END AS source_raw, CASE WHEN o.k % 3 > 0 AND n.version = 2 THEN 'p' || n.k END AS candidate_raw,
+       coalesce(o.c % 7 <> 0 AND n.k IS NOT NULL AND l.c = o.c AND cu.c_custkey IS NOT NULL AND h.version = 1 AND n.version = CASE WHEN o.k % 3 > 0 THEN 2 ELSE 1 END, false) AS approval_available
+FROM o JOIN h ON h.k = o.k LEFT JOIN h n ON n.k = o.k + 1 LEFT JOIN o l ON l.k = o.k + 1 LEFT JOIN customer cu ON cu.c_custkey = o.c WHERE o.k % 2 = 0""",
+    "review_decisions": "SELECT o_orderkey AS review_decision_id, CASE WHEN o_orderkey % 2 = 0 THEN 'APPROVE' ELSE 'REJECT' END AS decision, o_custkey AS entity_id, 'review-v1' AS policy_version FROM orders",
+    "review_eligibility": f"""WITH {_ENTITIES},
+o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+u AS (SELECT k, c FROM o WHERE c % 7 <> 0 AND k % 4 IN (2, 3) UNION ALL SELECT k + 1, c FROM o WHERE k % 4 = 0),
+g AS (
+  SELECT o.k, o.c, k % 12 = 0 AS resolved, CASE WHEN c % 11 = 0 THEN 'company' ELSE 'person' END AS kind, k % 3 + 1 AS sv, k % 3 + 1 + CASE WHEN k % 40 = 0 THEN 1 ELSE 0 END AS asked_sv,
+         CASE WHEN k % 2 = 0 THEN k % 3 + 1 ELSE 1 END AS captured_sv, (k + 1) % 3 + 1 AS captured_cv, k % 8 < 6 AS approve FROM o),
+j AS (
+  SELECT g.*, own.c AS linked, n.k IS NOT NULL AS candidate, CASE WHEN n.c % 11 = 0 THEN 'company' ELSE 'person' END AS candidate_kind, (n.k % 3) + 1 AS cv, lc.c AS candidate_entity, st.kind AS entity_kind, st.merged, st.v, st.k IS NOT NULL AS entity
+  FROM g LEFT JOIN u own ON own.k = g.k LEFT JOIN o n ON n.k = g.k + 1 LEFT JOIN u lc ON lc.k = g.k + 1 LEFT JOIN st ON st.k = g.c),
+e AS (
+  SELECT *, CASE WHEN resolved THEN 'REVIEW_ALREADY_RESOLVED' WHEN linked IS NOT NULL THEN 'REVIEW_RECORD_ALREADY_LINKED' WHEN sv <> asked_sv THEN 'REVIEW_SOURCE_VERSION_CONFLICT'
+                 WHEN approve AND NOT coalesce(entity AND NOT merged AND kind = entity_kind AND candidate AND candidate_kind = kind AND candidate_entity = c AND sv = captured_sv AND cv = captured_cv, false) THEN 'REVIEW_EVIDENCE_STALE'
+                 WHEN approve AND v <> c % 5 THEN 'ENTITY_VERSION_CONFLICT' END AS error FROM j)
+SELECT CAST(k AS VARCHAR) AS case_id, CASE WHEN approve THEN 'APPROVE' ELSE 'REJECT' END AS decision, error, error IS NULL AS linked FROM e""",
     "snapshot_trigger": """
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'MERGE' WHEN event_id % 4 = 1 THEN 'SPLIT' WHEN event_id % 3 = 0 THEN 'REVIEW_APPROVED' WHEN event_id % 5 = 0 THEN 'LEGACY_BACKFILL'
                       WHEN event_id % 5 = 1 THEN 'RECORD_UPDATED' WHEN event_id % 2 = 0 THEN 'ENTITY_CREATED' ELSE 'RECORD_LINKED' END AS snapshot_trigger FROM events""",

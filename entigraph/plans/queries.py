@@ -11,7 +11,7 @@ from .. import policy
 from ..functions import identity, similarity, text, validation
 from ..operators import blocking, matching, operations, paging, quality, resolution, survivorship, versions, views
 from ..sources import party
-from ..sources.tables import read_table, typed_records
+from ..sources.tables import materialize, read_table, typed_records
 from .ordered import apply_in_order, resolve_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,74 @@ def canonical_json(spark, folder):
     return e.select("event_id", identity.json_hash(F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("e"), F.col("event_id").alias("a")))).alias("hash"))
 
 
+@query
+def norm_wide(spark, folder):
+    """Names, addresses and ids with full-width letters, other blanks and accents, which take the compatibility form."""
+    c = read_table(spark, folder, "customer")
+    key = F.col("c_custkey").cast("string")
+    return c.select(
+        "c_custkey", text.normalize_name(F.concat(F.lit("  Ｊosé\u3000"), F.col("c_name"), F.lit("\u00a0"))).alias("name"),
+        text.normalize_email(F.concat(F.lit("User"), key, F.lit("@MÜNICH.example"))).alias("email"),
+        text.normalize_domain(F.concat(F.lit("HTTPS://www.MÜNICH.sup"), key, F.lit(".example/"))).alias("domain"),
+        text.registration_id(F.concat(F.lit(" ＥＴ－"), key)).alias("registration_id"), text.normalize_country(F.lit(" ｅt ")).alias("country"),
+    )
+
+
+def _uuid(key):
+    return F.concat(F.lpad(F.lower(F.hex(key)), 8, "0"), F.lit("-0000-4000-8000-00000000000a"))
+
+
+@query
+def operation_requests(spark, folder):
+    """Reason codes of merge, split and review requests of which each field is wrong now and then."""
+    o = read_table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    why, version = F.when(k % 11 == 0, "  ").otherwise("why"), (k % 5 - 1).cast("int")
+    target = F.when(k % 4 == 0, "x").otherwise(_uuid(k))
+    candidate = F.when(k % 7 != 0, 3)
+    ids = F.when(k % 3 == 0, F.array(_uuid(k), F.upper(_uuid(k)))).otherwise(F.array(_uuid(k)))
+    return o.select(
+        "o_orderkey", validation.merge_reason(target, version, candidate, why).alias("merge"),
+        validation.split_reason(ids, target, k % 8 > 0, k % 8 < 2, version, why).alias("split"),
+        validation.review_reason(F.when(k % 13 == 0, "MAYBE").otherwise("APPROVE"), why, version, candidate).alias("review"),
+    )
+
+
+@query
+def batch_sizes(spark, folder):
+    """Events of a minute's share as batches; one of more than a hundred is refused."""
+    e = read_table(spark, folder, "events")
+    positions = e.select(F.lit("t1").alias("tenant_id"), F.pmod(F.col("user_id"), F.lit(113)).alias("job_id"))
+    return validation.batch_reason(positions).select("job_id", "n", "reason")
+
+
+@query
+def stored_rows(spark, folder):
+    """Integrity of stored operations and provenance, and of stored JSON."""
+    e = read_table(spark, folder, "events")
+    k = F.col("event_id")
+    operation = validation.stored_operation(F.when(k % 6 == 0, "MOVE").otherwise("SPLIT"), F.when(k % 5 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))), F.lit("why"), F.when(k % 7 == 0, "old").otherwise(policy.OPERATIONS), policy.OPERATIONS)
+    provenance = validation.stored_provenance(F.when(k % 4 == 0, "LUCK").otherwise("RECENCY"), (k % 1100).cast("int"), F.lit(3), F.when(k % 9 != 0, F.col("ts")))
+    payload = e.select("event_id", F.when(k % 8 == 0, "{bad").otherwise(F.col("props")).alias("raw"))
+    damaged = validation.stored_payload(payload, ["raw"]).select("event_id", F.lit(True).alias("damaged"))
+    return e.select("event_id", operation.alias("operation"), provenance.alias("provenance")).join(damaged, "event_id", "left").select("event_id", "operation", "provenance", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+
+
+@query
+def missing_sources(spark, folder):
+    r = party.records(spark, folder)
+    known = spark.sql("SELECT 't1' AS tenant_id, name FROM VALUES ('crm') AS t(name)")
+    return validation.missing_sources(r, known).select("source")
+
+
+@query
+def bearer_keys(spark, folder):
+    s = read_table(spark, folder, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    header = F.when(key.cast("long") % 3 == 0, F.concat(F.lit("bearer  k"), key)).when(key.cast("long") % 3 == 1, F.concat(F.lit("Basic k"), key)).otherwise(F.concat(F.lit("Bearer k "), key))
+    return s.select("s_suppkey", identity.bearer_key(header).alias("key"))
+
+
 # Blocking
 
 
@@ -349,6 +417,29 @@ def noop_snapshots(spark, folder):
     return rows.select("o_custkey", "o_orderkey", "o_orderstatus", version.alias("canonical_version"))
 
 
+@query
+def snapshot_writes(spark, folder):
+    """Entities first of master records, then of all: what changed is written, its provenance replaced, history kept."""
+    m = _members(spark, folder)
+    none = F.lit(None).cast("string")
+    before = survivorship.canonical_entities(m.where("source <> 'billing'"))
+    empty = before.select("tenant_id", "entity_id", none.alias("hash"), F.lit(0).cast("int").alias("canonical_version")).limit(0)
+    first = materialize(survivorship.changed_snapshots(before, empty), "snapshots")
+    changed = materialize(survivorship.changed_snapshots(survivorship.canonical_entities(m), first), "snapshots")
+    fields = first.select("tenant_id", "entity_id", F.explode("provenance").alias("p")).select("tenant_id", "entity_id", "p.*")
+    every = first.select("tenant_id", "entity_id", "canonical", "canonical_version").unionByName(changed.where("canonical_version = 1").select("tenant_id", "entity_id", "canonical", F.lit(0).alias("canonical_version")))
+    after = survivorship.write_snapshots(every, fields, first.select("tenant_id", "entity_id", "canonical_version", "provenance"), changed)
+    counts = lambda t, c: after[t].groupBy("entity_id").agg(F.count("*").alias(c))
+    return after["entities"].select("entity_id", F.col("canonical_version").cast("long").alias("canonical_version")).join(counts("provenance", "n_fields"), "entity_id").join(counts("history", "n_history"), "entity_id")
+
+
+@query
+def history_provenance(spark, folder):
+    rows = views.history_provenance(survivorship.canonical_entities(_members(spark, folder)))
+    p = F.col("provenance")
+    return rows.select("entity_id", p["name"]["source_record_id"].alias("name_from"), p["address.city"]["canonical_value"].alias("city"), p["phone"]["source_system_name"].alias("phone_source"), F.size(p).cast("long").alias("n_fields"))
+
+
 @query
 def snapshot_trigger(spark, folder):
     e = read_table(spark, folder, "events").select("event_id")
@@ -393,6 +484,87 @@ def api_key_scopes(spark, folder):
     return versions.authorize(calls, keys, tenants).select("call", "tenant_id", "allowed")
 
 
+@query
+def member_records(spark, folder):
+    """Linked records with their source's priority, nested as they are shown."""
+    r = party.records(spark, folder)
+    records = r.select("tenant_id", "record_id", "source", "external_id", "entity_type", "data", "normalized", F.lit(policy.NORMALIZATION).alias("normalization_version"))
+    links = r.where("source <> 'registry'").select("tenant_id", "record_id", F.col("normalized.email").alias("entity_id"))
+    sources = spark.sql("SELECT 't1' AS tenant_id, name, priority FROM VALUES ('crm', 10), ('billing', 100) AS t(name, priority)")
+    v = views.linked_record_view(views.membership(links, records, sources))
+    return v.select("entity_id", F.col("record.record_id").alias("record_id"), F.col("record.source.name").alias("source"), F.col("record.source.priority").alias("priority"), F.col("record.normalized.phone").alias("phone"))
+
+
+@query
+def entity_views(spark, folder):
+    """Entities with their newest snapshot; those of version 0 show no provenance."""
+    c, o = read_table(spark, folder, "customer"), read_table(spark, folder, "orders")
+    entities = c.select(F.lit("t1").alias("tenant_id"), F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") % 3).cast("int").alias("canonical_version"))
+    links = o.select(F.lit("t1").alias("tenant_id"), F.col("o_custkey").alias("entity_id"))
+    snapshots = o.select(F.lit("t1").alias("tenant_id"), F.col("o_custkey").alias("entity_id"), F.col("o_orderstatus").alias("canonical"), F.col("o_orderpriority").alias("provenance"), F.lit(policy.SURVIVORSHIP).alias("canonicalization_version"), F.col("o_orderkey").alias("snapshot"))
+    v = views.entity_view(entities, links, snapshots.withColumnRenamed("snapshot", "canonical_version"))
+    return v.select("entity_id", "record_count", "canonical", "provenance", "policy_version")
+
+
+@query
+def operation_views(spark, folder):
+    o = read_table(spark, folder, "orders")
+    log = o.select(F.col("o_orderkey").alias("operation_id"), F.lit("SPLIT").alias("type"), F.col("o_custkey").alias("source_id"), (F.col("o_custkey") + 1).alias("target_id"), F.array(F.col("o_orderkey")).alias("record_ids"), F.lit(None).cast("long").alias("reversed_id"))
+    return views.operation_view(log).select("id", "operation", "source_entity_id", "target_entity_id", F.size("record_ids").cast("long").alias("records"), "reversed_operation_id")
+
+
+@query
+def source_views(spark, folder):
+    d = read_table(spark, folder, "documents").groupBy("source").agg(F.min("doc_id").alias("d"))
+    return views.source_view(d.select(F.col("source").alias("name"), F.lit("crawl").alias("type"), F.when(F.col("d") % 2 == 0, 7).alias("priority")))
+
+
+@query
+def ingestion_views(spark, folder):
+    """Arrivals with what they answer: status, version, and the resolution of those resolved."""
+    v = versions.record_versions(_arrivals(spark, folder).withColumn("entity_type", F.lit("person"))).withColumn("record_id", F.col("external_id"))
+    outcomes = v.where("status = 'CREATED' AND arrival_seq % 2 = 0").select("tenant_id", "record_id", F.lit("NO_MATCH").alias("decision"))
+    return views.ingestion_view(v, outcomes).select("record_id", "arrival_seq", "status", "version", "decision")
+
+
+@query
+def stored_answers(spark, folder):
+    """Records that are linked or in review answer with what is stored; the others are still to be resolved."""
+    o = read_table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    r = o.select(F.lit("t1").alias("tenant_id"), key.alias("record_id"), F.col("o_custkey").alias("entity_id"))
+    human = F.when(F.col("record_id") % 6 == 0, "APPROVE").when(F.col("record_id") % 9 == 0, "REJECT")
+    links = r.where("record_id % 3 = 0").withColumns({"decision": F.lit("AUTO_MATCH"), "human_decision": human})
+    reviews = r.where("record_id % 5 = 0")
+    stored = resolution.stored_outcomes(r, links, reviews).select("record_id", "decision", "entity_id", "found_in")
+    open_ = resolution.unresolved(r, links, reviews).select("record_id", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("long").alias("entity_id"), F.lit("NONE").alias("found_in"))
+    return stored.unionByName(open_)
+
+
+@query
+def record_refresh(spark, folder):
+    """Stored records without a hash get theirs; those of an older policy are to be normalized again."""
+    e = read_table(spark, folder, "events")
+    raw = F.to_json(F.struct(F.col("event_type").alias("b"), F.col("event_id").alias("a")))
+    rows = e.select("event_id", raw.alias("raw"), F.when(F.col("event_id") % 3 == 0, "known").alias("hash"), F.when(F.col("event_id") % 4 > 0, F.when(F.col("event_id") % 4 == 1, policy.NORMALIZATION).otherwise("normalization-v0")).alias("normalization_version"))
+    return versions.renormalize(versions.backfill_hash(rows), policy.NORMALIZATION).select("event_id", "hash", "refresh")
+
+
+@query
+def kept_evidence(spark, folder):
+    """The evidence rows of all compared pairs."""
+    rows = resolution.pair_evidence(matching.assert_same_type(_scored(spark, folder).withColumn("other", F.col("entity_type")), "entity_type", "other"))
+    return rows.select("record_id", "supporting_id", "score", "decision", F.size("contradictions").cast("long").alias("n_contradictions"), "feature_version", "algorithm_version")
+
+
+@query
+def missing_supporting(spark, folder):
+    """Supporting records that the population lacks, as every third company does here."""
+    new, known = _sides(spark, folder)
+    found = blocking.generate_candidates(new, known)
+    return resolution.missing_supporting(found, known.where("NOT (entity_type = 'company' AND length(record_id) % 3 = 0)")).select("record_id")
+
+
 # Quality
 
 
@@ -503,6 +675,36 @@ def review_eligibility(spark, folder):
     return operations.decide_reviews(decisions, graph).select("case_id", "decision", "error", (F.col("linked_entity_id") == F.col("case_id")).isNotNull().alias("linked"))
 
 
+@query
+def review_details(spark, folder):
+    """Review cases with the payloads of the versions they captured, summary and whether approval is open."""
+    o = read_table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    entities = read_table(spark, folder, "customer").select(F.lit("t1").alias("tenant_id"), F.col("c_custkey").cast("string").alias("entity_id"), F.lit("person").alias("entity_type"), F.when(F.col("c_custkey") % 7 == 0, "MERGED").otherwise("ACTIVE").alias("status"), F.lit(1).alias("canonical_version"))
+    records = o.select(F.lit("t1").alias("tenant_id"), k.cast("string").alias("record_id"), F.lit("person").alias("entity_type"), (k % 2 + 1).cast("int").alias("version"))
+    links = o.where("o_orderkey % 2 = 1").select(F.lit("t1").alias("tenant_id"), k.cast("string").alias("record_id"), F.col("o_custkey").cast("string").alias("entity_id"))
+    cases = o.where("o_orderkey % 2 = 0").select(
+        F.lit("t1").alias("tenant_id"), k.cast("string").alias("case_id"), k.cast("string").alias("record_id"), (k + 1).cast("string").alias("supporting_id"), F.col("o_custkey").cast("string").alias("entity_id"),
+        F.when(k % 4 == 0, 1).alias("captured_source_version"), F.when(k % 3 > 0, 2).alias("captured_candidate_version"), F.lit("OPEN").alias("status"), (k % 100 / 100).cast("decimal(5,4)").alias("score"),
+        F.lit(policy.SCORING).alias("algorithm_version"), F.col("o_orderdate").alias("created_at"),
+    )
+    history = records.select("tenant_id", "record_id", F.col("version").cast("int").alias("version"), F.concat(F.lit("p"), "record_id").alias("raw"))
+    graph = operations.review_graph(cases, records, links, entities)
+    detail = views.review_detail(graph, history).select(F.col("case_id").alias("review_id"), "source_raw", "candidate_raw", "approval_available")
+    return views.review_summary(cases).select("review_id", "source_record_id", "candidate_record_id", "confidence", "source_record_version", "candidate_record_version").join(detail, "review_id")
+
+
+@query
+def review_decisions(spark, folder):
+    o = read_table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    stored = o.select(
+        k.alias("decision_id"), k.alias("case_id"), F.when(k % 2 == 0, "APPROVE").otherwise("REJECT").alias("decision"), F.lit("why").alias("reason"), F.lit("a").alias("actor_id"), F.col("o_custkey").alias("entity_id"),
+        *[F.lit(1).alias(c) for c in ("source_record_version", "candidate_record_version", "candidate_canonical_version", "canonical_version")], F.lit(policy.REVIEW).alias("policy_version"), F.col("o_orderdate").alias("created_at"),
+    )
+    return views.review_decision_view(stored).select("review_decision_id", "decision", "entity_id", "policy_version")
+
+
 # Further reads and guards
 
 

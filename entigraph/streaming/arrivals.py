@@ -1,4 +1,9 @@
-"""A stream of record envelopes, resolved batch by batch in arrival order."""
+"""A stream of record envelopes, versioned and resolved batch by batch in arrival order.
+
+Each batch leaves folders of its own below the state: versions of records, links, open reviews and outcomes. A record is
+resolved when it first arrives, with the payload that it first has. Later payloads are versions: they change what later
+batches compare with, never a link or a review. Within a batch, changes take effect after its resolutions.
+"""
 
 from __future__ import annotations
 
@@ -10,41 +15,73 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identity import stable_id
 from ..functions.text import normalize_records
+from ..operators.resolution import apply_decisions, stored_outcomes, unresolved
+from ..operators.versions import current_records, record_versions
 from ..plans.ordered import resolve_in_order
 from ..schemas import ENVELOPE
-from ..sources.tables import typed_records
-
-POPULATION = "tenant_id", "entity_type", "record_id", "entity_id", "status", "normalized"
-
+from ..sources.tables import materialize, typed_records
 
 def read_arrivals(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Envelopes as JSON lines files appear in ``folder``."""
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+_KEY = ["tenant_id", "source", "external_id"]
+_ARRIVAL = [*_KEY, "entity_type", "arrival_seq", "raw"]
+#: Tables of the state; what an earlier batch left is their union.
+TABLES = {
+    "versions": "tenant_id string, source string, external_id string, entity_type string, arrival_seq long, raw string, hash string, status string, version long",
+    "links": "tenant_id string, record_id string, entity_id string, decision string, human_decision string",
+    "reviews": "tenant_id string, record_id string, entity_id string",
+}
+
+
 def resolver(state: str, wide: bool = True) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps links and outcomes below ``state``, a folder for each batch.
+    """A ``foreachBatch`` function that keeps the state's tables below ``state``, a folder for each batch.
 
-    A batch that runs again overwrites its own folders, so each record is resolved once; records resolved in an earlier
-    batch are left as they are.
+    A batch that runs again overwrites its own folders, so each record is resolved once. Records that are linked or in
+    review answer with what is stored and are not resolved again.
     """
 
+    def earlier(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
+        if not batch_id:
+            return spark.createDataFrame([], TABLES[table])
+        rows = spark.read.schema(TABLES[table] + ", batch long").option("basePath", f"{state}/{table}").parquet(f"{state}/{table}")
+        return rows.where(F.col("batch") < batch_id).drop("batch")
+
+    def identified(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("record_id", stable_id(F.lit("record"), *[F.col(c) for c in _KEY]))
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = typed_records(batch).where("error IS NULL").dropDuplicates(["tenant_id", "source", "external_id"])
-        rows = rows.withColumn("record_id", stable_id(F.lit("record"), F.col("tenant_id"), F.col("source"), F.col("external_id")))
-        rows = normalize_records(rows, wide)
-        empty = spark.createDataFrame([], rows.select("tenant_id", "entity_type", "record_id", F.lit("").alias("entity_id"), F.lit("").alias("status"), "normalized").schema)
-        # Each batch leaves its new links; what came before is their union.
-        known = empty
-        if batch_id:
-            earlier = spark.read.schema(empty.schema.add("batch", "long")).option("basePath", f"{state}/links").parquet(f"{state}/links")
-            known = earlier.where(F.col("batch") < batch_id).select(*POPULATION)
-        new = rows.join(known.select("tenant_id", "record_id"), ["tenant_id", "record_id"], "left_anti")
-        outcomes, after = resolve_in_order(new, known)
-        links = after.join(known.select("tenant_id", "record_id"), ["tenant_id", "record_id"], "left_anti").select(*POPULATION)
-        links.write.mode("overwrite").parquet(f"{state}/links/batch={batch_id}")
-        outcomes.drop("features", "contradictions").write.mode("overwrite").parquet(f"{state}/outcomes/batch={batch_id}")
+        write = lambda df, table: df.write.mode("overwrite").parquet(f"{state}/{table}/batch={batch_id}")
+        arrived = materialize(typed_records(batch).where("error IS NULL").select(*_ARRIVAL), "arrived")
+        before, links, reviews = (earlier(spark, t, batch_id) for t in TABLES)
+
+        # The records' own current payloads stand before what arrives; their versions go on from there.
+        keys = arrived.select(*_KEY).distinct()
+        own = current_records(before.join(keys, _KEY, "left_semi"))
+        first = own.select(*_KEY, "entity_type", F.lit(-1).cast("long").alias("arrival_seq"), "raw")
+        numbered = record_versions(arrived.unionByName(first)).where("arrival_seq >= 0")
+        base = own.select(*_KEY, (F.col("version") - 1).alias("base"))
+        numbered = numbered.join(base, _KEY, "left").withColumn("version", F.col("version") + F.coalesce("base", F.lit(0)))
+        numbered = materialize(numbered.select(*[c.split()[0] for c in TABLES["versions"].split(", ")]), "versions")
+
+        payloads = lambda rows: normalize_records(typed_records(rows), wide).select("tenant_id", "entity_type", "record_id", "arrival_seq", "normalized")
+        new = unresolved(payloads(identified(numbered.where("status = 'CREATED'"))), links, reviews)
+        newest = current_records(before).withColumn("arrival_seq", F.lit(0).cast("long"))
+        known = payloads(identified(newest)).join(links.select("tenant_id", "record_id", "entity_id"), ["tenant_id", "record_id"])
+        outcomes, _ = resolve_in_order(new, known.withColumn("status", F.lit("ACTIVE")))
+        outcomes = materialize(outcomes.drop("features", "contradictions"), "outcomes")
+        made = apply_decisions(outcomes)
+        asked = identified(numbered.where("status <> 'CREATED'")).select("tenant_id", "record_id").distinct()
+        stored = stored_outcomes(asked, links, reviews).select("tenant_id", "record_id", "decision", F.col("entity_id").alias("linked_entity_id"))
+
+        write(numbered, "versions")
+        write(made["links"].select("tenant_id", "record_id", "entity_id", "decision", F.lit(None).cast("string").alias("human_decision")), "links")
+        write(made["reviews"].select("tenant_id", "record_id", "entity_id"), "reviews")
+        write(outcomes, "outcomes")
+        write(stored, "answers")
 
     return run
 

@@ -148,9 +148,15 @@ def test_stream(spark, tmp_path):
     def go():
         arrivals.start(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
 
-    put("1.json", [(0, "x", "Ann Lee", "a@example.com"), (1, "y", "Ann Lee", "a@example.com")])
+    put("1.json", [(0, "x", "Ann Lee", "a@example.com"), (1, "y", "Ann Lee", "a@example.com"), (2, "q", "Ann Leh", None)])
     go()
-    put("2.json", [(2, "z", "ANN LEE", "a@EXAMPLE.com"), (3, "x", "Changed", "c@example.com")])
+    put("2.json", [(3, "z", "ANN LEE", "a@EXAMPLE.com"), (4, "x", "Changed", "c@example.com"), (5, "y", "Ann Lee", "a@example.com"), (6, "x", "Changed again", "c@example.com")])
     go()
-    links = spark.read.parquet(str(tmp_path / "state" / "links"))
-    assert links.count() == 3 and links.select("entity_id").distinct().count() == 1
+    put("3.json", [(7, "w", "Changed again", "c@example.com"), (8, "x", "Changed again", "c@example.com")])
+    go()
+    read = lambda t: spark.read.parquet(str(tmp_path / "state" / t))
+    links = read("links")
+    assert links.count() == 5 and links.select("entity_id").distinct().count() == 2
+    got = {(r.external_id, r.arrival_seq): (r.status, r.version) for r in read("versions").collect()}
+    assert got[("x", 4)] == ("UPDATED", 2) and got[("x", 6)] == ("UPDATED", 3) and got[("x", 8)] == ("UNCHANGED", 3) and got[("y", 5)] == ("UNCHANGED", 1) and got[("w", 7)] == ("CREATED", 1)
+    assert read("answers").where("batch = 1").count() == 2 and read("outcomes").count() == 5
