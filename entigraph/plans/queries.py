@@ -113,7 +113,8 @@ def record_validation(spark, folder):
         "record_id", raw.alias("raw"), F.when(case == 3, "robot").otherwise(F.col("entity_type")).alias("entity_type"),
         F.when(case == 1, F.upper("source")).otherwise(F.col("source")).alias("source"), F.when(case == 2, "  ").otherwise(F.col("external_id")).alias("external_id"),
     )
-    return typed_records(rows).select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data")).alias("reason"))
+    # Written once: the checks read the data many times.
+    return materialize(typed_records(rows), "typed").select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data")).alias("reason"))
 
 
 @query

@@ -10,7 +10,9 @@ from entigraph.functions.text import normalize_records
 from entigraph.functions.validation import first_reason, has_identity, record_reason, split_reason
 from entigraph.operators import operations, paging, survivorship, versions, views
 from entigraph.plans.ordered import apply_in_order
+from entigraph import policy
 from entigraph.schemas import DATA
+from entigraph.sources import tables
 from entigraph.sources.tables import typed_records
 from entigraph.streaming import arrivals
 
@@ -140,6 +142,53 @@ def test_validation(spark):
     assert first_reason((F.lit(True), "x")) is not None and has_identity is not None
 
 
+def test_wrong_types_count_as_absent(spark):
+    raw = ['{"name": 5, "email": {"a": 1}, "phone": true, "domain": "A.example", "address": [1]}', '{"name": "Ann", "address": {"city": "Addis", "country": 7, "line1": null}, "attributes": {"b": [1]}}', "[]", "{bad"]
+    d = typed_records(spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "k long, raw string"))
+    got = {r.k: (r.data, r.error) for r in d.collect()}
+    assert got[0][0].asDict(True) == {**dict.fromkeys(got[0][0].__fields__), "domain": "A.example"} and got[0][1] is None
+    assert (got[1][0].name, got[1][0].address.city, got[1][0].address.country, got[1][0].attributes) == ("Ann", "Addis", None, '{"b":[1]}')
+    assert got[2] == got[3] == (None, "INVALID_REQUEST_BODY")
+    reason = d.select("k", record_reason(d.raw, F.lit("company"), F.lit("crm"), F.lit("x"), d.data).alias("e")).where("k < 2").orderBy("k").collect()
+    assert [r.e for r in reason] == ["INVALID_FIELD_TYPE", "INVALID_FIELD_TYPE"]
+
+
+def test_files_of_records_pairs_and_reports(spark, tmp_path):
+    lines = [json.dumps({"tenant_id": "t", "source": "crm", "external_id": "x", "entity_type": "person", "arrival_seq": 4, "raw": json.dumps({"name": "Ann"})})]
+    (tmp_path / "records.json").write_text("\n".join(lines))
+    records = tables.read_records(spark, str(tmp_path / "records.json"))
+    assert records.first().data.name == "Ann"
+    item = tables.batch_items(records, "job").first()
+    assert (item.job_id, item.position, item.state, item.external_id) == ("job", 4, "QUEUED", "x")
+    pair = {"id": "a", "entity_type": "person", "record_a": {"name": "A"}, "record_b": {"name": "B"}, "expected_decision": "REVIEW", "rationale": "why"}
+    (tmp_path / "golden.json").write_text(json.dumps({"version": "1", "cases": [pair]}, indent=1))
+    golden = tables.read_golden(spark, str(tmp_path / "golden.json")).first()
+    assert (golden.id, golden.record_a.name, golden.record_b.name, golden.expected_decision) == ("a", "A", "B", "REVIEW")
+    tables.write_report(spark.createDataFrame([("a", 1)], "id string, n int"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().n == 1
+
+
+def test_limits():
+    assert policy.max_candidates() == 100 and policy.page_limit() == 25 and policy.max_candidates(1000) == 1000
+    for limit, bad in ((policy.max_candidates, 0), (policy.max_candidates, 1001), (policy.page_limit, 0), (policy.page_limit, 101)):
+        with pytest.raises(ValueError):
+            limit(bad)
+
+
+def test_damaged_rows_are_errors(spark):
+    winner = "array<struct<field:string,value:string,raw_value:string,record_id:string,source:string,external_id:string,priority:int,selection_rule:string,completeness:int,observed_at:timestamp>>"
+    good = ("name", "Ann", "Ann", "r", "crm", "x", 1, "RECENCY", 3, datetime(2026, 1, 1))
+    d = spark.createDataFrame([("t", "e", [good])], f"tenant_id string, entity_id string, provenance {winner}")
+    assert views.history_provenance(d).first().provenance["name"].canonical_value == "Ann"
+    bad = spark.createDataFrame([("t", "e", [(*good[:7], "LUCK", *good[8:])])], d.schema)
+    with pytest.raises(Exception, match="damaged"):
+        views.history_provenance(bad).collect()
+    names = "decision_id case_id decision reason actor_id entity_id source_record_version candidate_record_version candidate_canonical_version canonical_version policy_version created_at"
+    stored = spark.createDataFrame([("1",) * 10 + ("review-v0", "now")], ", ".join(f"{c} string" for c in names.split()))
+    with pytest.raises(Exception, match="unsupported policy"):
+        views.review_decision_view(stored).collect()
+
+
 def test_stream(spark, tmp_path):
     def put(name, rows):
         (tmp_path / "in").mkdir(exist_ok=True)
