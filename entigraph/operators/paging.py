@@ -37,73 +37,85 @@ def due_jobs(jobs: DataFrame, now, limit: int) -> DataFrame:
     return jobs.where("status IN ('QUEUED', 'PROCESSING')").where(F.col("dispatch_after") <= now).orderBy("dispatch_after", "job_id").limit(limit)
 
 
-def _encode(row: dict) -> str:
-    return base64.urlsafe_b64encode(json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).decode().rstrip("=")
+def _time(value: datetime) -> str:
+    return value.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
-def _decode(text: str, keys: set[str]) -> dict:
+def _is_time(value) -> bool:
     try:
-        if not re.fullmatch(rf"[A-Za-z0-9_-]{{1,{CURSOR_LENGTH}}}", text):
-            raise ValueError
-        raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
-        if base64.urlsafe_b64encode(raw).decode().rstrip("=") != text:
-            raise ValueError
-        row = json.loads(raw)
-    except (ValueError, TypeError) as e:
-        raise InvalidCursor("malformed cursor") from e
-    if not isinstance(row, dict) or set(row) != keys:
-        raise InvalidCursor("malformed cursor")
-    return row
+        return isinstance(value, str) and _time(datetime.fromisoformat(value)) == value
+    except ValueError:
+        return False
 
 
-def _time(value: datetime) -> str:
-    return value.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+def _is_id(value) -> bool:
+    return isinstance(value, str) and UUID4.fullmatch(value) is not None
 
 
-def _parse_time(value) -> datetime:
-    try:
-        at = datetime.fromisoformat(value)
-    except (ValueError, TypeError) as e:
-        raise InvalidCursor("malformed time") from e
-    if at.tzinfo is None or _time(at) != value:
-        raise InvalidCursor("malformed time")
-    return at
+def _is_number(value) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and 0 < value < 2**53
+
 
+#: The fields of each kind of cursor, as constants or as what a value must be.
+CURSORS: dict[str, dict] = {
+    "record": {"kind": "record", "version": CURSOR_VERSION, "createdAt": _is_time, "id": _is_id},
+    "history": {"kind": "history", "version": CURSOR_VERSION, "value": _is_number},
+    "review": {"kind": "review-v1", "status": lambda value: isinstance(value, str), "created_at": _is_time, "id": _is_id},
+}
 
-def _need(ok: bool) -> None:
-    if not ok:
-        raise InvalidCursor("malformed cursor")
+
+def _valid(fields: dict, row: dict) -> bool:
+    return row.keys() == fields.keys() and all(f(row[k]) if callable(f) else type(row[k]) is type(f) and row[k] == f for k, f in fields.items())
+
+
+def encode_cursor(kind: str, **values) -> str:
+    """The cursor of this kind with these values for its free fields; times are given as such."""
+    fields = CURSORS[kind]
+    given = {k: _time(v) if isinstance(v, datetime) else v for k, v in values.items()}
+    row = {**{k: f for k, f in fields.items() if not callable(f)}, **given}
+    if not _valid(fields, row):
+        raise InvalidCursor(f"no values of a {kind} cursor")
+    return base64.urlsafe_b64encode(json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).decode().rstrip("=")
+
+
+def decode_cursor(kind: str, text: str) -> dict:
+    """The free fields of a cursor of this kind, times as such; anything but what ``encode_cursor`` makes is refused."""
+    fields = CURSORS[kind]
+    try:
+        if not re.fullmatch(rf"[A-Za-z0-9_-]{{1,{CURSOR_LENGTH}}}", text):
+            raise ValueError
+        raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+        row = json.loads(raw)
+        if base64.urlsafe_b64encode(raw).decode().rstrip("=") != text or not isinstance(row, dict) or not _valid(fields, row):
+            raise ValueError
+    except (ValueError, TypeError) as e:
+        raise InvalidCursor(f"malformed {kind} cursor") from e
+    return {k: datetime.fromisoformat(row[k]) if f is _is_time else row[k] for k, f in fields.items() if callable(f)}
 
 
 def encode_record_cursor(created_at: datetime, record_id: str) -> str:
-    _need(bool(UUID4.fullmatch(record_id)))
-    return _encode({"kind": "record", "version": CURSOR_VERSION, "createdAt": _time(created_at), "id": record_id})
+    return encode_cursor("record", createdAt=created_at, id=record_id)
 
 
 def decode_record_cursor(text: str) -> tuple[datetime, str]:
-    row = _decode(text, {"kind", "version", "createdAt", "id"})
-    _need(row["kind"] == "record" and row["version"] == CURSOR_VERSION and isinstance(row["id"], str) and bool(UUID4.fullmatch(row["id"])))
-    return _parse_time(row["createdAt"]), row["id"]
+    return tuple(decode_cursor("record", text).values())
 
 
 def encode_history_cursor(version: int) -> str:
-    _need(isinstance(version, int) and not isinstance(version, bool) and 0 < version < 2**53)
-    return _encode({"kind": "history", "version": CURSOR_VERSION, "value": version})
+    return encode_cursor("history", value=version)
 
 
 def decode_history_cursor(text: str) -> int:
-    row = _decode(text, {"kind", "version", "value"})
-    value = row["value"]
-    _need(row["kind"] == "history" and row["version"] == CURSOR_VERSION and isinstance(value, int) and not isinstance(value, bool) and 0 < value < 2**53)
-    return value
+    return decode_cursor("history", text)["value"]
 
 
 def encode_review_cursor(created_at: datetime, case_id: str, status: str) -> str:
-    return _encode({"kind": "review-v1", "status": status, "created_at": _time(created_at), "id": case_id})
+    return encode_cursor("review", status=status, created_at=created_at, id=case_id)
 
 
 def decode_review_cursor(text: str, status: str) -> tuple[datetime, str]:
     """Cursors are bound to the status they were made for."""
-    row = _decode(text, {"kind", "status", "created_at", "id"})
-    _need(row["kind"] == "review-v1" and row["status"] == status and isinstance(row["id"], str) and bool(UUID4.fullmatch(row["id"])))
-    return _parse_time(row["created_at"]), row["id"].lower()
+    row = decode_cursor("review", text)
+    if row["status"] != status:
+        raise InvalidCursor("a review cursor of another status")
+    return row["created_at"], row["id"].lower()
