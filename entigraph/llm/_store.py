@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and what these aggregates of the rows came to as they were written."""
+    seen = Observation(name)
+    out = materialize(df.observe(seen, *metrics), name)
+    return out, seen.get

@@ -244,7 +244,6 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
         roots = connected_components(links.unionByName(more), "x", "y")
 
     of = classes.select("cls", "node", "doc_id").join(roots, "node", "left").select("cls", "doc_id", F.coalesce("root", "node").alias("root"))
-    of = materialize(of, "class-roots")
     heads = materialize(of.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("root", "component_id"), "heads")
     of = of.join(heads, "root", "left").select("cls", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
     return sketches, of
