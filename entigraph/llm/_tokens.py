@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of remembered segments and their ids in a worker.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 32 << 20
 #: Longer segments are not remembered.
 MEMO_CHARS = 128
 
