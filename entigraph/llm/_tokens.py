@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of remembered segments and their ids in a worker.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 64 << 20
 #: Longer segments are not remembered.
 MEMO_CHARS = 128
 
@@ -148,11 +148,11 @@ class Encoder:
         return [self._segment(odd[i]) if i in odd else bytes(raw[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """The worker's encoder of this vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, memo_bytes) not in _encoders:
+        _encoders[path, memo_bytes] = Encoder(path, memo_bytes)
+    return _encoders[path, memo_bytes]
