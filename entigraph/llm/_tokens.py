@@ -36,7 +36,7 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_ALPHABET = _alphabet()
+ALPHABET = _alphabet()
 
 
 def default_path() -> str:
@@ -98,31 +98,15 @@ def _marked(text: str) -> str:
     return text if _CUT in text else _CAREFUL.sub(_CUT, text)
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens added."""
+class Segments:
+    """Ids of texts by those of their segments, which a subclass gives (little-endian unsigned 32-bit)."""
 
-    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+    def __init__(self, memo_bytes: int = MEMO_BYTES):
         assert sys.byteorder == "little" and array("I").itemsize == 4
-        # A task has one core; the library would start a thread for each of the machine's.
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            check_vocabulary(json.load(f))
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.memo = Memo(memo_bytes)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one cut of the pattern, straight from the library's BPE model, in its byte alphabet."""
-        shown = word.replace(" ", _ALPHABET[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
     def _segment(self, segment: str) -> bytes:
-        word = _WORD.match(segment)
-        if word is None:
-            return array("I", self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
-        return self._word(word[1]) + (self._word(word[2]) if word[2] else b"")
+        raise NotImplementedError
 
     def _ids(self, segments: pa.Array) -> pa.Array:
         """Ids of distinct segments."""
@@ -148,6 +132,32 @@ class Encoder:
         return [self._segment(odd[i]) if i in odd else bytes(raw[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
+class Encoder(Segments):
+    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens added."""
+
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        super().__init__(memo_bytes)
+        # A task has one core; the library would start a thread for each of the machine's.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            check_vocabulary(json.load(f))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one cut of the pattern, straight from the library's BPE model, in its byte alphabet."""
+        shown = word.replace(" ", ALPHABET[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        word = _WORD.match(segment)
+        if word is None:
+            return array("I", self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
+        return self._word(word[1]) + (self._word(word[2]) if word[2] else b"")
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 

@@ -137,6 +137,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence_audit
+
+    return divergence_audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .byte_bpe import encode_and_decode
+
+    found = encode_and_decode(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import centroid_clusters
+
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -150,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_items": op8_near_items,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -169,7 +193,45 @@ ow AS (SELECT item_id, doc_id, rare, i AS j FROM lw JOIN dw ON lw.word = dw.word
 mw AS (SELECT aw.item_id, aw.doc_id, aw.i, count(DISTINCT rare) AS met FROM aw LEFT JOIN ow ON aw.item_id = ow.item_id AND aw.doc_id = ow.doc_id AND abs(aw.i - ow.j) < 26 GROUP BY ALL),
 near AS (SELECT doc_id, count(DISTINCT mw.item_id) AS n_near_items FROM mw JOIN iw ON mw.item_id = iw.item_id WHERE met >= wanted - 1 GROUP BY doc_id)"""
 
+#: Rounds of clustering: m0 has the first centroids (k, i, c by component), e1 to e4 each vector's nearest, m1 to m3 the moved.
+_NEAREST = """
+f{0} AS (SELECT r, k, sum((x.x - m.c) * (x.x - m.c)) AS d FROM x JOIN m{1} m ON x.i = m.i GROUP BY r, k),
+e{0} AS (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM f{0} GROUP BY r)"""
+_MOVED = """
+s{0} AS (SELECT e.k, x.i, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS n FROM x JOIN e{0} e ON x.r = e.r GROUP BY e.k, x.i),
+m{0} AS (SELECT m.k, m.i, CASE WHEN n IS NULL THEN m.c ELSE (s - ((s % n) + n) % n) // n END AS c FROM m{1} m LEFT JOIN s{0} s ON m.k = s.k AND m.i = s.i)"""
+
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all(LOWERED, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+n AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+g AS (SELECT d.lang, d.source, coalesce(max(n.n), 0) AS n FROM d LEFT JOIN n ON d.lang = n.lang AND d.source = n.source GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.n + 5 * v.v) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (k.total + 5)) // (v.lang_n + 5 * v.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.f, 0) AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN f ON g.lang = f.lang AND g.source = f.source AND h.source = f.item
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank
+FROM u WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 50
+""".replace("LOWERED", _LOWER),
+    "op13_centroid_clusters": f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS (SELECT r, unnest(range(64)) AS i, unnest(list_transform(e, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM v),
+o AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM v QUALIFY k < 16),
+m0 AS (SELECT o.k, x.i, x.x AS c FROM o JOIN x ON o.r = x.r),{",".join(_NEAREST.format(i, i - 1) + ("," + _MOVED.format(i, i - 1) if i < 4 else "") for i in (1, 2, 3, 4))},
+h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m3 GROUP BY k),
+t AS (SELECT k, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM e4 GROUP BY k)
+SELECT v.vec_id, CAST(e4.k AS INTEGER) AS cluster, CAST(e4.d AS BIGINT) AS distance, t.cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM e4) AS inertia, h.centroid_sha256
+FROM v JOIN e4 ON v.r = e4.r JOIN t ON e4.k = t.k JOIN h ON e4.k = h.k
+""",
     "op3_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
