@@ -77,11 +77,17 @@ def normalize_domain(column: Column, wide: bool = True) -> Column:
 
 
 def _host(text: Column, wide: bool) -> Column:
+    host = _url_host(text)
+    return _bare(_wide_only(host, _punycode) if wide else host)
+
+
+def _url_host(text: Column) -> Column:
     # A URL may end in an empty query or fragment, a bare host may not.
     host = F.regexp_extract(text, r"^(?:(?=[^?#]*$)|(?=https?://))(?:https?://)?([^/?#@:\\\s]+)/?\??#?$", 1)
-    host = F.when(host.contains("%"), F.lower(F.try_url_decode(host))).otherwise(host)
-    if wide:
-        host = _wide_only(host, _punycode)
+    return F.when(host.contains("%"), F.lower(F.try_url_decode(host))).otherwise(host)
+
+
+def _bare(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
 
 
@@ -97,6 +103,16 @@ def normalize_email(column: Column, wide: bool = True) -> Column:
     return _email(text, normalize_domain(F.get(F.split(text, "@"), F.lit(1)), wide))
 
 
+def with_email(rows: DataFrame, column: Column, name: str, wide: bool = True) -> DataFrame:
+    """``normalize_email`` as the column ``name``, step by step: each step is a column, so that none is made anew."""
+    rows = rows.withColumn("_mail", normalize_text(column, wide))
+    rows = rows.withColumn("_mail_host", _url_host(F.lower(F.get(F.split("_mail", "@"), F.lit(1)))))
+    if wide:
+        rows = rows.withColumn("_mail_host", _wide_only(F.col("_mail_host"), _punycode))
+    rows = rows.withColumn("_mail_host", _bare(F.col("_mail_host")))
+    return rows.withColumn(name, _email(F.col("_mail"), _domain(F.col("_mail_host")))).drop("_mail", "_mail_host")
+
+
 def _email(text: Column, domain: Column) -> Column:
     local = F.get(F.split(text, "@"), F.lit(0))
     fits = (F.size(F.split(text, "@")) == 2) & (F.length(local) <= 64) & local.rlike(r"^[A-Za-z0-9!#$%&'*+\-/=?^_{|}~]+(?:\.[A-Za-z0-9!#$%&'*+\-/=?^_{|}~]+)*$")
@@ -170,9 +186,13 @@ def normalize_records(records: DataFrame, wide: bool = True) -> DataFrame:
     }
     rows = records.withColumns(clean)
     rows = rows.withColumns({
-        "_host": _host(F.col("_domain"), wide), "_mail_host": _host(F.lower(F.get(F.split("_email", "@"), F.lit(1))), wide), "_company": _company(F.lower("_company")),
+        "_host": _url_host(F.col("_domain")), "_mail_host": _url_host(F.lower(F.get(F.split("_email", "@"), F.lit(1)))), "_company": _company(F.lower("_company")),
         "_country": F.when(F.upper("_country").rlike("^[A-Z]{2}$"), F.upper("_country")), "_place": F.upper(strip(data["address"]["country"])), "_digits": F.regexp_replace("_phone", "[^0-9]", ""),
     })
+    hosts = ("_host", "_mail_host")
+    if wide:
+        rows = rows.withColumns({h: _wide_only(F.col(h), _punycode) for h in hosts})
+    rows = rows.withColumns({h: _bare(F.col(h)) for h in hosts})
     parts = [*[F.lower(f"_{k}").alias(k) for k in ("line1", "line2", "city", "region")], F.upper("_postal_code").alias("postal_code"), F.col("_country").alias("country")]
     some = F.coalesce(*[F.col(f"_{k}") for k in ADDRESS_KEYS])
     rows = rows.withColumn("_name", F.when(person, F.lower("_name")).otherwise(F.col("_company.full")))

@@ -75,7 +75,9 @@ def typed_fields(raw: Column) -> Column:
     return ok
 
 
-def record_reason(raw: Column, kind: Column, source: Column, external: Column, data: Column) -> Column:
+def record_reason(raw: Column, kind: Column, source: Column, external: Column, data: Column, email: Column | None = None) -> Column:
+    """``email``: the normalized one, where it is at hand."""
+    known_email = email_syntax(data) if email is None else data["email"].isNull() | email.isNotNull()
     return first_reason(
         (raw.rlike(r"^\s*\{"), "INVALID_REQUEST_BODY"),
         (source_slug(source), "INVALID_SOURCE"),
@@ -85,7 +87,7 @@ def record_reason(raw: Column, kind: Column, source: Column, external: Column, d
         (typed_fields(raw), "INVALID_FIELD_TYPE"),
         (has_identity(kind, data), "IDENTITY_REQUIRED"),
         (lengths(data), "FIELD_TOO_LONG"),
-        (email_syntax(data), "INVALID_EMAIL"),
+        (known_email, "INVALID_EMAIL"),
         (address_fields(data["address"]), "INVALID_ADDRESS"),
     )
 

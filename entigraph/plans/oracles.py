@@ -389,3 +389,14 @@ UNION ALL SELECT 'reviews', count(*) FILTER (decision = 'REVIEW') FROM o"""),
     "quality_guard": """
 SELECT doc_id % 300 AS id, 'DUPLICATE_CASE' AS reason FROM labels GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT doc_id % 300, 'INVALID_CANDIDATE_COUNT' FROM labels WHERE doc_id % 50 = 0""",
 }
+
+# The same results by persisted or batch-by-batch ways.
+ORACLES["block_index_union"] = ORACLES["block_union_cap"]
+ORACLES["versions_by_batch"] = ORACLES["record_versions"]
+ORACLES["routed_records"] = f"SELECT record_id, coalesce(reason, CASE WHEN record_id LIKE 'billing:%' THEN 'SOURCE_NOT_FOUND' END) AS reason FROM ({ORACLES['record_validation']})"
+ORACLES["replay_by_batch"] = """
+WITH r AS (SELECT CASE WHEN event_id % 3 > 0 THEN 'k-' || user_id END AS key, event_id, event_type, user_id FROM events),
+a AS (SELECT *, first(event_type) OVER w AS t, first(event_id) OVER w AS f FROM r WHERE key IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY event_id)
+      UNION ALL SELECT *, event_type, event_id FROM r WHERE key IS NULL)
+SELECT key, event_id AS seq, CASE WHEN event_id = f THEN 'EXECUTED' WHEN event_type = t THEN 'REPLAYED' ELSE 'IDEMPOTENCY_KEY_REUSED' END AS outcome, f AS answered_by,
+       CASE WHEN event_type = t THEN substr(sha256(t), 1, 8) || ':' || f END AS answer FROM a"""

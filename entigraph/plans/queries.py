@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import identity, similarity, text, validation
-from ..operators import blocking, matching, operations, paging, quality, resolution, survivorship, versions, views
-from ..sources import party
-from ..sources.tables import materialize, read_table, typed_records
+from ..operators import blocking, key_index, matching, operations, paging, quality, resolution, survivorship, versions, views
+from ..sources import intake, party
+from ..sources.tables import materialize, new_folder, read_table, typed_records
 from .ordered import apply_in_order, resolve_in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,8 @@ def norm_name(spark, folder):
 
 @query
 def norm_email(spark, folder):
-    p = party.party(spark, folder)
-    return p.select("source", "external_id", text.normalize_email(F.col("email"), wide=False).alias("email"))
+    p = party.party(spark, folder).select("source", "external_id", F.col("email").alias("given"))
+    return text.with_email(p, F.col("given"), "email", wide=False).drop("given")
 
 
 @query
@@ -97,9 +97,8 @@ def source_slug_valid(spark, folder):
     return d.select("doc_id", validation.source_reason(name, F.lit("crawl"), F.col("doc_id").cast("int") % 1200).alias("reason"))
 
 
-@query
-def record_validation(spark, folder):
-    """Records of which eight in nine break a rule each, by their number; the data is read from the JSON text."""
+def _broken_records(spark, folder):
+    """Envelopes of which eight in nine break a rule each, by their number."""
     r = party.records(spark, folder)
     n = F.substring("external_id", 2, 20).cast("long")
     case = n % 9
@@ -109,12 +108,27 @@ def record_validation(spark, folder):
     parts = F.struct(name.alias("name"), F.when(case == 7, "bad").otherwise(d["email"]).alias("email"), d["domain"].alias("domain"), address.alias("address"), F.when(case == 4, 1).alias("oops"))
     raw = F.when(case == 5, F.to_json(F.struct(F.lit(5).alias("name"), d["email"].alias("email"), d["domain"].alias("domain")))).otherwise(F.to_json(parts))
     raw = F.when(n % 90 == 0, '{"name": " "}').when(n % 90 == 9, "[1]").otherwise(raw)
-    rows = r.select(
-        "record_id", raw.alias("raw"), F.when(case == 3, "robot").otherwise(F.col("entity_type")).alias("entity_type"),
+    return r.select(
+        "tenant_id", "record_id", raw.alias("raw"), n.alias("arrival_seq"), F.when(case == 3, "robot").otherwise(F.col("entity_type")).alias("entity_type"),
         F.when(case == 1, F.upper("source")).otherwise(F.col("source")).alias("source"), F.when(case == 2, "  ").otherwise(F.col("external_id")).alias("external_id"),
     )
+
+
+@query
+def record_validation(spark, folder):
+    """The data is read from the JSON text."""
     # Written once: the checks read the data many times.
-    return materialize(typed_records(rows), "typed").select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data")).alias("reason"))
+    rows = materialize(text.with_email(typed_records(_broken_records(spark, folder)), F.col("data.email"), "email"), "typed")
+    return rows.select("record_id", validation.record_reason(F.col("raw"), F.col("entity_type"), F.col("source"), F.col("external_id"), F.col("data"), F.col("email")).alias("reason"))
+
+
+@query
+def routed_records(spark, folder):
+    """Accepted and rejected records, all that arrived, where billing is no registered source."""
+    known = spark.sql("SELECT 't1' AS tenant_id, name FROM VALUES ('crm'), ('registry') AS t(name)")
+    routed = intake.route(_broken_records(spark, folder), known)
+    bad = intake.rejected(routed.withColumn("external_id", F.col("record_id"))).select(F.col("external_id").alias("record_id"), "reason")
+    return intake.accepted(routed).select("record_id", F.lit(None).cast("string").alias("reason")).unionByName(bad)
 
 
 @query
@@ -239,6 +253,16 @@ def block_union_cap(spark, folder):
     return found.select("record_id", "entity_id", F.array_join("matched_on", ",").alias("matched_on"), F.array_join("supporting_ids", ",").alias("supporting_ids"), "truncated")
 
 
+@query
+def block_index_union(spark, folder):
+    """``block_union_cap`` from a persisted index of the population's keys."""
+    new, known = _sides(spark, folder)
+    index = key_index.key_index(new_folder(spark, "key-index"))
+    index.append(key_index.index_rows(known), 0)
+    found = blocking.generate_candidates(new, key_index.reached_population(new, index, 2), 2)
+    return found.select("record_id", "entity_id", F.array_join("matched_on", ",").alias("matched_on"), F.array_join("supporting_ids", ",").alias("supporting_ids"), "truncated")
+
+
 # Comparators
 
 
@@ -369,6 +393,43 @@ def idempotent_replay(spark, folder):
     return versions.idempotent_replay(asked).select("key", "seq", "outcome", "answered_by")
 
 
+def _batches(rows, seq, n=4):
+    """The rows in ``n`` batches by ranges of their number."""
+    ends = rows.agg(F.min(seq).alias("a"), F.max(seq).alias("b")).first()
+    if ends.a is None:
+        return [rows]
+    size = (ends.b - ends.a) // n + 1
+    return [rows.where(F.col(seq).between(ends.a + i * size, ends.a + (i + 1) * size - 1)) for i in range(n)]
+
+
+@query
+def versions_by_batch(spark, folder):
+    """``record_versions`` batch by batch: each looks up the heads of its own records in a keyed table."""
+    rows = _arrivals(spark, folder).withColumn("entity_type", F.lit("person"))
+    heads = versions.head_store(new_folder(spark, "heads"))
+    found = None
+    for n, batch in enumerate(_batches(rows, "arrival_seq")):
+        numbered = materialize(versions.versions_after(batch, materialize(heads.lookup(batch, n), "known-heads")), "numbered")
+        heads.append(versions.current_records(numbered), n)
+        found = numbered if found is None else found.unionByName(numbered)
+    return found.select("external_id", "arrival_seq", "status", "version")
+
+
+@query
+def replay_by_batch(spark, folder):
+    """``idempotent_replay`` batch by batch, with the stored answer of each key's first request; some have no key."""
+    e = read_table(spark, folder, "events")
+    key = F.when(F.col("event_id") % 3 > 0, F.concat_ws("-", F.lit("k"), F.col("user_id").cast("string")))
+    asked = e.select(F.lit("t1").alias("tenant_id"), key.alias("key"), F.lit("INGEST").alias("operation"), F.sha2("event_type", 256).alias("hash"), F.col("event_id").alias("seq"))
+    store = versions.answer_store(new_folder(spark, "answers"))
+    answer = lambda d: d.withColumn("answer", F.concat_ws(":", F.substring("hash", 1, 8), F.col("seq").cast("string")))
+    found = None
+    for n, batch in enumerate(_batches(asked, "seq")):
+        rows = materialize(versions.replay_batch(batch, store, n, answer), "replayed")
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("key", "seq", "outcome", "answered_by", "answer")
+
+
 @query
 def register_sources(spark, folder):
     d = read_table(spark, folder, "documents").select("doc_id", "source")
