@@ -34,6 +34,11 @@ def _dated_lists(pages: DataFrame) -> DataFrame:
         event("trusted", "allow", host, "add", 100 + 10 * digit(4), digit(2) < 2),
         event("folders", "block", F.concat(host, F.lit("/en/")), "add", F.lit(50), digit(4) == 15),
         event("folders", "block", F.concat(host, F.lit("/en/")), "remove", F.lit(200), digit(4) == 15),
+        # A host is the same in any case, a directory is not.
+        event("shouted", "block", F.upper(host), "add", F.lit(30), digit(2) == 7),
+        event("shouted", "block", F.initcap(host), "remove", F.lit(250), digit(2) == 7),
+        event("folders", "block", F.concat(F.upper(host), F.lit("/en/")), "add", F.lit(20), digit(4) == 13),
+        event("folders", "block", F.concat(host, F.lit("/EN/")), "add", F.lit(0), digit(4) == 14),
     )
     fixed = pages.sparkSession.sql(
         f"SELECT 'domains' AS list_name, 'block' AS policy, pattern, 'add' AS action, CAST({YEAR} AS BIGINT) AS at FROM VALUES ('spam-farm.example.org'), ('cheap-pills.example.com') AS t(pattern)"
@@ -287,7 +292,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_near_items, 0) AS
     "op1_url_filters": """
 WITH u AS (
   SELECT page_id, row_number() OVER () AS r, url,
-         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\\.+$', '') AS host,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1)), '\\.+$', '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+(/[^?#]*)', 1) AS path,
          1704067200 + ((page_id * 7919) % 366) * 86400 + page_id % 86400 AS fetched_at
   FROM pages),
@@ -300,6 +305,9 @@ i AS (
   UNION ALL SELECT 'hosts', false, host, 20 * d3 + 120, NULL FROM g WHERE d1 < 1
   UNION ALL SELECT 'trusted', true, host, 100 + 10 * d4, NULL FROM g WHERE d2 < 2
   UNION ALL SELECT 'folders', false, host || '/en/', 50, 200 FROM g WHERE d4 = 15
+  UNION ALL SELECT 'shouted', false, host, 30, 250 FROM g WHERE d2 = 7
+  UNION ALL SELECT 'folders', false, host || '/en/', 20, NULL FROM g WHERE d4 = 13
+  UNION ALL SELECT 'folders', false, host || '/EN/', 0, NULL FROM g WHERE d4 = 14
   UNION ALL SELECT 'domains', false, unnest(['spam-farm.example.org', 'cheap-pills.example.com']), 0, NULL),
 k AS (
   SELECT r, unnest(list_distinct(list_concat(

@@ -36,8 +36,8 @@ FOLDS, HELD_OUT = 4, 2
 BEGINNINGS = (4, 5, 6)
 WEIGHTS = 1 << 18
 ROUNDS, RIDGE = 30, 1e-3
-#: Words of a chain at most: a longer sentence goes on in a new one.
-CHAIN_WORDS = 400
+#: Words of a chain that are gone through one after another; a longer chain is put together from such blocks.
+BLOCK_WORDS = 256
 #: Bytes of remembered words of a worker, and what an entry takes besides its key; at more, all are forgotten.
 MEMO_BYTES, ENTRY_BYTES = 32 << 20, 112
 
@@ -72,9 +72,7 @@ class Words:
         end = stop[ids] if len(ids) else np.zeros(0, dtype=bool)
         last = np.cumsum(np.array(size, dtype=np.int64)) - 1
         end[last[np.array(size, dtype=np.int64) > 0]] = True
-        begin = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]) if len(ids) else np.zeros(0, dtype=np.int64)
-        place = np.arange(len(ids)) - np.repeat(begin, np.diff(np.append(begin, len(ids))))
-        return ids, end | (place % CHAIN_WORDS == CHAIN_WORDS - 1), size
+        return ids, end, size
 
 
 def chains(end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +84,60 @@ def chains(end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], size[order]
 
 
-def marginals(emission: np.ndarray, end: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sum_to_one(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _edges(begin: np.ndarray, size: np.ndarray, opens: np.ndarray, grow: np.ndarray, hop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks of chains, in the words' order: what comes in from the words before each, and from those behind it.
+
+    A block's words are one 2x2 matrix, the product of theirs; vectors go from block to block by these.
+    """
+    n = len(begin)
+    first = np.flatnonzero(opens)  # of each chain's blocks
+    turn = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    many = np.repeat(np.diff(np.append(first, n)), np.diff(np.append(first, n)))
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    some = np.flatnonzero(many > 1)
+    if not len(some):
+        return enter, leave
+    some = some[np.argsort(-size[some], kind="stable")]
+    product = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    for t in range(int(size[some[0]])):
+        live = some[: np.searchsorted(-size[some], -t, side="left")]
+        at = begin[live] + t
+        own = product[live]
+        # A chain's first word has no step before it.
+        own = np.where((opens[live] & (t == 0))[:, None, None], own, own @ hop)
+        own[:, :, 1] *= grow[at][:, None]
+        product[live] = _sum_to_one(own)
+    for k in range(1, int(turn.max()) + 1):
+        at = np.flatnonzero(turn == k)
+        enter[at] = _sum_to_one(np.einsum("ij,ijk->ik", enter[at - 1], product[at - 1]))
+    for k in range(int(turn.max()) - 1, -1, -1):
+        at = np.flatnonzero((turn == k) & (many > k + 1))
+        leave[at] = _sum_to_one(np.einsum("ijk,ik->ij", product[at + 1], leave[at + 1]))
+    inside = ~opens
+    enter[inside] = enter[inside] @ hop
+    return enter, leave
+
+
+def marginals(emission: np.ndarray, end: np.ndarray, step: np.ndarray, block: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Chance of the toxic tag at each word, and the expected counts of the four steps between tags.
 
-    ``emission`` is the toxic tag's score (the other's is 0); ``step[a, b]`` that of tag b after tag a. All chains go
-    forward and backward together, word by word; shorter ones drop out as they end.
+    ``emission`` is the toxic tag's score (the other's is 0); ``step[a, b]`` that of tag b after tag a. All blocks of all
+    chains go forward and backward together, word by word; shorter ones drop out as they end. ``block`` changes no result.
     """
     n = len(emission)
-    first, size = chains(end)
+    begin = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+    cut = end | (place % block == block - 1)
+    first, size = chains(cut)
     grow, hop = np.exp(np.clip(emission, -30, 30)), np.exp(step)
+    order = np.argsort(first, kind="stable")
+    enter, leave = np.empty((len(first), 2)), np.empty((len(first), 2))
+    if n:
+        enter[order], leave[order] = _edges(first[order], size[order], place[first[order]] == 0, grow, hop)
     ahead, behind = np.empty((n, 2)), np.ones((n, 2))
     live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
     for t, k in enumerate(live):
@@ -103,9 +146,10 @@ def marginals(emission: np.ndarray, end: np.ndarray, step: np.ndarray) -> tuple[
             prev = ahead[at - 1]
             x = prev[:, :1] * hop[0] + prev[:, 1:] * hop[1]
         else:
-            x = np.ones((k, 2))
+            x = enter.copy()
         x[:, 1] *= grow[at]
         ahead[at] = x / x.sum(axis=1, keepdims=True)
+    behind[first + size - 1] = leave
     for t in range(len(live) - 2, -1, -1):
         at = first[: live[t + 1]] + t
         x = behind[at + 1].copy()

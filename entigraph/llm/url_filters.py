@@ -17,8 +17,10 @@ from ._store import materialize
 BUCKET = 30 * 86400
 #: Dated entries that are broadcast at most; more are joined by shuffle.
 BROADCAST_ENTRIES = 100_000
+#: Lots of a key's captures where entries are not broadcast.
+LOTS = 8
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
+_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
 def url_host(url: Column) -> Column:
@@ -42,15 +44,17 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
     ``add`` opens an entry at ``at`` and ``remove`` closes it; ``until`` is null while it is open. Of several events of
     an entry at one time, a removal counts last. An addition of an active entry goes on with it. Events with a null
-    list, pattern or time are ignored.
+    list, pattern or time are ignored. A pattern's host is lower-cased; its directories keep their case, as URLs do.
     """
     given = events.where("list_name IS NOT NULL AND pattern IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
+    host = F.substring_index("pattern", "/", 1)
+    given = given.withColumn("pattern", F.concat(F.lower(host), F.substring(F.col("pattern"), F.length(host) + 1, F.length("pattern"))))
     # One event a list, pattern and time, before anything is ordered.
     given = given.groupBy("list_name", "policy", "pattern", "at").agg(F.max("action").alias("action"))
     order = Window.partitionBy("list_name", "policy", "pattern").orderBy("at")
     turns = given.withColumn("before", F.lag("action").over(order)).where(~F.col("action").eqNullSafe(F.col("before")))
     turns = turns.withColumn("until", F.lead("at").over(order))
-    return turns.where("action = 'add'").select("list_name", "policy", F.lower("pattern").alias("pattern"), F.col("at").alias("since"), "until")
+    return turns.where("action = 'add'").select("list_name", "policy", "pattern", F.col("at").alias("since"), "until")
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -69,17 +73,18 @@ def filter_urls(captures: DataFrame, events: DataFrame, bucket: int = BUCKET) ->
     number = lambda t: F.floor(t / F.lit(bucket)).cast("long")
     first, last = F.greatest("since", F.lit(low)), F.least(F.coalesce(F.col("until") - 1, F.lit(high)), F.lit(high))
     dated = materialize(entries.where(first <= last).withColumn("bucket", F.explode(F.sequence(number(first), number(last)))), "dated")
-    # Counted small, the entries go to every task, and a very common host needs no key; else the join is a plain one of
-    # two shuffles, of which a hot key's captures can be split.
-    if dated.count() <= BROADCAST_ENTRIES:
-        dated = F.broadcast(dated)
+    # Counted small, the entries go to every task, and a very common host needs no key; else both sides are shuffled, and
+    # the captures of a hot key go to several lots, each of which gets the key's entries.
+    lots = 1 if dated.count() <= BROADCAST_ENTRIES else LOTS
+    dated = F.broadcast(dated) if lots == 1 else dated.withColumn("lot", F.explode(F.array(*[F.lit(i) for i in range(lots)])))
 
     # The row's number tells repeated rows apart; it is made before the first exchange, from the scan's order alone.
     rows = captures.select(F.monotonically_increasing_id().alias("row"), "page_id", url_host(F.col("url")).alias("host"), "fetched_at", url_patterns(F.col("url"), depth).alias("patterns"))
     asked = rows.select("row", "page_id", "host", "fetched_at", number(F.col("fetched_at")).alias("bucket"), F.explode_outer("patterns").alias("pattern"))
     active = (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     a, d = asked.alias("a"), dated.alias("d")
-    met = a.join(d, (F.col("a.pattern") == F.col("d.pattern")) & (F.col("a.bucket") == F.col("d.bucket")) & active, "left")
+    meets = (F.col("a.pattern") == F.col("d.pattern")) & (F.col("a.bucket") == F.col("d.bucket")) & active
+    met = a.join(d, meets if lots == 1 else meets & (F.pmod(F.xxhash64("a.row"), F.lit(lots)) == F.col("d.lot")), "left")
     entry = F.when(F.col("d.pattern").isNotNull(), F.struct(F.length("d.pattern").alias("size"), (F.col("policy") == "allow").alias("allow"), F.col("list_name"), F.col("d.pattern").alias("pattern")))
     judged = met.groupBy("row").agg(
         F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("fetched_at").alias("fetched_at"),

@@ -480,6 +480,62 @@ def test_marginals_match_enumeration():
     assert toxic == pytest.approx(want) and pairs.reshape(-1) == pytest.approx(steps.reshape(-1))
 
 
+def plain_marginals(emission, ends, step):
+    """Word by word, chain by chain."""
+    out, at = [], 0
+    for stop in ends:
+        grow = [np.array([1.0, np.exp(np.clip(e, -30, 30))]) for e in emission[at : stop + 1]]
+        ahead = [grow[0] / grow[0].sum()]
+        for g in grow[1:]:
+            x = ahead[-1] @ np.exp(step) * g
+            ahead.append(x / x.sum())
+        behind = [np.ones(2)]
+        for g in grow[:0:-1]:
+            x = np.exp(step) @ (g * behind[-1])
+            behind.append(x / x.sum())
+        both = [a * b for a, b in zip(ahead, behind[::-1])]
+        out += [b[1] / b.sum() for b in both]
+        at = stop + 1
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 10**9])
+def test_blocks_of_long_chains_change_nothing(block):
+    r = np.random.default_rng(7)
+    sizes = [3000, 1, 64, 65, 5, 129, 3, 2, 700]
+    emission, step, end = r.normal(0, 4, sum(sizes)), r.normal(0, 2, (2, 2)), np.zeros(sum(sizes), dtype=bool)
+    end[np.cumsum(sizes) - 1] = True
+    toxic, pairs = toxicity.marginals(emission, end, step, block)
+    assert toxic == pytest.approx(plain_marginals(emission, np.flatnonzero(end), step), abs=1e-9)
+    assert pairs == pytest.approx(toxicity.marginals(emission, end, step, 10**9)[1], rel=1e-9)
+    assert toxicity.marginals(np.zeros(0), np.zeros(0, dtype=bool), step, block)[0].size == 0
+
+
+def test_whole_query_of_toxicity_by_plain_loops(spark):
+    """The model as the query fits it; every document's score by loops over its words. Null and repeated ids keep apart."""
+    d, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    odd = docs(spark, [None, "no stop " * 4000, "You idiot!", ""]).withColumn("doc_id", F.when(F.col("doc_id") > 1, 5)).select(d.columns)
+    rows = d.unionByName(odd)
+    model = toxicity.fit(toxicity.training_rows(rows, labels))
+
+    def score(text):
+        words = (text or "").lower().split()
+        if not words:
+            x = np.zeros(3)
+        else:
+            ends = [i for i, w in enumerate(words) if re.search(r"[.!?]+[\"')\]]*$", w) or i + 1 == len(words)]
+            p = plain_marginals([model.bias + sum(model.weights[s] for s in toxicity._slots(w)) for w in words], ends, model.step)
+            x = np.array([np.log1p(p.sum()), p.max(), p.mean()])
+        return 1 / (1 + np.exp(-np.clip(x @ model.logistic[1:] + model.logistic[0], -30, 30)))
+
+    got = toxicity.score_toxicity(rows, labels).collect()
+    have = sorted((r.doc_id is None, r.doc_id or 0, r.score, r.predicted) for r in got)
+    want = sorted((r.doc_id is None, r.doc_id or 0, float(score(r.text))) for r in rows.collect())
+    assert [h[:2] for h in have] == [w[:2] for w in want] and [h[2] for h in have] == pytest.approx([w[2] for w in want], abs=1e-7)
+    assert all(h[3] == int(h[2] >= 0.3) for h in have)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     """The dictionary of a small corpus, and the forest that comes of it."""
@@ -613,10 +669,22 @@ def test_url_intervals_and_ties(spark):
     assert url_filters.filter_urls(c.limit(0), e).collect() == [] and not any(r.blocked for r in url_filters.filter_urls(c, e.limit(0)).collect())
 
 
+def test_url_lists_in_mixed_case(spark, monkeypatch):
+    """Hosts in any case are one entry, directories keep theirs, and a user part reaches to the last @."""
+    events = [("l", "block", "Example.com", "add", 0), ("l", "block", "example.COM", "remove", 500), ("f", "block", "WWW.x.org/EN/", "add", 0), ("h", "block", "h.com", "add", 0)]
+    e = spark.createDataFrame(events, "list_name string, policy string, pattern string, action string, at long")
+    captures = [(1, "http://example.com/", 100), (2, "http://EXAMPLE.com/", 1000), (3, "http://www.X.org/EN/a", 9), (4, "http://www.x.org/en/a", 9), (5, "http://user:p@ss@h.com/", 9), (6, "http://a@b.org/@h.com", 9)]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at long")
+    want = {1: ("example.com", True), 2: ("example.com", False), 3: ("www.x.org", True), 4: ("www.x.org", False), 5: ("h.com", True), 6: ("b.org", False)}
+    for most in (100, 0):  # with entries broadcast, and dealt to lots
+        monkeypatch.setattr(url_filters, "BROADCAST_ENTRIES", most)
+        assert {r.page_id: (r.host, r.blocked) for r in url_filters.filter_urls(c, e, bucket=50).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_duckdb(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "documents", "benchmark", "labels"):
+    for t in ("pages", "documents", "benchmark", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
