@@ -34,7 +34,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES, chunk_bytes: int = LARGE_CHUNK_BYTES) -> DataFrame:
     """Pieces of all documents, with a lot (the task that cut them) and a number among the lot's pieces of that length."""
     path = tokenizer_path or default_path()
 
@@ -42,7 +42,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
         encode = encoder(path, memo_bytes).encode
         lot = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for part in slices(batches, "text", LARGE_CHUNK_BYTES):
+        for part in slices(batches, "text", chunk_bytes):
             texts = [x or "" for x in part.column("text").to_pylist()]
             out: list[tuple] = []
             end = np.array([end_id], dtype="<u4").tobytes()
@@ -150,16 +150,16 @@ def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndar
     return {n: np.array(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int = MEMO_BYTES, chunk_bytes: int = LARGE_CHUNK_BYTES) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     A null text is an empty one (just the end id). Documents that share an id are packed apart, each with its own
     pieces; a null id stays null. No documents: no rows. Further columns are not carried. ``memo_bytes`` bounds what a
-    worker remembers of the tokenizer's answers; it changes no result.
+    worker remembers of the tokenizer's answers, ``chunk_bytes`` the text that it encodes at once; they change no result.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, end_id, memo_bytes), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, end_id, memo_bytes, chunk_bytes), "pieces")
     lots = materialize(pieces.groupBy("length", "lot").count(), "lots")
     # At most one row for each length up to the capacity: bounded whatever the corpus.
     histogram = {int(r[0]): int(r[1]) for r in lots.groupBy("length").agg(F.sum("count")).collect()}

@@ -38,6 +38,8 @@ WEIGHTS = 1 << 18
 ROUNDS, RIDGE = 30, 1e-3
 #: Words of a chain that are gone through one after another; a longer chain is put together from such blocks.
 BLOCK_WORDS = 256
+#: Steps between words whose chances are held at once as their expected counts are added up.
+PAIRS_AT_ONCE = 1 << 18
 #: Bytes of remembered words of a worker, and what an entry takes besides its key; at more, all are forgotten.
 MEMO_BYTES, ENTRY_BYTES = 32 << 20, 112
 
@@ -158,10 +160,12 @@ def marginals(emission: np.ndarray, end: np.ndarray, step: np.ndarray, block: in
         behind[at] = y / y.sum(axis=1, keepdims=True)
     both = ahead * behind
     toxic = both[:, 1] / both.sum(axis=1) if n else np.zeros(0)
-    inner = np.flatnonzero(~end)
-    pair = ahead[inner][:, :, None] * hop[None] * behind[inner + 1][:, None, :]
-    pair[:, :, 1] *= grow[inner + 1][:, None]
-    return toxic, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(inner) else np.zeros((2, 2))
+    inner, steps = np.flatnonzero(~end), np.zeros((2, 2))
+    for part in np.array_split(inner, len(inner) // PAIRS_AT_ONCE + 1):
+        pair = ahead[part][:, :, None] * hop[None] * behind[part + 1][:, None, :]
+        pair[:, :, 1] *= grow[part + 1][:, None]
+        steps += _sum_to_one(pair).sum(axis=0)
+    return toxic, steps
 
 
 def _summary(toxic: np.ndarray, size: list[int]) -> np.ndarray:
