@@ -49,11 +49,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces of what is left in sequences of 1024 tokens.
 
-    Workers and executors of the earlier stages hold memory still, so the tokenizer remembers less than by itself.
+    Workers and executors of the earlier stages hold memory still, so the tokenizer remembers less than by itself and
+    takes less text at once.
     """
     from entigraph.llm.packing import pack
 
-    return pack(docs, memo_bytes=32 << 20)
+    return pack(docs, memo_bytes=16 << 20, chunk_bytes=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
