@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,12 @@ def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[Da
     seen = Observation(name)
     out = materialize(df.observe(seen, *metrics), name)
     return out, seen.get
+
+
+def release_executors(spark: SparkSession) -> None:
+    """Have executors collect their garbage, which gives heap back that an earlier job needed: a few tasks for each core.
+
+    Between jobs of a long application only; whether every executor gets a task is the scheduler's matter.
+    """
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
