@@ -9,6 +9,8 @@
 Language ID judges rows by their text alone. A group of near duplicates leaves one row, whatever ids its rows have, and
 rows that share an id but not a text are told apart. Contamination is joined back by doc_id and text. Rows with a null
 id or a null in any other column are treated as all others; further columns stay up to the packing.
+
+A stage begins with executors that have given back what the one before it needed.
 """
 
 from __future__ import annotations
@@ -27,22 +29,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    from entigraph.llm._store import release_executors
     from entigraph.llm.near_duplicates import one_of_each_group
 
+    release_executors(spark)
     return one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages."""
+    from entigraph.llm._store import release_executors
     from entigraph.llm.decontamination import keep_clean
 
+    release_executors(spark)
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted anew where a text changed."""
+    from entigraph.llm._store import release_executors
     from entigraph.llm.secrets import mask_secrets
 
+    release_executors(spark)
     return mask_secrets(docs)
 
 
@@ -52,8 +60,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Workers and executors of the earlier stages hold memory still, so the tokenizer remembers less than by itself and
     takes less text at once.
     """
+    from entigraph.llm._store import release_executors
     from entigraph.llm.packing import pack
 
+    release_executors(spark)
     return pack(docs, memo_bytes=16 << 20, chunk_bytes=1 << 20)
 
 
