@@ -46,10 +46,14 @@ def pass_candidates(incoming: DataFrame, population: DataFrame, cap: int | None
     cap = max_candidates(cap)
     left = _keyed(incoming, "tenant_id", "entity_type", "record_id")
     right = population_keys(population, cap).select("tenant_id", "entity_type", "signal", "key", "entity_id", F.col("record_id").alias("supporting_id"))
-    met = left.join(right, ["tenant_id", "entity_type", "signal", "key"]).where("record_id <> supporting_id")
+    return first_entities(left.join(right, ["tenant_id", "entity_type", "signal", "key"]).where("record_id <> supporting_id"), cap)
+
+
+def first_entities(met: DataFrame, cap: int | None = None) -> DataFrame:
+    """Of the entities that a record meets in a pass, the first ``cap`` + 1, each with its smallest supporting record."""
     firsts = met.groupBy("tenant_id", "entity_type", "record_id", "rank", "signal", "entity_id").agg(F.min("supporting_id").alias("supporting_id"))
     order = Window.partitionBy("tenant_id", "record_id", "signal").orderBy("entity_id")
-    return firsts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap + 1)
+    return firsts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_candidates(cap) + 1)
 
 
 def collapse_candidates(passes: DataFrame, cap: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Normalizers, comparators, and the golden pairs: pair by pair, and as arrivals through the whole pipeline."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from entigraph.functions import similarity as S
 from entigraph.functions import text as T
 from entigraph.functions.identity import canonical_json
-from entigraph.operators import matching, quality
+from entigraph.operators import matching, quality, resolution
 from entigraph.operators.blocking import collapse_candidates
+from entigraph.plans import ordered
 from entigraph.plans.ordered import resolve_in_order
 from entigraph.schemas import DATA
 
@@ -129,3 +131,53 @@ def test_waiting_records_meet_each_other(spark):
     got = {x.record_id: (x.decision, x.linked_entity_id) for x in outcomes.collect()}
     assert [got[f"r{i}"][0] for i in range(4)] == ["NO_MATCH", "AUTO_MATCH", "NO_MATCH", "AUTO_MATCH"]
     assert got["r0"][1] == got["r1"][1] == got["r3"][1] != got["r2"][1] and after.count() == 4
+
+
+def _arrivals(spark, rows):
+    """Normalized arrivals of (tenant, record id, sequence, data) rows."""
+    d = spark.createDataFrame([(t, "person", r, i, json.dumps(x)) for t, r, i, x in rows], "tenant_id string, entity_type string, record_id string, arrival_seq long, raw string")
+    return T.normalize_records(d.withColumn("data", F.from_json("raw", DATA))).select("tenant_id", "entity_type", "record_id", "arrival_seq", "normalized")
+
+
+def _nobody(rows):
+    return rows.select("tenant_id", "entity_type", "record_id", F.lit("").alias("entity_id"), F.lit("").alias("status"), "normalized").limit(0)
+
+
+def test_blocks_equal_one_after_another(spark):
+    """Random chains with a cap that bites: blocks of three and of any size end as a record at a time does."""
+    r, n, tenants = random.Random(1), 8, 16
+    names, mails, phones = ["Ann Lee", "Ann Leigh", "Bo Li"], ["a@example.com", "b@example.com", None], ["+14155550100", "+14155550101", None]
+    places = [{"city": "Ulm", "country": "DE"}, None]
+    data = lambda: {k: v for k, v in (("name", r.choice(names)), ("email", r.choice(mails)), ("phone", r.choice(phones)), ("address", r.choice(places))) if v}
+    rows = [(f"t{t}", f"r{r.randrange(10**6):06}-{i}", i, data()) for t in range(tenants) for i in range(n)]
+    d = _arrivals(spark, rows).cache()
+    known, want = _nobody(d), {}
+    for i in range(n):
+        step = d.where(F.col("arrival_seq") == i)
+        found = resolution.resolve(step.drop("arrival_seq"), known, 2)
+        linked = resolution.apply_decisions(found)["links"].select("tenant_id", "record_id", "entity_id")
+        own = found.select("tenant_id", "record_id", "decision", "supporting_id", "candidate_count", F.round("confidence", 9).alias("score")).join(linked, ["tenant_id", "record_id"], "left").collect()
+        want.update({(x.tenant_id, x.record_id): tuple(x[2:]) for x in own})
+        entities = spark.createDataFrame([(x.tenant_id, x.record_id, x.entity_id) for x in own if x.entity_id], "tenant_id string, record_id string, entity_id string")
+        new = step.join(entities, ["tenant_id", "record_id"]).withColumn("status", F.lit("ACTIVE")).select(*known.columns)
+        known = spark.createDataFrame(known.unionByName(new).collect(), known.schema)
+    assert {w[0] for w in want.values()} == {"AUTO_MATCH", "REVIEW", "NO_MATCH"}
+    for size in (3, ordered.BLOCK):
+        outcomes, after = resolve_in_order(d, _nobody(d), 2, size=size)
+        rows = outcomes.select("tenant_id", "record_id", "decision", "supporting_id", "candidate_count", F.round("confidence", 9), "linked_entity_id").collect()
+        assert {(x[0], x[1]): tuple(x[2:]) for x in rows} == want and len(rows) == len(want)
+        assert after.count() == sum(w[-1] is not None for w in want.values())
+
+
+def test_a_key_of_many_arrivals_takes_few_rounds(spark, monkeypatch):
+    """An address that 700 arrivals share is done in two blocks; the number of rounds is not that of the arrivals."""
+    rows = [("t", f"r{i:04}", i, {"name": "Ann Lee", "email": "a@example.com"}) for i in range(700)] + [("t", "z", 0, {"name": "Bo", "email": "b@example.com"})]
+    blocks, rounds = [], []
+    decide, choose = ordered._decide_block, ordered.choose_outcome
+    monkeypatch.setattr(ordered, "_decide_block", lambda block, *more: blocks.append(block.count()) or decide(block, *more))
+    monkeypatch.setattr(ordered, "choose_outcome", lambda best: rounds.append(1) or choose(best))
+    d = _arrivals(spark, rows)
+    outcomes, _ = resolve_in_order(d, _nobody(d))
+    got = {x.decision: (x.n, x.entities) for x in outcomes.groupBy("decision").agg(F.count("*").alias("n"), F.countDistinct("linked_entity_id").alias("entities")).collect()}
+    assert got == {"NO_MATCH": (2, 2), "AUTO_MATCH": (699, 1)}
+    assert blocks == [513, 188] and len(rounds) <= 8
