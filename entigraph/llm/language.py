@@ -1,8 +1,10 @@
 """Language identification by a blended-spectrum string kernel with Nystroem landmarks and kernel ridge regression.
 
 The kernel of two texts counts the byte n-grams (n = 1 to 3) present in both, over those that occur in enough landmark
-texts, divided by the root of both texts' own counts. Landmarks are training texts; all scoring is by batched products
-of a presence matrix with the landmarks and of the kernel values with one weight vector for each language.
+texts, divided by the root of both texts' own counts. Landmarks are training texts. A kernel value is a product of
+presence vectors, so the landmarks, the Nystroem root and the ridge weights multiply into one matrix of n-grams by
+languages once they are fitted: all scoring is by batched products of a presence matrix with it. Landmarks, n-grams
+and languages are bounded in number, and so is the model that is broadcast (63 MB at most, 1 MB for ten languages).
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ TRAIN_TEXTS = 300
 TRAIN_TEXTS_IN_ALL = 3000
 TRAIN_TEXT_BYTES = 64 << 10
 TRAIN_BYTES = 24 << 20
-#: Landmarks of each language, among the training texts.
-LANDMARKS = 24
+#: Landmarks of each language, among the training texts, and in all where there are many languages (one each at least).
+LANDMARKS, LANDMARKS_IN_ALL = 24, 480
+#: Languages that are learned: those of the most labelled texts.
+LANGUAGES = 480
+#: N-grams that are features: those of the most landmarks.
+MOST_FEATURES = 1 << 15
 #: Landmarks that an n-gram must occur in to be a feature.
 LEAST_MARKS = 2
 RIDGE = 1e-2
@@ -56,8 +62,7 @@ def _codes(raw: np.ndarray) -> list[np.ndarray]:
 class Model:
     languages: list[str]
     features: list[np.ndarray]  # numbers of the kept 1-, 2- and 3-grams, ascending
-    landmarks: np.ndarray
-    weights: np.ndarray
+    matrix: np.ndarray  # n-grams by languages
 
     def __post_init__(self) -> None:
         self._tables = None
@@ -92,52 +97,69 @@ class Model:
             flat[owner[: len(column)][keep] + column[keep]] = 1
         return out
 
-    def kernel(self, texts: list[str | None]) -> np.ndarray:
-        out, step = np.zeros((len(texts), self.landmarks.shape[1]), dtype=np.float32), max(1, PRESENCE_ENTRIES // max(self.width, 1))
+    def products(self, texts: list[str | None], matrix: np.ndarray) -> np.ndarray:
+        """Presence vectors of the texts, divided by the roots of their counts, times ``matrix``."""
+        out, step = np.zeros((len(texts), matrix.shape[1]), dtype=np.float32), max(1, PRESENCE_ENTRIES // max(self.width, 1))
         for at in range(0, len(texts), step):
             found = self.presence(texts[at : at + step])
             size = np.sqrt(np.maximum(found.sum(axis=1), 1))
-            out[at : at + step] = (found @ self.landmarks) / size[:, None]
+            out[at : at + step] = (found @ matrix) / size[:, None]
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the halved distance of the best regression value from -1, in 0 to 1."""
-        value = self.kernel(texts) @ self.weights
+        value = self.products(texts, self.matrix)
         best = value.argmax(axis=1)
         score = np.clip((value[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64)
         known = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
         return [self.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, least_marks: int = LEAST_MARKS, ridge: float = RIDGE) -> Model:
+def _features(found: list[np.ndarray], least: int, most: int) -> list[np.ndarray]:
+    """The n-grams of one text or more that are kept, ascending: of the most texts first, ties by a hash of the number."""
+    value, count = zip(*(np.unique(n, return_counts=True) for n in found))
+    length = np.repeat([1, 2, 3], list(map(len, value)))
+    value, count = np.concatenate(value), np.concatenate(count)
+    keep = np.flatnonzero((count >= least) & (value > 0))
+    mixed = (value[keep].astype(np.uint64) * np.uint64(4) + length[keep].astype(np.uint64)) * np.uint64(2654435761) % np.uint64(1 << 32)
+    keep = keep[np.lexsort((mixed, -count[keep]))[:most]]
+    return [np.sort(value[keep[length[keep] == n]]) for n in (1, 2, 3)]
+
+
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, least_marks: int = LEAST_MARKS, ridge: float = RIDGE, most: int = MOST_FEATURES) -> Model:
     """Fit to (text, language) rows, in the order given."""
     languages = sorted({y for _, y in rows})
     if not languages:
-        return Model([UNKNOWN], [np.zeros(0, dtype=np.int64)] * 3, np.zeros((0, 1), dtype=np.float32), np.zeros((1, 1), dtype=np.float32))
-    chosen = [t for y in languages for t in [t for t, z in rows if z == y][:landmarks]]
-    many = [np.unique(np.concatenate(x), return_counts=True) for x in zip(*([np.unique(c) for c in _codes(np.frombuffer(_bytes(t), dtype=np.uint8))] for t in chosen))]
-    least = min(least_marks, len(chosen))
-    model = Model(languages, [v[(c >= least) & (v > 0)] for v, c in many], None, None)
+        return Model([UNKNOWN], [np.zeros(0, dtype=np.int64)] * 3, np.zeros((0, 1), dtype=np.float32))
+    own: dict[str, list[str]] = {y: [] for y in languages}
+    each = min(landmarks, max(1, LANDMARKS_IN_ALL // len(languages)))
+    for t, y in rows:
+        if len(own[y]) < each:
+            own[y].append(t)
+    chosen = [t for y in languages for t in own[y]]
+    grams = zip(*([np.unique(c) for c in _codes(np.frombuffer(_bytes(t), dtype=np.uint8))] for t in chosen))
+    model = Model(languages, _features([np.concatenate(x) for x in grams], min(least_marks, len(chosen)), most), None)
 
     marks = model.presence(chosen)
-    model.landmarks = (marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]).T.copy()
-    among = model.kernel(chosen).astype(np.float64)
+    marks = (marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]).T.copy()
+    among = model.products(chosen, marks).astype(np.float64)
     value, vector = np.linalg.eigh((among + among.T) / 2)
-    own = value > 1e-6 * value.max()
-    if not own.any():  # no n-gram tells anything
-        model.weights = np.zeros((len(chosen), len(languages)), dtype=np.float32)
+    kept = value > 1e-6 * value.max()
+    if not kept.any():  # no n-gram tells anything
+        model.matrix = np.zeros((model.width, len(languages)), dtype=np.float32)
         return model
-    root = vector[:, own] / np.sqrt(value[own])
+    root = vector[:, kept] / np.sqrt(value[kept])
     mapped, target = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages)))
     of = Counter(lang for _, lang in rows)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
-        z = model.kernel([t for t, _ in part]) @ root
+        z = model.products([t for t, _ in part], marks) @ root
         y = np.array([[1.0 if name == lang else -1.0 for name in languages] for _, lang in part])
         weight = np.array([1 / of[lang] for _, lang in part])
         mapped += (z * weight[:, None]).T @ z
         target += (z * weight[:, None]).T @ y
-    model.weights = (root @ np.linalg.solve(mapped + ridge * np.trace(mapped) / len(mapped) * np.eye(len(mapped)), target)).astype(np.float32)
+    weights = root @ np.linalg.solve(mapped + ridge * np.trace(mapped) / len(mapped) * np.eye(len(mapped)), target)
+    model.matrix = (marks.astype(np.float64) @ weights).astype(np.float32)
     return model
 
 
@@ -149,8 +171,7 @@ def training_rows(docs: DataFrame, texts: int = TRAIN_TEXTS, in_all: int = TRAIN
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     labelled = labelled.where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    # One row for each language that the labels name.
-    many = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    many = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not many:
         return []
     each = min(texts, in_all / len(many))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -430,16 +431,65 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
-def test_kernel_matches_its_definition():
-    rows = [("the cat sat", "en"), ("le chat noir", "fr"), ("the dog ran", "en"), ("la belle vie", "fr")]
+def _grams(text):
+    raw = language._bytes(text)
+    return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+
+def _brute_language(rows, texts, landmarks, least):
+    """Kernels of sets, then ridge regression on the landmarks' Nystroem features; values of each text by language."""
+    languages = sorted({y for _, y in rows})
+    marks = [_grams(t) for y in languages for t in [t for t, z in rows if z == y][:landmarks]]
+    many = Counter(g for m in marks for g in m)
+    known = {g for g, n in many.items() if n >= least}
+    kernel = lambda t: [len(_grams(t) & m & known) / (max(len(_grams(t) & known), 1) * max(len(m & known), 1)) ** 0.5 for m in marks]
+    among = np.array([[len(a & b & known) / (max(len(a & known), 1) * max(len(b & known), 1)) ** 0.5 for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(among)
+    root = (vector / np.sqrt(np.where(value > 1e-6 * value.max(), value, np.inf)))[:, value > 1e-6 * value.max()]
+    z = np.array([kernel(t) for t, _ in rows]) @ root
+    of = Counter(y for _, y in rows)
+    w = np.array([1 / of[y] for _, y in rows])[:, None]
+    gram = z.T @ (w * z)
+    fitted = np.linalg.solve(gram + language.RIDGE * np.trace(gram) / len(gram) * np.eye(len(gram)), z.T @ (w * np.array([[1.0 if y == k else -1.0 for k in languages] for _, y in rows])))
+    return languages, np.array([kernel(t) for t in texts]) @ root @ fitted
+
+
+def test_language_values_match_their_definition():
+    rows = [("the cat sat", "en"), ("le chat noir", "fr"), ("the dog ran", "en"), ("la belle vie", "fr"), ("a red dog", "en")]
     assert language.fit([("a", "x"), ("b", "y")]).decide(["a", None, "½"])[0] == ["x", "und", "und"]
     model = language.fit(rows, landmarks=2, least_marks=1)
-    grams = lambda t: {t.encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
-    marks = [grams(t) for t in ("the cat sat", "the dog ran", "le chat noir", "la belle vie")]
-    known = set().union(*marks)
-    x = grams("the rat is noir") & known
-    want = [len(x & m) / (len(x) * len(m)) ** 0.5 for m in marks]
-    assert model.kernel(["the rat is noir"])[0] == pytest.approx(want, rel=1e-5)
+    texts = ["the rat is noir", "belle", "Vie d'un Dog", "zzz"]
+    languages, want = _brute_language(rows, texts, 2, 1)
+    assert model.languages == languages and model.products(texts, model.matrix) == pytest.approx(want, abs=1e-4)
+
+
+def test_language_query_matches_brute_force(spark, tmp_path):
+    """The whole query on a small table with null and repeated ids, null texts and labels, and a long text."""
+    words = {"aa": "the cat sat on a mat with the old dog", "bb": "le chat noir dort sur la belle table", "cc": "der alte hund liegt unter dem tisch"}
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(words[y].split(), k=9)), y) for i, y in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(7, "the cat", "aa"), (7, "le chat", "bb"), (None, "der hund", "cc"), (None, None, "aa"), (80, None, None), (81, "la table", None), (82, "dem tisch " * 5000, "cc"), (83, "", "aa")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    taught = sorted({(i, t, y) for i, t, y in rows if None not in (i, t, y) and not held(i)})
+    languages, value = _brute_language([(t, y) for _, t, y in taught], [t or "" for _, t, _ in rows], language.LANDMARKS, language.LEAST_MARKS)
+    known = [any(map(str.isalpha, t or "")) for _, t, _ in rows]
+    want = sorted((str(i), held(i), languages[v.argmax()] if k else "und", round(float(np.clip((v.max() + 1) / 2, 0, 1)) if k else 0.0, 2)) for (i, _, _), v, k in zip(rows, value, known))
+    got = sorted((str(x.doc_id), x.held_out, x.lang_pred, x.score) for x in QUERIES["op10_language_id"](spark, str(tmp_path)).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=0.011)
+
+
+def test_a_hundred_languages_stay_small():
+    """Languages of letters of their own: few landmarks each, a bounded number of n-grams, and each one is still told."""
+    r = random.Random(5)
+    own = {f"l{k:03}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(100)}
+    text = lambda y: "".join(r.choices(own[y], k=200))
+    model = language.fit([(text(y), y) for y in own for _ in range(8)])
+    assert model.width <= language.MOST_FEATURES and len(pickle.dumps(model)) < 20 << 20
+    assert model.decide([text(y) for y in own])[0] == list(own)
+    small = language.fit([(text(y), y) for y in own for _ in range(8)], most=3000)
+    assert small.width == 3000 and np.mean([a == b for a, b in zip(small.decide([text(y) for y in own])[0], own)]) > 0.95
 
 
 def test_toxicity(spark):
