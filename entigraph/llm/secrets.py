@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: characters assigned to a secret word, and runs of 16 or more key characters with a digit or 16 capitals in a row.
 CANDIDATE = (
     r"-----BEGIN (?:[A-Z0-9]++ )*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END (?:[A-Z0-9]++ )*PRIVATE KEY-----)?+"
-    r"|://[^\s/:@]{1,64}+:[^\s/:@]{3,128}+@"
+    r"|://[^\s/:@]++:[^\s/:@]{3,}+@"
     r"|(?<=[=:][\"' ]{0,2})(?<=(?i:pass(?:wor[dt]|wd|phrase)?|pwd|secret|token|key|credential)s?[\"']?\s?[=:][\"' ]{0,2})[^\s\"'<>,;&()\[\]{}]{5,}[A-Za-z0-9+/=!@#$%^*_\-]"
     r"|(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]*+[0-9])|(?=[A-Z]{16}))[A-Za-z0-9_+/\-]{16,}+={0,2}"
 )
@@ -37,11 +37,12 @@ TREES, DEPTH, SEED = 15, 6, 7
 SUMMED = 64
 
 _SECRET_WORD = r"(?i)(?:pass(?:wor[dt]|phrase)?|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private)\W{0,12}$"
-_OTHER_WORD = r"(?i)(?:commit|sha[0-9-]*|md5|checksum|digest|hash|uuid|guid|id|etag|revision|isbn|order|card|phone|tel|page|file|src|path)\W{0,12}$"
+_OTHER_WORD = r"(?i)(?:commit|sha[0-9-]*|md5|checksum|digest|hash|integrity|base64|build|version|uuid|guid|id|etag|revision|isbn|order|card|phone|tel|page|file|src|path)\W{0,12}$"
 _SECRET_NEAR = r"(?i)(?:pass(?:wor[dt]|phrase)|passwd|secret|token|api[ _-]?key|access[ _-]?key|bearer|credential|private)"
 _OTHER_RIGHT = r"(?i)^\W{0,3}(?:bytes|commits?|checksum|digest|hash|pages?|html?|png|jpe?g|gif|svg|css|js|pdf)\b"
 _ASSIGNED = r"[=:]\s*[\"']?$"
 _PREFIX = r"^(?:-----BEGIN|://|AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ|glpat-)"
+_OTHER_PREFIX = r"^(?:sha[0-9]{1,3}-|iVBORw0KGgo|R0lGOD|/9j/)"
 _PLACEHOLDER = r"(?i)x{6}|\*{4}|placeholder|changeme|example|dummy|fake|sample|your"
 _TEST_PATH = r"(?i)(?:^|[/._\-])(?:tests?|fixtures?|examples?|samples?|mocks?|docs?)(?:$|[/._\-])"
 #: Classes of characters, for the transitions between them.
@@ -49,7 +50,7 @@ _CLASSES = {"small": "[a-z]", "capital": "[A-Z]", "digit": "[0-9]", "mark": "[^a
 _TRANSITIONS = [(a, b) for a in _CLASSES for b in _CLASSES if a != b]
 
 FEATURES = [
-    "length", "digits", "capitals", "smalls", "variety", *[f"{a}_{b}" for a, b in _TRANSITIONS], "covered", "hex", "known_prefix", "uuid", "placeholder",
+    "length", "digits", "capitals", "smalls", "variety", *[f"{a}_{b}" for a, b in _TRANSITIONS], "covered", "hex", "known_prefix", "other_prefix", "uuid", "placeholder",
     "test_path", "secret_left", "other_left", "secret_near", "assigned", "quoted", "other_right", "joined_right",
 ]
 
@@ -73,7 +74,7 @@ def feature_struct(candidate: Column, left: Column, right: Column, path: Column,
         F.least(n, F.lit(200.0)), share("[^0-9]"), share("[^A-Z]"), share("[^a-z]"), F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(40.0)),
         *[F.regexp_count(candidate, F.lit(f"{_CLASSES[a]}(?={_CLASSES[b]})")) / n for a, b in _TRANSITIONS],
         1 - F.length(F.regexp_replace(F.lower(candidate), words, "")) / n,
-        flag(candidate, "^[0-9a-f]+$"), flag(candidate, _PREFIX), flag(candidate, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), flag(candidate, _PLACEHOLDER),
+        flag(candidate, "^[0-9a-f]+$"), flag(candidate, _PREFIX), flag(candidate, _OTHER_PREFIX), flag(candidate, "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), flag(candidate, _PLACEHOLDER),
         flag(path, _TEST_PATH), flag(left, _SECRET_WORD), flag(left, _OTHER_WORD), flag(F.concat(left, F.lit("\n"), right), _SECRET_NEAR),
         flag(left, _ASSIGNED), flag(right, "^[\"']"), flag(right, _OTHER_RIGHT), flag(right, "^[./@][A-Za-z0-9]"),
     ]
@@ -85,7 +86,8 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], n: int = FINDI
 
     Half are keys as they leak: random hexadecimal, base64 or prefixed ones, short passwords, credentials of a URL,
     whole private keys. The others only look so: checksums, ids, card numbers, placeholders, paths, shouted words of the
-    dictionary, and plain words behind a secret word. Either kind occurs in test folders, the others more often.
+    dictionary, plain words behind a secret word, hashes of lock files, images as text, build stamps, and identifiers of
+    every case, half of them of words that are not in the dictionary (its words with other vowels). Either kind occurs in test folders, the others more often.
     """
     lit, concat = F.lit, F.concat
     h, g = F.sha2(concat(lit("finding-"), F.col("id").cast("string")), 512), F.sha2(concat(lit("other-"), F.col("id").cast("string")), 512)
@@ -96,6 +98,8 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], n: int = FINDI
     listed = F.array(*map(lit, dictionary))
     word = lambda k: F.element_at(listed, (1 + F.pmod(F.xxhash64("id", lit(k)), lit(len(dictionary)))).cast("int"))
     mixed = F.translate(piece(base64, 11, 10), "aeiou", "!$#.-")
+    strange = lambda k: F.translate(word(k), "aeiou", "eioua")
+    camel = lambda *parts: concat(*[F.initcap(x) for x in parts])
     before, after = concat(word(1), lit(" "), word(2), F.element_at(F.array(*map(lit, [" ", ". ", "\n", ", "])), (1 + F.pmod("id", lit(4))).cast("int"))), concat(lit(" "), word(3), lit(" "), word(4))
     key = "-----BEGIN RSA PRIVATE KEY-----"
     keys = [
@@ -106,6 +110,7 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], n: int = FINDI
         (piece(base64, 5, 24), lit("password: "), after), (piece(h, 20, 40), lit("Authorization: Bearer "), after),
         (concat(lit("AKIA"), piece(base32, 9, 16)), lit("key = "), after), (piece(base64, 7, 32), lit('secret="'), lit('"')),
         (mixed, lit("password="), after), (piece(mixed, 1, 8), lit("pwd: '"), lit("'")), (concat(lit("://"), word(5), lit(":"), piece(base64, 2, 12), lit("@")), lit("https"), word(6)),
+        (concat(lit("://"), word(5), lit(":"), strange(6), piece(digits, 1, 2), lit("@")), lit("postgres"), word(7)), (concat(lit("://"), piece(word(5), 1, 1), lit(":"), word(6), piece(digits, 3, 1), lit("@")), concat(before, lit("mysql")), lit("db")),
     ]
     others = [
         (piece(digits, 1, 16), before, after), (piece(h, 1, 40), lit("commit "), after), (piece(h, 1, 64), lit("sha256:"), after),
@@ -118,6 +123,11 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], n: int = FINDI
         (piece(h, 1, 32), lit("md5 checksum "), after), (concat(piece(digits, 1, 4), lit("-"), piece(digits, 5, 4), lit("-"), piece(digits, 9, 8)), lit("card "), after),
         (concat(word(5), word(6)), lit("password: "), after), (F.concat_ws("_", word(5), word(6), word(7)), lit("token = "), after),
         (concat(lit("://"), word(5), lit(":"), word(6), lit("example@")), lit("https"), word(7)), (concat(word(5), lit("-"), word(6), lit("-"), piece(digits, 2, 6)), lit('key="'), lit('.png"')),
+        (concat(lit("sha512-"), base64, lit("==")), lit('"integrity": "'), lit('"')), (concat(lit("sha384-"), piece(base64, 1, 64)), lit('integrity="'), lit('"')),
+        (piece(h, 1, 40), concat(lit("/-/"), word(5), lit("-1.0.2.tgz#")), lit('"')), (concat(lit("iVBORw0KGgo"), base64, base64), lit("data:image/png;base64,"), lit(")")),
+        (concat(strange(5), camel(word(6), strange(7), word(8)), piece(digits, 1, 2)), before, after), (concat(camel(strange(5), strange(6), strange(7), strange(8)), piece(digits, 1, 1), camel(strange(9))), before, lit("(")),
+        (camel(strange(5), word(6), strange(7)), lit("token="), lit("(")), (concat(word(5), camel(strange(6), word(7)), piece(digits, 1, 1)), lit("key: "), lit(",")),
+        (concat(lit("build-20"), piece(digits, 1, 6), lit("-"), piece(h, 1, 8)), before, after), (F.concat_ws("_", F.upper(strange(5)), F.upper(word(6)), F.upper(strange(7)), piece(digits, 1, 2)), lit("const "), lit(" = ")),
     ]
     k = F.pmod("id", lit(len(keys) + len(others)))
     pick = lambda i: F.element_at(F.array(*[x[i] for x in [*keys, *others]]), (k + 1).cast("int"))

@@ -605,7 +605,7 @@ def brute_features(candidate, left, right, path, dictionary):
     return [
         min(n, 200.0), *[len(re.findall(p, candidate)) / n for p in ("[0-9]", "[A-Z]", "[a-z]")], len(set(candidate)) / min(n, 40),
         *[len(re.findall(f"{a}(?={b})", candidate)) / n for a in classes for b in classes if a != b], 1 - len(re.sub(low, "", candidate.lower())) / n,
-        flag(candidate, r"^[0-9a-f]+\Z"), flag(candidate, secrets._PREFIX), flag(candidate, r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"), flag(candidate, secrets._PLACEHOLDER),
+        flag(candidate, r"^[0-9a-f]+\Z"), flag(candidate, secrets._PREFIX), flag(candidate, secrets._OTHER_PREFIX), flag(candidate, r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"), flag(candidate, secrets._PLACEHOLDER),
         flag(path or "", secrets._TEST_PATH), flag(left, secrets._SECRET_WORD), flag(left, secrets._OTHER_WORD), flag(left + "\n" + right, secrets._SECRET_NEAR),
         flag(left, secrets._ASSIGNED), flag(right, "^[\"']"), flag(right, secrets._OTHER_RIGHT), flag(right, "^[./@][A-Za-z0-9]"),
     ]
@@ -651,6 +651,18 @@ def test_secrets(spark, forest):
     assert secrets.learn_dictionary(docs(spark, [None, ""])) == secrets.NO_CORPUS
 
 
+def test_lookalikes_of_secrets_stay(spark, forest):
+    """Texts of lock files, code and stamps stay; credentials of any length in a URL go."""
+    dictionary, trees = forest
+    digest = "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3BxcnN0dXZ3eHl6QUJDREVGR0hJSktMTU5PUFFSU1RVVg"
+    stay = ["let x = classNameForSidebarHeader42 + 1", "new UserServiceImplTest2FactoryBean(a)", "token=HelloWorldFunction(x)", f'"integrity": "sha512-{digest}=="', f'integrity="sha384-{digest[:64]}"',
+            "left-pad/-/left-pad-1.3.0.tgz#5b8a3a7765dfe001261dde915589e782f8c94d1e", f"![a](data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAA{digest})"]
+    go = ["postgres://a:hunter2@h", f"https://{'u' * 70}:s3cr3tpw9@host/x", f"https://bob:{'s3cr3tpw' * 20}@host/x"]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, stay + go), trees, dictionary=dictionary).collect()}
+    assert [t for i, t in enumerate(stay) if got[i].redacted != t] == []
+    assert [t for i, t in enumerate(go, len(stay)) if "[SECRET]" not in got[i].redacted] == []
+
+
 def test_secrets_of_clashing_columns(spark, forest):
     dictionary, trees = forest
     names = ["Findings", "redacted", "row", "path", "found", "between", "features", "score", "sizes", "sums", "earlier", "_text"]
