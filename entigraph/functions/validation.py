@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..policy import BATCH_RECORDS, MAX_OPERATION_RECORDS, MAX_VERSION, SOURCE_PRIORITY
 from ..schemas import ADDRESS_KEYS, COMPANY_KEYS, PERSON_KEYS
+from .identity import parsed_json
 from .text import normalize_email, strip
 
 UUID4 = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
@@ -60,13 +61,13 @@ def known_keys(kind: Column, raw: Column) -> Column:
     """No key outside the record's and the address's own, and a JSON object at all."""
     keys = F.json_object_keys(raw)
     allowed = F.when(kind == "person", F.array(*map(F.lit, PERSON_KEYS))).otherwise(F.array(*map(F.lit, COMPANY_KEYS)))
-    inner = F.json_object_keys(F.get_json_object(raw, "$.address"))
+    inner = F.json_object_keys(F.to_json(F.try_variant_get(parsed_json(raw), "$.address", "variant")))
     return (F.size(F.array_except(keys, allowed)) == 0) & F.coalesce(F.size(F.array_except(inner, F.array(*map(F.lit, ADDRESS_KEYS)))) == 0, F.lit(True))
 
 
 def typed_fields(raw: Column) -> Column:
     """Each text field is a JSON text or null, and the address an object of such."""
-    value = F.try_parse_json(raw)
+    value = parsed_json(raw)
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")), F.lit("VOID"))
     ok = kind("address").startswith("OBJECT") | (kind("address") == "VOID")
     for path in [*dict.fromkeys([*PERSON_KEYS, *COMPANY_KEYS]), *[f"address.{k}" for k in ADDRESS_KEYS]]:
@@ -149,7 +150,7 @@ def stored_payload(payload: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose stored JSON does not parse: an integrity error wherever one is used."""
     bad = F.lit(False)
     for c in columns:
-        bad = bad | (F.col(c).isNotNull() & F.try_parse_json(F.col(c)).isNull())
+        bad = bad | (F.col(c).isNotNull() & parsed_json(F.col(c)).isNull())
     return payload.where(bad)
 
 

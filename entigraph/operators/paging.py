@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..policy import page_limit
+from ..policy import UNFINISHED_JOBS, page_limit
 
 UUID4 = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", re.I)
 #: Longest cursor, and the version that cursors carry.
@@ -33,8 +33,8 @@ def review_page(cases: DataFrame, status: str = "OPEN", after: list | None = Non
 
 
 def due_jobs(jobs: DataFrame, now, limit: int) -> DataFrame:
-    """Unfinished jobs whose time has come, the longest due first; claiming them is the single writer's own."""
-    return jobs.where("status IN ('QUEUED', 'PROCESSING')").where(F.col("dispatch_after") <= now).orderBy("dispatch_after", "job_id").limit(limit)
+    """Unfinished jobs whose time has come, the longest due first; ``jobs.claim_jobs`` claims them."""
+    return jobs.where(F.col("status").isin(UNFINISHED_JOBS)).where(F.col("dispatch_after") <= now).orderBy("dispatch_after", "job_id").limit(limit)
 
 
 def _time(value: datetime) -> str:

@@ -197,6 +197,10 @@ SELECT doc_id, CASE WHEN NOT regexp_full_match(CASE WHEN doc_id % 7 = 0 THEN upp
 SELECT record_id, CASE WHEN n % 90 = 0 THEN 'IDENTITY_REQUIRED' WHEN n % 90 = 9 THEN 'INVALID_REQUEST_BODY' ELSE CASE n % 9 WHEN 1 THEN 'INVALID_SOURCE' WHEN 2 THEN 'INVALID_EXTERNAL_ID'
        WHEN 3 THEN 'INVALID_ENTITY_TYPE' WHEN 4 THEN 'UNKNOWN_FIELD' WHEN 5 THEN 'INVALID_FIELD_TYPE' WHEN 6 THEN 'FIELD_TOO_LONG' WHEN 7 THEN 'INVALID_EMAIL' WHEN 8 THEN 'INVALID_ADDRESS' END END AS reason FROM k""",
     "idempotency_key_valid": "SELECT event_id, event_id % 5 <> 0 AS valid FROM events",
+    "canonical_numbers": """
+SELECT l_orderkey, l_linenumber, '{"d":' || CASE WHEN d = 0 THEN '0' WHEN d = 10 THEN '1e-8' ELSE d || 'e-9' END || ',"n":"1.50","p":'
+       || rtrim(rtrim(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR), '0'), '.') || ',"q":' || CAST(l_quantity AS BIGINT) || '}' AS payload
+FROM (SELECT *, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem)""",
     "canonical_json": "SELECT event_id, sha256('{\"a\":' || event_id || ',\"e\":\"' || event_type || '\",\"u\":' || user_id || '}') AS hash FROM events",
     "block_email": _block("EXACT_EMAIL"),
     "block_phone": _block("EXACT_PHONE"),
@@ -384,6 +388,16 @@ UNION ALL SELECT 'reviews', count(*) FILTER (decision = 'REVIEW') FROM o"""),
        max(CASE WHEN field = 'address.city' THEN record_id END) AS city_from, max(CASE WHEN field = 'address.city' THEN selection_rule END) AS city_rule FROM win GROUP BY entity_id""",
     "entity_history": "SELECT o_custkey AS entity_id, o_orderkey AS snapshot, CASE WHEN o_orderkey % 20 = 0 THEN 'MERGE' END AS operation, o_orderkey % 20 = 10 AS missing FROM orders",
     "review_page": "SELECT CAST(o_orderkey AS VARCHAR) AS case_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 26",
+    "claimed_jobs": """
+SELECT job_id, rank BETWEEN 1 AND 25 AS claimed_first, rank BETWEEN 26 AND 50 AS claimed_second,
+       strftime(CASE WHEN rank BETWEEN 1 AND 50 THEN TIMESTAMP '2100-01-01 00:00:05' ELSE CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S') AS dispatch_after
+FROM (SELECT o_orderkey AS job_id, o_orderdate, CASE WHEN o_orderstatus IN ('O', 'P') THEN row_number() OVER (PARTITION BY o_orderstatus IN ('O', 'P') ORDER BY o_orderdate, o_orderkey) ELSE 0 END AS rank FROM orders)""",
+    "job_attempts": """
+WITH j AS (SELECT o_orderkey AS k, o_orderstatus AS s, CASE o_orderstatus WHEN 'P' THEN o_orderkey % 3 + 1 WHEN 'O' THEN 0 ELSE 1 END AS a FROM orders),
+b AS (SELECT k, CASE WHEN s NOT IN ('O', 'P') THEN 'SUCCEEDED' WHEN a >= 3 THEN 'FAILED' WHEN k % 5 <> 0 THEN 'RUNNING' WHEN a = 2 THEN 'FAILED' ELSE 'RETRYING' END AS t,
+             CASE WHEN s IN ('O', 'P') AND a < 3 THEN a + 1 ELSE a END AS n FROM j)
+SELECT k AS job_id, CASE WHEN t IN ('RUNNING', 'RETRYING') AND k % 7 = 0 THEN 'FAILED' ELSE t END AS status, CAST(n AS INTEGER) AS attempts,
+       CASE WHEN t = 'FAILED' THEN 'BATCH_RETRIES_EXHAUSTED' WHEN t IN ('RUNNING', 'RETRYING') AND k % 7 = 0 THEN 'BATCH_DELIVERY_FAILED' END AS error_code FROM b""",
     "due_jobs": "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate, o_orderkey LIMIT 25",
     "duplicate_membership": "SELECT o_custkey AS record_id, count(*) AS links FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     "quality_guard": """

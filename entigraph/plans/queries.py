@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions import identity, similarity, text, validation
-from ..operators import blocking, key_index, matching, operations, paging, quality, resolution, survivorship, versions, views
+from ..operators import blocking, jobs, key_index, matching, operations, paging, quality, resolution, survivorship, versions, views
 from ..sources import intake, party
 from ..sources.tables import materialize, new_folder, read_table, typed_records
 from .ordered import apply_in_order, resolve_in_order
@@ -144,6 +144,15 @@ def canonical_json(spark, folder):
     return e.select("event_id", identity.json_hash(F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("e"), F.col("event_id").alias("a")))).alias("hash"))
 
 
+@query
+def canonical_numbers(spark, folder):
+    """Payloads with prices in cents and an exponent, quantities with a point, and a repeated key: equal values, equal hashes."""
+    rows = read_table(spark, folder, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    raw = F.concat(F.lit('{"q": '), F.col("l_quantity").cast("long").cast("string"), F.lit('.00, "p": 0, "p": '), cents, F.lit('e-2, "d": '), F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit('E-9, "n": "1.50"}'))
+    return rows.select("l_orderkey", "l_linenumber", identity.canonical_json(raw).alias("payload"))
+
+
 @query
 def norm_wide(spark, folder):
     """Names, addresses and ids with full-width letters, other blanks and accents, which take the compatibility form."""
@@ -813,12 +822,40 @@ def review_page(spark, folder):
     return paging.review_page(cases).select("case_id")
 
 
+def _jobs(spark, folder):
+    o = read_table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") != "P", "SUCCEEDED").when(key % 2 == 0, "RUNNING").otherwise("RETRYING")
+    attempts = F.when(F.col("o_orderstatus") == "P", (key % 3 + 1).cast("int")).otherwise(F.when(F.col("o_orderstatus") == "O", 0).otherwise(1))
+    tenant = F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string"))
+    return o.select(tenant.alias("tenant_id"), key.alias("job_id"), status.alias("status"), attempts.alias("attempts"), F.lit(None).cast("string").alias("error_code"), F.col("o_orderdate").cast("timestamp").alias("dispatch_after"))
+
+
 @query
 def due_jobs(spark, folder):
-    o = read_table(spark, folder, "orders")
-    status = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "P", "PROCESSING").otherwise("SUCCEEDED")
-    jobs = o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("dispatch_after"))
-    return paging.due_jobs(jobs, F.to_timestamp(F.lit("2100-01-01")), policy.DUE_JOBS).select("job_id")
+    return paging.due_jobs(_jobs(spark, folder), F.to_timestamp(F.lit("2100-01-01")), policy.DUE_JOBS).select("job_id")
+
+
+@query
+def claimed_jobs(spark, folder):
+    """All jobs after two claims at one time: the first moves on what it takes, so the second takes the next."""
+    now = F.to_timestamp(F.lit("2100-01-01"))
+    once = jobs.claim_jobs(_jobs(spark, folder), now).withColumnRenamed("claimed", "first")
+    twice = jobs.claim_jobs(once, now)
+    return twice.select("job_id", F.col("first").alias("claimed_first"), F.col("claimed").alias("claimed_second"), F.date_format("dispatch_after", "yyyy-MM-dd HH:mm:ss").alias("dispatch_after"))
+
+
+@query
+def job_attempts(spark, folder):
+    """Every unfinished job starts an attempt; the attempts of each fifth job break, and each seventh is never delivered again."""
+    key = F.col("job_id")
+    started = jobs.start_attempts(_jobs(spark, folder), _jobs(spark, folder).select("tenant_id", "job_id"))
+    broken = started.where((key % 5 == 0) & (F.col("status") == "RUNNING")).select("tenant_id", "job_id", F.col("attempts").alias("number"))
+    # Of an attempt that was overtaken: it changes nothing.
+    late = started.where((key % 5 == 1) & (F.col("status") == "RUNNING")).select("tenant_id", "job_id", (F.col("attempts") - 1).alias("number"))
+    after = jobs.break_attempts(started, broken.unionByName(late))
+    after = jobs.fail_deliveries(after, after.where(key % 7 == 0).select("tenant_id", "job_id"))
+    return after.select("job_id", "status", "attempts", "error_code")
 
 
 @query

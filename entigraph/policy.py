@@ -25,6 +25,7 @@ MAX_OPERATION_RECORDS = 1000
 MAX_VERSION = 2147483647
 BATCH_RECORDS = 100
 JOB_ATTEMPTS = 3
+UNFINISHED_JOBS = ["QUEUED", "RUNNING", "RETRYING"]
 DUE_JOBS, DISPATCH_SECONDS = 25, 5
 PAGE_LIMIT, PAGE_DEFAULT = 100, 25
 SOURCE_PRIORITY = 100

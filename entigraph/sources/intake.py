@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import keep_last_keys
 from ..functions.text import strip, with_email
 from ..functions.validation import record_reason
 from ..operators.versions import check_sources
@@ -22,6 +23,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """``read_lines`` of files as they appear in ``folder``."""
+    keep_last_keys(spark)
     reader = spark.readStream.schema(f"{ENVELOPE}, {MALFORMED} string").option("columnNameOfCorruptRecord", MALFORMED)
     return located(reader.option("maxFilesPerTrigger", files_per_batch).json(folder))
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import parsed_json
 from ..schemas import ADDRESS_KEYS, COMPANY_KEYS, DATA, ENVELOPE, PERSON_KEYS
 
 
@@ -47,7 +48,7 @@ def typed_records(envelopes: DataFrame) -> DataFrame:
 
     A value of another JSON type than the record format's counts as absent (validation refuses it).
     """
-    value = F.when(F.col("raw").rlike(r"^\s*\{"), F.try_parse_json("raw"))
+    value = F.when(F.col("raw").rlike(r"^\s*\{"), parsed_json(F.col("raw")))
     return envelopes.withColumns({"data": typed_data(value), "error": F.when(value.isNull(), "INVALID_REQUEST_BODY")})
 
 

@@ -1,7 +1,9 @@
 """Normalizers, comparators, and the golden pairs: pair by pair, and as arrivals through the whole pipeline."""
 
 import json
+import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from entigraph.functions import similarity as S
 from entigraph.functions import text as T
 from entigraph.functions.identity import canonical_json
+from entigraph.functions.numbers import number_text
 from entigraph.operators import matching, quality, resolution
 from entigraph.operators.blocking import collapse_candidates
 from entigraph.plans import ordered
@@ -78,6 +81,25 @@ def test_rounding_and_decisions(spark):
 def test_canonical_json(spark):
     got = values(spark, lambda d: canonical_json(d.v), [('{"b": 1.0, "a": [2, {"d": null, "c": "x"}]}',), ("{bad",), (None,)])
     assert got == ['{"a":[2,{"c":"x","d":null}],"b":1}', None, None]
+    numbers = '{"a":1e2,"b":100.0,"c":-0.0,"d":9007199254740993,"e":1E-7,"f":0.000001,"g":1e21,"h":0.1000,"i":[1e23,2.50]}'
+    texts = r'{"k":"1e2 \" 1.50","l":"\u001f\u000b\n\\\\","m":1.0,"n\"2.0":true}'
+    repeated = '{"n":"a","n":"b","m":{"x":1,"x":2}}'
+    got = values(spark, lambda d: canonical_json(d.v), [(numbers,), (texts,), (repeated,), ('{"a":1e400}',), ('{"a":"Infinity","b":1e2}',), ("-1.50",), ("{}",)])
+    assert got == [
+        '{"a":100,"b":100,"c":0,"d":9007199254740992,"e":1e-7,"f":0.000001,"g":1e+21,"h":0.1,"i":[1e+23,2.5]}',
+        r'{"k":"1e2 \" 1.50","l":"\u001f\u000b\n\\\\","m":1,"n\"2.0":true}', '{"m":{"x":2},"n":"b"}', None, '{"a":"Infinity","b":100}', "-1.5", "{}",
+    ]
+
+
+def test_shortest_numbers(spark):
+    """Powers of two and ten, subnormal and random doubles against Python's own shortest form."""
+    r = random.Random(5)
+    some = [2.0**k for k in range(-1074, 1024, 3)] + [float(f"1e{k}") for k in range(-323, 309, 2)] + [r.getrandbits(r.randint(1, 63)) * s for s in (5e-324, 1.0) for _ in range(500)]
+    some += [x for x in (struct.unpack("d", r.randbytes(8))[0] for _ in range(3000)) if math.isfinite(x)]
+    got = spark.createDataFrame([(float(x),) for x in some], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    assert all(float(g.t) == g.x for g in got)
+    figures = lambda t: t.lstrip("-").lower().partition("e")[0].replace(".", "").strip("0")
+    assert [figures(g.t) for g in got] == [figures(repr(g.x)) for g in got]
 
 
 def _golden(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from entigraph.functions.text import normalize_records
 from entigraph.functions.validation import first_reason, has_identity, record_reason, split_reason
-from entigraph.operators import operations, paging, survivorship, versions, views
+from entigraph.operators import jobs, operations, paging, survivorship, versions, views
 from entigraph.plans.ordered import apply_in_order
 from entigraph import policy
 from entigraph.schemas import DATA
@@ -209,3 +209,27 @@ def test_stream(spark, tmp_path):
     got = {(r.external_id, r.arrival_seq): (r.status, r.version) for r in read("versions").collect()}
     assert got[("x", 4)] == ("UPDATED", 2) and got[("x", 6)] == ("UPDATED", 3) and got[("x", 8)] == ("UNCHANGED", 3) and got[("y", 5)] == ("UNCHANGED", 1) and got[("w", 7)] == ("CREATED", 1)
     assert read("answers").where("batch = 1").count() == 2 and read("outcomes").count() == 5
+
+
+def test_jobs(spark):
+    """Claims, attempts up to the third, repeated and unknown names, and attempts that were overtaken."""
+    at = lambda second: f"2030-01-01 00:00:{second:02}"
+    given = [("t", "a", "QUEUED", 0, 1), ("t", "b", "RETRYING", 3, 2), ("t", "c", "RUNNING", 2, 30), ("t", "d", "SUCCEEDED", 1, 0), ("u", "a", "FAILED", 3, 0)]
+    rows = spark.createDataFrame([(*g[:4], None, at(g[4])) for g in given], "tenant_id string, job_id string, status string, attempts int, error_code string, at string")
+    rows = rows.select("*", F.col("at").cast("timestamp").alias("dispatch_after")).drop("at")
+    now = F.lit(at(10)).cast("timestamp")
+    claimed = jobs.claim_jobs(rows, now, 1)
+    assert [(r.tenant_id, r.job_id) for r in claimed.where("claimed").collect()] == [("t", "a")]
+    assert {r.job_id for r in jobs.claim_jobs(claimed.drop("claimed"), now).where("claimed").collect()} == {"b"}
+    assert claimed.where("job_id = 'a' AND tenant_id = 't'").first().dispatch_after.second == 15 and claimed.count() == 5
+
+    named = lambda *names: spark.createDataFrame([*names, names[0], ("t", "none", 1)], "tenant_id string, job_id string, number int")
+    show = lambda df: {(r.tenant_id, r.job_id): (r.status, r.attempts, r.error_code) for r in df.collect()}
+    started = jobs.start_attempts(rows, named(*[(t, j, 0) for t, j, *_ in given]))
+    assert show(started) == {("t", "a"): ("RUNNING", 1, None), ("t", "b"): ("FAILED", 3, "BATCH_RETRIES_EXHAUSTED"), ("t", "c"): ("RUNNING", 3, None), ("t", "d"): ("SUCCEEDED", 1, None), ("u", "a"): ("FAILED", 3, None)}
+    broken = show(jobs.break_attempts(started, named(("t", "a", 1), ("t", "c", 3), ("t", "d", 1))))
+    assert broken["t", "a"] == ("RETRYING", 1, None) and broken["t", "c"] == ("FAILED", 3, "BATCH_RETRIES_EXHAUSTED") and broken["t", "d"] == ("SUCCEEDED", 1, None)
+    assert show(jobs.break_attempts(started, named(("t", "a", 2)))) == show(started)
+    lost = show(jobs.fail_deliveries(rows, named(("t", "a", 0), ("t", "d", 0))))
+    assert lost["t", "a"] == ("FAILED", 0, "BATCH_DELIVERY_FAILED") and lost["t", "d"] == ("SUCCEEDED", 1, None)
+    assert jobs.claim_jobs(rows.limit(0), now).count() == 0 and show(jobs.start_attempts(rows.limit(0), named(("t", "a", 0)))) == {}
