@@ -44,6 +44,14 @@ def linked_record_view(members: DataFrame) -> DataFrame:
     return members.select("tenant_id", "entity_id", F.struct("record_id", "external_id", "data", "normalized", checked.alias("normalization_version"), F.struct(F.col("source").alias("name"), "priority").alias("source")).alias("record"))
 
 
+def _referring(rows: DataFrame, others: DataFrame, reference: str) -> DataFrame:
+    """Left join by tenant and reference. Rows that refer to nothing stay out of it: as null keys they would all meet in one task."""
+    keys = ["tenant_id", reference]
+    found = rows.where(F.col(reference).isNotNull()).join(others, keys, "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in others.schema if f.name not in keys}
+    return found.unionByName(rows.where(F.col(reference).isNull()).withColumns(none))
+
+
 def history_view(snapshots: DataFrame, operations: DataFrame, decisions: DataFrame) -> DataFrame:
     """Snapshots with their operation or review decision, and ``missing`` where a reference leads nowhere.
 
@@ -51,7 +59,7 @@ def history_view(snapshots: DataFrame, operations: DataFrame, decisions: DataFra
     """
     ops = operations.select("tenant_id", "operation_id", F.struct("type", "source_id", "target_id", "record_ids").alias("operation"))
     human = decisions.select("tenant_id", "decision_id", F.struct("decision", "case_id").alias("review"))
-    rows = snapshots.join(ops, ["tenant_id", "operation_id"], "left").join(human, ["tenant_id", "decision_id"], "left")
+    rows = _referring(_referring(snapshots, ops, "operation_id"), human, "decision_id")
     missing = (F.col("operation_id").isNotNull() & F.col("operation").isNull()) | (F.col("decision_id").isNotNull() & F.col("review").isNull())
     return rows.withColumn("missing", missing)
 
