@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the form: longest integer without an exponent, and most zeros behind the point before one.
 PLAIN_DIGITS, PLAIN_ZEROS = 21, 6
+#: Two decimals of so many digits are two doubles, from the smallest normal one on.
+DISTINCT_DIGITS, SMALLEST_NORMAL = 15, 2.2250738585072014e-308
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -29,7 +31,8 @@ def _digits(shown: Column) -> Column:
 def _shortest(x: Column, d: Column, n: Column) -> Column:
     """Of the roundings of the digits to 1, 2, ... places, the first that is the same double; else the digits themselves.
 
-    The JVM's own text always reads back as its double, but may be a digit or more too long.
+    The JVM's own text always reads back as its double, but may be a digit or more too long. With few enough digits it
+    is the only one, and nothing is tried.
     """
 
     def rounded(k: Column) -> Column:
@@ -43,7 +46,8 @@ def _shortest(x: Column, d: Column, n: Column) -> Column:
     shorter = F.flatten(F.transform(F.sequence(F.lit(1), F.length(d) - 1), rounded))
     found = F.get(F.filter(shorter, lambda c: c["x"] == x), F.lit(0))
     found = let(found, lambda c: F.when(c.isNotNull(), F.struct(F.rtrim(c["d"], F.lit("0")).alias("d"), c["n"].alias("n"))))
-    return F.when(F.length(d) > 1, F.coalesce(found, F.struct(d.alias("d"), n.alias("n")))).otherwise(F.struct(d.alias("d"), n.alias("n")))
+    tried = (F.length(d) > DISTINCT_DIGITS) | ((F.length(d) > 1) & (x < SMALLEST_NORMAL))
+    return F.when(tried, F.coalesce(found, F.struct(d.alias("d"), n.alias("n")))).otherwise(F.struct(d.alias("d"), n.alias("n")))
 
 
 def _written(d: Column, n: Column) -> Column:
